@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "mixing", "token_counts")
+MODULES = ("quality", "mixing", "decontamination", "token_counts")
 
 
 def queries() -> dict:
