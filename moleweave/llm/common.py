@@ -19,16 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
+    """The URI of this session's folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a local session (one machine, as in tests) gets a temporary folder of its own.
+    Only where that is unset, and only in a local session (one machine, as in tests), a temporary folder is made.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    uri = sc.getCheckpointDir()
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith(("/", "file:/")) and not uri.startswith("file://") else uri
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The same as a compressed table in the shared folder, for wide or many rows that are read more than once."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "near_duplicates", "mixing", "decontamination", "token_counts")
+MODULES = ("quality", "near_duplicates", "warc", "mixing", "decontamination", "token_counts")
 
 
 def queries() -> dict:

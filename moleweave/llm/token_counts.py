@@ -1,25 +1,26 @@
 """Token counts without token ids.
 
 The tokenizer drops white space, so no piece crosses it and a text's count is the sum over its white-space separated
-chunks. Spark counts the distinct chunks, splits them into pre-tokens once, counts the pieces of each distinct
-pre-token once, and joins the counts back: first to chunks, then to the chunks of each document. Frequent keys are
-joined by a broadcast of fixed size and rare keys by a shuffle, so no task gets a hot key.
+chunks. Spark counts the distinct chunks, each of which is split into pre-tokens and counted once, and joins the counts
+to the chunks of each document. Frequent chunks are joined by a broadcast of fixed size and rare chunks by a shuffle, so
+no task gets a hot key.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moleweave.llm.common import cut, table, word_array
+from moleweave.llm.common import keep, table, word_array
 
 #: Rows of the broadcast side of :func:`frequent_join`.
-HEAD = 100_000
+HEAD = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -42,48 +43,44 @@ def special_strings(path: str) -> list[str]:
     return sorted(found, key=len, reverse=True)
 
 
+def frequent_from(counts: DataFrame, n: str, head: int = HEAD) -> int | None:
+    """The least frequency such that ``head`` keys at most are as frequent, from the counts of each frequency."""
+    running = F.sum("keys").over(Window.orderBy(F.desc(n)))
+    steps = counts.groupBy(n).agg(F.count("*").alias("keys")).withColumn("running", running)
+    return steps.where(F.col("running") <= head).agg(F.min(n)).first()[0]
+
+
 def frequent_join(big: DataFrame, small: DataFrame, key: str, n: str, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
     """Join ``big`` to ``small`` on ``key``; ``small`` has each key once with its frequency ``n`` in ``big``.
 
     Returns the rows whose keys are among the ``head`` most frequent, joined by broadcast, and the rest, joined by
     shuffle. A key of the rest has at most 1 / ``head`` of all rows.
     """
-    top = F.broadcast(small.orderBy(F.desc(n), key).limit(head).drop(n))
-    return big.join(top, key), big.join(F.broadcast(top.select(key)), key, "left_anti").join(small.drop(n), key)
+    least = frequent_from(small, n, head)
+    often = F.col(n) >= least if least is not None else F.lit(False)
+    top = F.broadcast(small.where(often).drop(n))
+    return big.join(top, key), big.join(F.broadcast(top.select(key)), key, "left_anti").join(small.where(~often).drop(n), key)
 
 
-def pretoken_pieces(chunks: DataFrame, path: str) -> DataFrame:
-    """Pieces of each distinct chunk: (chunk, n) -> (chunk, n, pieces)."""
+def chunk_pieces(chunks: DataFrame, path: str) -> DataFrame:
+    """(chunk, n) -> (chunk, n, pieces). A task splits its distinct chunks and counts each distinct pre-token once."""
     special = special_strings(path)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
+    @F.pandas_udf("long")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = load_tokenizer(path)
         cutter = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        for batch in batches:
-            rows = []
-            for chunk in batch["chunk"]:
-                hits = len(cutter.findall(chunk))
-                parts = cutter.split(chunk) if hits else [chunk]
-                rows += [(chunk, None, 1)] * hits
-                for part in parts:
-                    rows += [(chunk, piece, None) for piece, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(part))] if part else []
-            yield pd.DataFrame(rows, columns=["chunk", "pretoken", "pieces"]).astype({"pieces": "Int64"})
+        count = lru_cache(maxsize=1 << 18)(lambda x: len(tok.model.tokenize(x)))
+
+        def whole(chunk: str) -> int:
+            parts = cutter.split(chunk)
+            split = (tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(x)) for x in parts if x)
+            return len(parts) - 1 + sum(count(x) for found in split for x, _ in found)
 
-    @F.pandas_udf("long")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_tokenizer(path).model
         for batch in batches:
-            yield batch.map(lambda x: len(model.tokenize(x)))
+            yield batch.map(whole)
 
-    parts = cut(chunks.select("chunk").mapInPandas(split, "chunk string, pretoken string, pieces long"))
-    known = parts.where("pretoken is null").select("chunk", "pieces")
-    asked = parts.where("pretoken is not null").select("chunk", "pretoken")
-    counted = cut(asked.groupBy("pretoken").agg(F.count("*").alias("n_use")).select("pretoken", "n_use", pieces("pretoken").alias("pieces")))
-    head, tail = frequent_join(asked, counted, "pretoken", "n_use")
-    every = known.unionByName(head.select("chunk", "pieces")).unionByName(tail.select("chunk", "pieces"))
-    return chunks.join(every.groupBy("chunk").agg(F.sum("pieces").alias("pieces")), "chunk", "left").select("chunk", "n", F.coalesce("pieces", F.lit(0)).alias("pieces"))
+    return chunks.withColumn("pieces", pieces("chunk"))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -95,7 +92,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("h"), "text")
     used = base.select("doc_id", "h", F.explode(word_array(F.col("text"))).alias("chunk"))
-    pieces = cut(pretoken_pieces(cut(used.groupBy("chunk").agg(F.count("*").alias("n"))), tokenizer))
+    pieces = keep(chunk_pieces(used.groupBy("chunk").agg(F.count("*").alias("n")), tokenizer), "pieces")
     head, tail = frequent_join(used, pieces, "chunk", "n")
     part = lambda x: x.groupBy("doc_id", "h").agg(F.sum("pieces").alias("part"))
     rows = base.groupBy("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).agg(F.count("*").alias("copies"))
