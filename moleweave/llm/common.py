@@ -96,3 +96,11 @@ def ascii_lower(text: Column) -> Column:
 def bind(value: Column, then) -> Column:
     """``then(value)`` with ``value`` evaluated once, however often ``then`` mentions it, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def once(docs: DataFrame, value: Column, then) -> DataFrame:
+    """Add the fields of the struct ``then(value)``; each row's is computed once, whatever later steps ask of them.
+
+    A plain projection would be copied into every filter and expression that uses it, an explode is not.
+    """
+    return docs.withColumn("__once", F.explode(F.transform(F.array(value), then))).select(*docs.columns, "__once.*")

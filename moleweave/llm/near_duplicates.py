@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleweave.llm.common import ascii_lower, bind, cut, lookup, table, word_array
+from moleweave.llm.common import ascii_lower, bind, cut, lookup, once, table, word_array
 
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 5e-6.
 BANDS, ROWS = 40, 6
@@ -114,9 +114,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(right, "b").join(left, "a")
-    sets = joined.select("a", "b", shingle_set(F.col("ta"), size).alias("sa"), shingle_set(F.col("tb"), size).alias("sb"))
-    common = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
-    return cut(common.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
+    sets = F.struct(shingle_set(F.col("ta"), size).alias("x"), shingle_set(F.col("tb"), size).alias("y"))
+    sizes = lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("i"), (F.size(s["x"]) + F.size(s["y"])).alias("s"))
+    return cut(once(joined, sets, sizes).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
