@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "near_duplicates", "warc", "mixing", "decontamination", "token_counts", "packing")
+MODULES = ("quality", "near_duplicates", "warc", "html_text", "mixing", "decontamination", "token_counts", "packing")
 
 
 def queries() -> dict:
