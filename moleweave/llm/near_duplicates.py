@@ -21,6 +21,8 @@ from moleweave.llm.common import ascii_lower, bind, cut, lookup, once, table, wo
 
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 5e-6.
 BANDS, ROWS = 40, 6
+#: A shingle of at most so many of the compared documents is rare.
+RARE = 16
 #: Shingles signed at once, so that the work stays in the processor's cache.
 CHUNK = 1 << 15
 
@@ -119,6 +121,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return cut(once(joined, sets, sizes).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
 
 
+def rare_shingles(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingle): the shingles that at most ``RARE`` of the nodes have."""
+    used = texts.join(nodes, "node", "left_semi").select("node", F.explode(shingle_set(F.col("text"), size)).alias("shingle"))
+    return cut(used.join(used.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE).drop("n"), "shingle").select("node", "shingle"))
+
+
+def rare_pairs(rare: DataFrame) -> DataFrame:
+    """(a, b, both): how many rare shingles two nodes share; a shingle gives RARE * (RARE - 1) / 2 pairs at most."""
+    x, y = rare.withColumnRenamed("node", "a"), rare.withColumnRenamed("node", "b")
+    return x.join(y, "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) -> doc_id, h, n_shingles, component_id, kept; one row per input row.
 
@@ -162,11 +176,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         tried = tried.unionAll(more)
         links = links.unionAll(verified(more, texts, size, percent))
         found = components(links)
-    mixed = members.join(found, "node", "left").select("band", "key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    several = mixed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-    mixed = cut(mixed.join(several, ["band", "key"], "left_semi"))
-    x, y = (mixed.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp")]) for s in "ab")
-    rest = x.join(y, ["band", "key"]).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & fits(F.col("n_a"), F.col("n_b")))
+    def divided(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with their components."""
+        now = rows.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
+        return now.join(several, ["band", "key"], "left_semi")
+
+    mixed = cut(divided(members.select("band", "key", "node", "n")))
+    rare = rare_shingles(mixed.select("node").distinct(), texts, size)
+    mixed = mixed.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
+    mixed = cut(mixed.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare"))
+    # The member with the least of its own is nearest to what the others have in common, so most of them link to it.
+    heads = mixed.groupBy("band", "key").agg(F.max(F.struct(F.col("common") / F.col("n"), F.col("n"), F.col("node").alias("head"))).alias("best")).select("band", "key", "best.head")
+    near = mixed.join(heads, ["band", "key"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    near = cut(apart(near).join(tried, ["a", "b"], "left_anti"))
+    if not near.isEmpty():
+        tried = tried.unionAll(near)
+        links = links.unionAll(verified(near, texts, size, percent))
+        found = components(links)
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Two nodes share no more than their rare shingles in common, which are counted, and the lesser number of others.
+    # So pairs of a bucket that share no rare shingle, and pairs that share some, are compared only if that is enough.
+    mixed = divided(mixed)
+    enough = lambda both: (100 + percent) * (both + F.least("common_a", "common_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    side = lambda rows, s: rows.select(*[F.col(c).alias(f"{c}_{s}") if c not in ("band", "key") else F.col(c) for c in rows.columns])
+    could = cut(mixed.where(100 * F.col("common") >= percent * F.col("n")))
+    alike = side(could, "a").join(side(could, "b"), ["band", "key"]).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.lit(0)))
+    nodes = mixed.select("node", "n", "common", "comp").distinct()
+    sharing = rare_pairs(rare).join(side(nodes, "a"), F.col("a") == F.col("node_a")).join(side(nodes, "b"), F.col("b") == F.col("node_b"))
+    sharing = sharing.where((F.col("comp_a") != F.col("comp_b")) & enough(F.col("both")))
+    rest = alike.select("node_a", "node_b").unionAll(sharing.select("node_a", "node_b"))
     rest = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionAll(verified(rest, texts, size, percent))
