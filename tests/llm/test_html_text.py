@@ -1,0 +1,43 @@
+from moleweave.llm.html_text import Page, extract
+
+SCHEMA = "page_id long, url string, html string, text int, host string"
+
+
+def page(body, head=""):
+    return f"<!DOCTYPE html><html><head><title>t</title>{head}</head><body>{body}</body></html>"
+
+
+def test_article_without_what_surrounds_it():
+    html = page(
+        "<nav><ul><li><a>menu</a></li></ul></nav><!-- <p>no</p> --><div class='ad'>advert</div><div id=cookie-banner>cookies</div>"
+        "<article><header><h1>Ti<i>t</i>le &amp; more</h1></header><p>One &lt;two&gt;\n  three&nbsp;four&#33;<p>Next<br>line<table><tr><td>a<td>b</table>"
+        "<form><input value=x>form</form><aside>aside</aside><script>var x = '</p>';</script><ul><li>i<li>j</ul><p hidden>no</p><pre>x  y</pre></article>"
+        "<section class=\"comments\"><p>reader</p></section><footer>foot</footer>",
+        "<style>p{}</style>",
+    )
+    assert Page(html).article().split("\n\n") == ["Title & more", "One <two> three four!", "Next line", "a", "b", "i", "j", "x y"]
+
+
+def test_broken_markup_does_not_fail():
+    for html in ("", "plain", "<", "<p", "</p></div>", "<p>a<b>c</p>d", "<article><p>a", "<script>x", "<!-- x", "<div " * 500, "<div>" * 3000 + "deep", "&#xZZ; &unknown; &amp", "<p class='x\" y'>q</p>"):
+        assert isinstance(Page(html).article(), str)
+    assert Page("plain &amp; text").article() == "plain & text"
+    assert Page("<div>" * 3000 + "deep").article() == "deep"
+
+
+def test_templates_of_a_site_go_and_others_stay(spark):
+    box = "<div class='x1'><p>Written by the staff of this site</p></div>"
+    rows = [(i, f"https://h.org/{i}", page(f"{box}<div><p>body {i}</p></div>"), 0, "") for i in range(12)]
+    rows += [(100 + i, f"https://k.org/{i}", page(f"<div><p>page {i}</p></div>" + (box if i == 0 else "")), 0, "") for i in range(12)]
+    rows += [(200, None, None, 0, ""), (201, "x", "", 0, ""), rows[0], (None, "https://h.org/z", page(box + "<p>" + "long " * 20_000 + "</p>"), 0, "")]
+    found = extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == len(rows)
+    text = {r.page_id: r.text for r in found}
+    assert all(text[i] == f"body {i}" for i in range(12))
+    assert text[100] == "page 0\n\nWritten by the staff of this site" and text[101] == "page 1"
+    assert text[200] == "" and text[201] == "" and text[None] == ("long " * 20_000).strip()
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
+def test_empty(spark):
+    assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
