@@ -10,6 +10,15 @@ from moleweave.functions.molecules import mol_parse, mol_parse_raw
 FIELDS = ("parse_ok", "error", "atoms", "bonds", "rings")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly if they come in fewer partitions than there are cores: texts are small and the work on them is large.
+
+    Tables of more partitions than cores are left as they are, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def molecules(df: DataFrame, smiles: str | Column = "smiles", sanitize: bool = True) -> DataFrame:
     """``df`` with parse_ok, error, atoms, bonds and rings; bad or null texts have parse_ok = false and no atoms.
 

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from moleweave.functions.alignment import mol_common
 from moleweave.functions.chemistry import mol_centres, mol_double_bonds, mol_unpaired
 from moleweave.functions.graphs import element_symbol, hybridizations, is_transition_metal, longest_rotatable, ring_systems, valence_problems, wiener
-from moleweave.operators import matching, reactions, rgroups
+from moleweave.operators import annotations, matching, reactions, rgroups
 from moleweave.operators.hashes import canonical, core_atoms, formula, hash_rows, most_frequent, same_hash, with_murcko, with_regioisomer
-from moleweave.operators.molecules import atoms, bond_between, bonds, molecules, stage, with_atom_map
+from moleweave.operators.molecules import atoms, bond_between, bonds, highlight_regions, molecules, spread, stage, with_atom_map
 
 
 def part(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", *columns)
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", *columns))
 
 
 def chain(n: Column | None = None) -> Column:
@@ -220,6 +220,26 @@ def kekule_problems(spark, sf_dir):
     return stage(mols, u=mol_unpaired("atoms", "bonds")).select("p_partkey", (F.size("u") > 0).alias("has_problem"))
 
 
+def partial_check(spark, sf_dir):
+    """The same amines when valences are let pass: no step fails; and when they are not."""
+    mols = amines(spark, sf_dir)
+    strict = annotations.with_problems(mols).select("p_partkey", F.col("failed_step").alias("strict"))
+    loose = annotations.with_problems(mols, annotations.KEKULIZE).select("p_partkey", F.col("failed_step").alias("loose"))
+    return strict.join(loose, "p_partkey").select("p_partkey", F.coalesce("strict", F.lit("none")).alias("strict"), F.coalesce("loose", F.lit("none")).alias("loose"))
+
+
+def abbreviation_rows(spark, sf_dir):
+    """The ends of chain acids, where they are less than two fifths of the atoms."""
+    mols = molecules(part(spark, sf_dir), F.concat(chain(), F.lit("C(=O)O")))
+    return annotations.abbreviations(mols, "p_partkey").select("p_partkey", "label", big(F.col("anchor")).alias("anchor"))
+
+
+def region_sizes(spark, sf_dir):
+    """Aromatic and other atoms of a benzene with a chain."""
+    mols = molecules(part(spark, sf_dir), F.concat(chain(), F.lit("C1=CC=CC=C1")))
+    return highlight_regions(mols, "p_partkey").select("p_partkey", "region", big(F.size("atom_idxs")).alias("n_atoms"), big(F.size("bond_idxs")).alias("n_bonds"))
+
+
 LITERALS = {
     "butane": "CCCC", "isobutane": "CC(C)C", "cyclobutane": "C1CCC1", "aspirin": "c1cc(C(=O)O)c(OC(=O)C)cc1", "diazepam": "CN1C(=O)CN=C(C2=C1C=CC(=C2)Cl)C3=CC=CC=C3",
     "caffeine": "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "chain": "CCC(CC(C)CC1CCC1)C(CC(=O)O)N", "indazole": "FC1=CC=C2C(=C1)C=NN2", "platinum": "CN(C)(C)[Pt]",
@@ -280,7 +300,7 @@ QUERIES = {
     "murcko_size": murcko_size, "murcko_text": murcko_text, "mcs_complement": mcs_complement, "rgroup_pools": rgroup_pools, "rgroup_product": rgroup_product,
     "valence_problems": valence_problem_rows, "dative_rewrite": dative_rewrite, "transition_metal_filter": transition_metal_filter, "reaction_reverse": reaction_reverse,
     "reaction_template_counts": reaction_template_counts, "reaction_change": reaction_change, "hash_table": hash_table, "regioisomer_parts": regioisomer_parts,
-    "kekule_problems": kekule_problems, "literal_bonds": literal_bonds, "literal_wiener": literal_wiener, "literal_ring_atoms": literal_ring_atoms,
+    "kekule_problems": kekule_problems, "partial_check": partial_check, "abbreviation_rows": abbreviation_rows, "region_sizes": region_sizes, "literal_bonds": literal_bonds, "literal_wiener": literal_wiener, "literal_ring_atoms": literal_ring_atoms,
     "literal_hybridization": literal_hybridization, "literal_stereo": literal_stereo,
 }
 
@@ -315,6 +335,9 @@ ORACLES = {
     "hash_table": "SELECT p_partkey, unnest(['mol_formula', 'atom_bond_counts', 'net_charge', 'small_world_br']) AS name, unnest(['C' || p_size || 'H' || 2 * p_size, p_size || ',' || p_size, '0', 'B' || p_size || 'R1']) AS value FROM part WHERE p_size >= 3",
     "regioisomer_parts": f"SELECT p_partkey, {REGIO} || '.C1CCCCC1' AS parts FROM part",
     "kekule_problems": "SELECT p_partkey, p_size % 2 = 1 AS has_problem FROM part WHERE p_size >= 3",
+    "partial_check": "SELECT p_partkey, CASE WHEN p_size % 6 > 3 THEN 'valence' ELSE 'none' END AS strict, 'none' AS loose FROM part",
+    "abbreviation_rows": "SELECT p_partkey, 'Et' AS label, CAST(2 AS BIGINT) AS anchor FROM part WHERE p_size >= 3 UNION ALL SELECT p_partkey, 'CO2H', CAST(p_size - 1 AS BIGINT) FROM part WHERE p_size >= 5",
+    "region_sizes": "SELECT p_partkey, 'aromatic' AS region, CAST(6 AS BIGINT) AS n_atoms, CAST(6 AS BIGINT) AS n_bonds FROM part UNION ALL SELECT p_partkey, 'other', CAST(p_size AS BIGINT), CAST(p_size AS BIGINT) FROM part",
     "literal_bonds": f"SELECT name, CAST(bond AS BIGINT) AS bond, CAST(least(x, y) AS BIGINT) AS x, CAST(greatest(x, y) AS BIGINT) AS y FROM (VALUES {values_of(EDGES)}) AS e(name, bond, x, y)",
     "literal_wiener": WALK + "w AS (SELECT name, x, y, 1 AS d FROM u UNION SELECT w.name, w.x, u.y, d + 1 FROM w JOIN u ON w.name = u.name AND w.y = u.x WHERE d < 14) SELECT name, CAST(sum(d) // 2 AS BIGINT) AS wiener FROM (SELECT name, x, y, min(d) AS d FROM w WHERE x <> y GROUP BY name, x, y) GROUP BY name",
     "literal_ring_atoms": WALK + """r AS (SELECT name, bond, x, y, x AS s, y AS t FROM e UNION SELECT r.name, r.bond, r.x, r.y, r.s, u.y FROM r JOIN u ON r.name = u.name AND r.t = u.x AND NOT (least(u.x, u.y) = least(r.x, r.y) AND greatest(u.x, u.y) = greatest(r.x, r.y))),
