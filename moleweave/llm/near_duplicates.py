@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleweave.llm.common import ascii_lower, bind, cut, lookup, once, table, word_array
+from moleweave.llm.common import ascii_lower, bind, cut, keep, lookup, once, table, word_array
 
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 5e-6.
 BANDS, ROWS = 40, 6
 #: A shingle of at most so many of the compared documents is rare.
 RARE = 16
+#: Pairs or labels, of two 16-byte names each, that are broadcast; more of them are joined by shuffles.
+SMALL = 200_000
 #: Shingles signed at once, so that the work stays in the processor's cache.
 CHUNK = 1 << 15
 
@@ -94,28 +96,40 @@ def sign(bands: int, rows: int):
     return run
 
 
+def held(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df``, to be broadcast to its joins if it is counted to have at most ``limit`` narrow rows; it should be cut."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, comp): each node of a link with the least node that it reaches.
 
-    Labels travel along links and then along themselves, so paths halve; ends when no label changes.
+    Labels travel along links and then along themselves, so paths halve; ends when no label changes. A round has one
+    shuffle where the labels are few enough to be broadcast.
     """
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"))
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    both = cut(links.select(F.explode(F.array(pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b"))).alias("e")).select("e.*"))
+    labels = held(cut(both.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("was")
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(own, F.min("comp").alias("near"))
         jump = labels.select(F.col("node").alias("j"), F.col("comp").alias("to"))
-        new = cut(step.join(jump, F.col("comp") == F.col("j"), "left").select("node", "was", F.least("comp", "to").alias("comp")))
-        labels = new.select("node", "comp")
+        new = cut(near.join(jump, F.col("near") == F.col("j")).select(F.col("a").alias("node"), "was", F.least("near", "to").alias("comp")))
+        labels = held(new.select("node", "comp"))
         if new.where("was <> comp").isEmpty():
             return labels
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(right, "b").join(left, "a")
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+
+    Each pair goes to the text of its one end and then, with that text, to the text of the other. Pairs that are few
+    enough are broadcast for the first step, so that only texts that are asked for move, and once.
+    """
+    pairs = held(pairs)
+    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    left = texts.join(held(cut(pairs.select(F.col("a").alias("node")).distinct())), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    joined = right.join(left, "a")
     sets = F.struct(shingle_set(F.col("ta"), size).alias("x"), shingle_set(F.col("tb"), size).alias("y"))
     sizes = lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("i"), (F.size(s["x"]) + F.size(s["y"])).alias("s"))
     return cut(once(joined, sets, sizes).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
@@ -157,11 +171,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     asked = members.select("node").distinct().join(classes.select("node", "row.doc_id", "row.h"), "node")
     texts = lookup(docs, asked.groupBy("doc_id", "h").agg(F.first("node").alias("node")), ["doc_id", "h"], "inner", salts=1)
-    texts = texts.select("node", "text").dropDuplicates(["node"])
+    texts = keep(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+
+    first = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b"))
+    found = components(verified(first, texts, size, percent))
 
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")
-    links = verified(first, texts, size, percent)
-    found = components(links)
+    def joined(more: DataFrame) -> DataFrame:
+        """The labels after more links: only the components that these link are gone through again."""
+        one, two = (found.select(F.col("node").alias(x), F.col("comp").alias(c)) for x, c in (("a", "ca"), ("b", "cb")))
+        ends = more.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        ends = cut(ends)
+        onward = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("ca"), F.col("comp").alias("to"))
+        label = lambda x, c: F.struct(F.col(x).alias("node"), F.col(c).alias("comp"))
+        every = found.unionAll(ends.select(F.explode(F.array(label("a", "ca"), label("b", "cb"))).alias("e")).select("e.*")).distinct()
+        return held(cut(every.join(onward, F.col("comp") == F.col("ca"), "left").select("node", F.coalesce("to", "comp").alias("comp"))))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are still in different components."""
@@ -170,12 +193,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         two = one.join(labels, F.col("b") == F.col("x"), "left").withColumn("cb", F.coalesce("comp", "b"))
         return two.where(F.col("ca") != F.col("cb")).select("a", "b")
 
-    tried = first
+    tried = held(first)
     more = cut(apart(stars.select("a", "b")).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        tried = tried.unionAll(more)
-        links = links.unionAll(verified(more, texts, size, percent))
-        found = components(links)
+        tried = held(cut(tried.unionAll(more)))
+        found = joined(verified(more, texts, size, percent))
     def divided(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with their components."""
         now = rows.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -191,10 +213,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     near = mixed.join(heads, ["band", "key"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     near = cut(apart(near).join(tried, ["a", "b"], "left_anti"))
     if not near.isEmpty():
-        tried = tried.unionAll(near)
-        links = links.unionAll(verified(near, texts, size, percent))
-        found = components(links)
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried = held(cut(tried.unionAll(near)))
+        found = joined(verified(near, texts, size, percent))
+    tried = held(cut(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     # Two nodes share no more than their rare shingles in common, which are counted, and the lesser number of others.
     # So pairs of a bucket that share no rare shingle, and pairs that share some, are compared only if that is enough.
     mixed = divided(mixed)
@@ -208,8 +229,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     rest = alike.select("node_a", "node_b").unionAll(sharing.select("node_a", "node_b"))
     rest = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionAll(verified(rest, texts, size, percent))
-        found = components(links)
+        found = joined(verified(rest, texts, size, percent))
 
     named = classes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
