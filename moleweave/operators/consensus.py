@@ -62,3 +62,10 @@ def fit_classifiers(train: DataFrame, features: list[str], label: str, seed: int
     args = {"labelCol": label, "featuresCol": "__features", "seed": seed}
     kinds = {"boosted": GBTClassifier(maxIter=20, **args), "forest": RandomForestClassifier(numTrees=50, **args)}
     return {name: Pipeline(stages=[gather, kind]).fit(train) for name, kind in kinds.items()}
+
+
+def evaluate_once(model, external: DataFrame, truth: str, path: str) -> DataFrame:
+    """Score a frozen model on the external set and write its figures; a path that holds figures already is an error."""
+    scored = model.transform(external).withColumn("__label", F.col("prediction").cast("int").cast("string"))
+    covered_metrics(scored, truth, "__label").write.mode("error").parquet(path)
+    return external.sparkSession.read.parquet(path)
