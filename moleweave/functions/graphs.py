@@ -67,7 +67,8 @@ def components(atoms: Column, bonds: Column, keep=None) -> Column:
 def rotatable_groups() -> Column:
     """Groups of rotatable bonds that hang together by atoms, largest first, then by least bond; bonds by index."""
     pairs = F.transform(matches(ROTATABLE), lambda m: F.array_sort(m))
-    bonds = F.filter("bonds", lambda b: F.array_contains(pairs, F.array(F.least(b["a"], b["b"]), F.greatest(b["a"], b["b"]))))
+    ends = lambda b: F.array(F.least(b["a"], b["b"]), F.greatest(b["a"], b["b"]))
+    bonds = bind(pairs, lambda p: F.filter("bonds", lambda b: F.array_contains(p, ends(b))))
     groups = bind(bonds, lambda bs: F.transform(merge_groups(F.transform(bs, lambda b: F.array(b["a"], b["b"]))), lambda g: F.array_sort(F.transform(F.filter(bs, lambda b: F.array_contains(g, b["a"])), lambda b: b["idx"]))))
     key = lambda g: F.struct(-F.size(g), F.element_at(g, 1))
     return F.array_sort(groups, lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0))
