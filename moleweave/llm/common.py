@@ -98,6 +98,12 @@ def bind(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...], run) -> DataFrame:
+    """``run(docs)`` with the columns of ``docs`` that bear one of the names of inner columns renamed, and then named as before."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return run(docs.withColumnsRenamed(own)).withColumnsRenamed({v: k for k, v in own.items()}) if own else run(docs)
+
+
 def once(docs: DataFrame, value: Column, then) -> DataFrame:
     """Add the fields of the struct ``then(value)``; each row's is computed once, whatever later steps ask of them.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moleweave.llm.common import cut, lookup, table, word_count
+from moleweave.llm.common import cut, lookup, set_aside, table, word_count
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -19,6 +19,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Rows of a bucket, about.
 BUCKET_ROWS = 20_000
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+INNER = ("n_docs", "n_buckets", "step", "start", "bucket", "base", "end")
 #: One expected copy as an integer.
 ONE = 1 << 32
 
@@ -58,7 +60,11 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
     or not like others, at no words. Null is a source of its own. Repeated rows are sampled each on their own. Columns
     of ``docs`` that bear a result's name are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("size", word_count(F.col("text")))
+    return set_aside(docs.drop(*RESULTS), INNER, lambda d: sampled(d, seed, weights, most))
+
+
+def sampled(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int) -> DataFrame:
+    docs = docs.withColumn("size", word_count(F.col("text")))
     sizes = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     sources = (
         cut(source_targets(sizes, weights, most))
@@ -78,7 +84,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
         .withColumn("end", end)
         .withColumn("copies", (F.shiftright("end", 32) - F.shiftright(F.col("end") - F.col("step"), 32)).cast("int"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("n_docs", "n_buckets", "step", "start", "bucket", "base", "end")
+        .drop(*INNER)
     )
 
 
@@ -88,8 +94,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, as often as they are taken."""
-    taken = mix(docs).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    def run(docs: DataFrame) -> DataFrame:
+        taken = mix(docs).where("copies > 0")
+        return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop(*RESULTS, "__copy")
+
+    return set_aside(docs, RESULTS, run).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -247,10 +247,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group, in the columns of ``docs``; of repeated rows of it, one."""
     found = cut(near_duplicates(docs))
     rows = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.first("kept").alias("kept")).where("n > 1 or not kept")
-    rows = cut(rows.select("doc_id", "h", "kept"))
-    marked = lookup(docs.withColumn("h", F.xxhash64("text")), rows.withColumnRenamed("kept", "__kept"), ["doc_id", "h"], salts=1)
+    rows = cut(rows.select("doc_id", F.col("h").alias("__h"), F.col("kept").alias("__kept")))
+    marked = lookup(docs.withColumn("__h", F.xxhash64("text")), rows, ["doc_id", "__h"], salts=1)
     single = marked.where("__kept is null")
-    return single.unionAll(marked.where("__kept").dropDuplicates(["doc_id", "h"])).select(*docs.columns)
+    return single.unionAll(marked.where("__kept").dropDuplicates(["doc_id", "__h"])).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -41,3 +41,20 @@ def test_queries_are_registered():
     names = list(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """No rows; and nulls in any column, repeated rows, and columns with the names of inner ones, which are kept as they are."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h string, words string, kept string, node string, ends string, host string"
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    same = (1, words(1, 60), "en", "a", 5, "H", "W", "K", "N", "E", "O")
+    rows = [same, same, (None,) * 11, (2, None, "en", None, None, "H", "W", "K", "N", "E", "O"), (None, words(2, 60), None, "a", 1, "H", "W", "K", "N", "E", "O"), (3, "", "en", "a", 0, *"HWKNEO"), (4, words(1, 59) + " y", "en", "b", 9, *"HWKNEO"), (5, words(5, 30_000), "en", "b", 9, *"HWKNEO")]
+    spark.createDataFrame([(1, "some other words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            found = out.collect()
+            assert bool(found) == bool(data) and all(r.h in ("H", None) and r.kept in ("K", None) and r.node in ("N", None) and r.words in ("W", None) for r in found), name
+        assert bool(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()) == bool(data)
