@@ -24,7 +24,7 @@ BANDS, ROWS = 40, 6
 #: A shingle of at most so many of the compared documents is rare.
 RARE = 16
 #: Pairs or labels, of two 16-byte names each, that are broadcast; more of them are joined by shuffles.
-SMALL = 200_000
+SMALL = 60_000
 #: Shingles signed at once, so that the work stays in the processor's cache.
 CHUNK = 1 << 15
 
