@@ -20,11 +20,12 @@ WINDOW, SHINGLE = 10, 5
 #: Windows in one broadcast block.
 BLOCK = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def item_words(text: Column) -> Column:
     """Lower-cased words of letters, digits and all characters beyond ASCII; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def shingle(words: Column, at: Column, n: int) -> Column:
