@@ -25,7 +25,7 @@ from moleweave.llm.near_duplicates import mix64
 
 PASSAGE, RUN, WINDOW = 50, 8, 16
 PREFIX = PASSAGE - (WINDOW - 1)
-LEFT, RIGHT = 16, 64
+LEFT, RIGHT = 16, 52
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -81,17 +81,21 @@ def suffix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, h, words, kept (array of at, key) -> a row for each suffix with its words' hashes as ordered bytes."""
+    """doc_id, h, words, kept (array of at, key) -> a row for each suffix with its words' hashes as ordered bytes.
+
+    Suffixes of one document that agree in all these words are one row with several places.
+    """
     for batch in batches:
         rows = []
         for doc, h, words, kept in zip(*(batch.column(c) for c in ("doc_id", "h", "words", "kept")), strict=True):
             low = (words.values.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(">u4")
+            places: dict[tuple[bytes, bytes, int], list[int]] = {}
             for x in kept.as_py():
                 at = x["at"]
-                left, right = low[max(0, at - LEFT):at], low[at:at + RIGHT]
-                rows.append((doc.as_py(), h.as_py(), at, x["key"], len(left), len(right), right.tobytes(), left[::-1].tobytes()))
+                places.setdefault((low[at:at + RIGHT].tobytes(), low[max(0, at - LEFT):at][::-1].tobytes(), x["key"]), []).append(at)
+            rows += [(doc.as_py(), h.as_py(), at, key, len(left) // 4, len(right) // 4, right, left) for (right, left, key), at in places.items()]
         columns = list(zip(*rows, strict=True)) or [[]] * 8
-        types = (batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        types = (batch.schema.field("doc_id").type, pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "h", "at", "key", "n_left", "n_right", "right", "left"])
 
 
@@ -129,7 +133,13 @@ def neighbours(part: pd.DataFrame) -> pd.DataFrame:
         at = ok[better]
         best[at], lo[at], hi[at], other[at] = (r + l)[better], l[better], r[better], to[ok][better]
     ids = part["doc_id"].to_numpy(dtype=object)
-    return part.assign(best=best, lcp=lcp, begin=part["at"] - lo, until=part["at"] + hi, other=[ids[k] if k >= 0 else None for k in other])
+    return part.assign(best=best, lcp=lcp, lo=lo, hi=hi, other=[ids[k] if k >= 0 else None for k in other])
+
+
+def without_words(found: pd.DataFrame) -> pd.DataFrame:
+    """The words' hashes are needed again at the edges alone."""
+    inner = ~found["edge"].to_numpy(bool)
+    return found.assign(right=found["right"].mask(inner, None), left=found["left"].mask(inner, None))
 
 
 def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +162,7 @@ def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if last:
             edge[starts[max(0, len(starts) - 3)]:] = True
         found["edge"] = edge
-        return found.iloc[new_from:]
+        return without_words(found.iloc[new_from:])
 
     done = 0
     for batch in batches:
@@ -196,34 +206,37 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     same = cut(same.where("least < most").select("h", "m", "least", "most"))
     marked = lookup(docs.withColumn("m", F.md5("text")), same, ["h", "m"])
     copies = marked.where("least is not null").select("doc_id", F.size(word_array(F.col("text"))).alias("n"), F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.col("most")).otherwise(F.col("least")).alias("other_doc"))
-    copies = copies.where(F.col("n") >= PASSAGE).distinct().select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").cast("long").alias("end_word"), F.col("n").cast("long").alias("n_words"), "other_doc")
+    copies = cut(copies.where(F.col("n") >= PASSAGE).distinct()).select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").cast("long").alias("end_word"), F.col("n").cast("long").alias("n_words"), "other_doc")
 
     single = marked.where("least is null or doc_id = least").select("doc_id", "h", "text")
-    words = single.select("doc_id", "h", word_hashes(F.col("text")).alias("words"))
-    kept = words.mapInArrow(suffix_keys, "doc_id long, h long, at int, key long")
+    words = word_hashes(F.col("text")).alias("words")
+    kept = single.select("doc_id", "h", words).mapInArrow(suffix_keys, "doc_id long, h long, at int, key long")
     shared = cut(kept.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-    found = lookup(kept, shared.withColumn("one", F.lit(1)), ["key"], "inner", salts=4)
+    found = lookup(kept, shared.withColumn("one", F.lit(1)), ["key"], "inner", limit=0, salts=4)
     found = cut(found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set(F.struct("at", "key")).alias("kept")))
-    rows = words.join(found, words["doc_id"].eqNullSafe(found["d"]) & (words["h"] == found["g"])).select("doc_id", "h", "words", "kept")
-    schema = "doc_id long, h long, at int, key long, n_left int, n_right int, right binary, left binary"
-    suffixes = keep(rows.mapInArrow(suffix_rows, schema).distinct(), "suffixes")
+    rows = single.join(found, single["doc_id"].eqNullSafe(found["d"]) & (single["h"] == found["g"])).select("doc_id", "h", words, "kept")
+    schema = "doc_id long, h long, at array<int>, key long, n_left int, n_right int, right binary, left binary"
+    suffixes = keep(rows.mapInArrow(suffix_rows, schema), "suffixes")
 
-    ordered = suffixes.repartitionByRange(shuffles(spark), "right", "left", "h", "at").sortWithinPartitions("right", "left", "h", "at")
-    compared = f"{schema}, best long, lcp long, begin long, until long, other long, edge boolean"
+    ordered = suffixes.repartitionByRange(shuffles(spark), "right", "left", "h").sortWithinPartitions("right", "left", "h")
+    compared = f"{schema}, best long, lcp long, lo long, hi long, other long, edge boolean"
     matched = keep(ordered.mapInPandas(compare, compared), "matches")
-    edges = matched.where("edge").select(*suffixes.columns).repartition(1).sortWithinPartitions("right", "left", "h", "at").mapInPandas(compare, compared)
+    edges = matched.where("edge").select(*suffixes.columns).repartition(1).sortWithinPartitions("right", "left", "h").mapInPandas(compare, compared)
     every = matched.unionAll(edges)
-    spans = every.where(F.col("best") >= PASSAGE).select("doc_id", "h", "begin", "until", "other")
+    spans = every.where(F.col("best") >= PASSAGE).select("doc_id", "h", F.explode("at").alias("at"), "lo", "hi", "other")
+    spans = spans.select("doc_id", "h", (F.col("at") - F.col("lo")).alias("begin"), (F.col("at") + F.col("hi")).alias("until"), "other")
 
     # A suffix may match one document far to the right and another far enough to the left and right. Where the nearest
     # rows match for the prefix but are too short in all, every window of the passage length is looked up.
-    unsure = cut(every.groupBy("key", "doc_id", "h", "at").agg(F.max("best").alias("best"), F.max("lcp").alias("lcp")).where((F.col("best") < PASSAGE) & (F.col("lcp") >= PREFIX)).select("key").distinct())
+    unsure = cut(every.groupBy("key", "doc_id", "h", F.get("at", F.lit(0)).alias("at")).agg(F.max("best").alias("best"), F.max("lcp").alias("lcp")).where((F.col("best") < PASSAGE) & (F.col("lcp") >= PREFIX)).select("key").distinct())
     asked = lookup(suffixes, unsure.withColumn("one", F.lit(1)), ["key"], "inner", salts=4)
     windows = asked.select("doc_id", "h", "at", "n_left", "n_right", "left", "right", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("back")).where((F.col("back") <= F.col("n_left")) & (F.col("n_right") >= PASSAGE - F.col("back")))
     whole = F.concat(F.hex(F.expr("substring(left, 1, 4 * back)")), F.lit("|"), F.hex(F.expr(f"substring(right, 1, 4 * ({PASSAGE} - back))")))
-    windows = windows.select("doc_id", "h", (F.col("at") - F.col("back")).cast("long").alias("begin"), "back", F.md5(whole).alias("window"))
+    windows = windows.select("doc_id", "h", "at", "back", F.md5(whole).alias("window"))
     shared = windows.groupBy("window").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("lo <> hi").drop("lo", "hi")
-    more = windows.join(shared, "window").select("doc_id", "h", "begin", (F.col("begin") + PASSAGE).alias("until"), F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other"))
+    more = windows.join(shared, "window").select("doc_id", "h", F.explode("at").alias("at"), "back", "least", "most")
+    begin = (F.col("at") - F.col("back")).cast("long")
+    more = more.select("doc_id", "h", begin.alias("begin"), (begin + PASSAGE).alias("until"), F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other"))
 
     @F.pandas_udf("array<struct<begin:long,until:long,other:long>>")
     def join(spans: pd.Series) -> pd.Series:
@@ -233,7 +246,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans = spans.unionAll(more).groupBy("doc_id", "h").agg(F.collect_set(F.struct("begin", "until", "other")).alias("spans"))
     spans = spans.select("doc_id", F.explode(join("spans")).alias("s")).select("doc_id", F.col("s.begin").alias("start_word"), F.col("s.until").alias("end_word"), (F.col("s.until") - F.col("s.begin")).alias("n_words"), F.col("s.other").alias("other_doc"))
     # Copies are listed whole, so the passages of the text that stands for them are not listed again.
-    whole_ids = copies.select(F.col("doc_id").alias("__d")).distinct()
+    whole_ids = cut(copies.select(F.col("doc_id").alias("__d")).distinct())
     return copies.unionAll(spans.join(whole_ids, spans["doc_id"].eqNullSafe(whole_ids["__d"]), "left_anti"))
 
 
