@@ -116,7 +116,10 @@ def matrix(values: pd.Series, width: int, fill: int) -> np.ndarray:
 
 
 def neighbours(part: pd.DataFrame) -> pd.DataFrame:
-    """Matches of each of the sorted rows with its nearest rows of other documents before and after."""
+    """Matches of each of the sorted rows with its nearest rows of other documents before and after.
+
+    Where both are long enough, the row's passage reaches as far as either does on each side.
+    """
     n = len(part)
     h = part["h"].to_numpy()
     change = np.concatenate([[True], h[1:] != h[:-1]])
@@ -129,9 +132,10 @@ def neighbours(part: pd.DataFrame) -> pd.DataFrame:
         ok = np.flatnonzero((to >= 0) & (to < n))
         r, l = common(right[ok], right[to[ok]]), common(left[ok], left[to[ok]])
         lcp[ok] = np.maximum(lcp[ok], r)
+        fits = r + l >= PASSAGE
+        lo[ok[fits]], hi[ok[fits]] = np.maximum(lo[ok[fits]], l[fits]), np.maximum(hi[ok[fits]], r[fits])
         better = r + l > best[ok]
-        at = ok[better]
-        best[at], lo[at], hi[at], other[at] = (r + l)[better], l[better], r[better], to[ok][better]
+        best[ok[better]], other[ok[better]] = (r + l)[better], to[ok][better]
     ids = part["doc_id"].to_numpy(dtype=object)
     return part.assign(best=best, lcp=lcp, lo=lo, hi=hi, other=[ids[k] if k >= 0 else None for k in other])
 
@@ -199,6 +203,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     other_doc is one of the documents that share the passage. Null, empty and short texts have none; rows that repeat a
     doc_id with its text are one document; null ids are kept. Other columns are ignored; an empty table gives none.
+    Where three documents or more share a suffix, a passage may begin up to ``WINDOW`` - 1 words late, as those nearest
+    by what follows need not be nearest by what goes before.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
