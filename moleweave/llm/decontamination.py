@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moleweave.llm.common import ascii_lower, bind, cut, table
+from moleweave.llm.common import ascii_lower, bind, cut, lookup, table
 
 WINDOW, SHINGLE = 10, 5
 #: Windows in one broadcast block.
@@ -45,16 +45,22 @@ def window_shingles(size: int, n: int) -> Column:
 
 
 def corpus_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, h, words and one row for each shingle: (at, key), at 1-based."""
+    """doc_id, h, n (the document's words) and one row for each shingle: (at, key), at 1-based."""
     def every(n: int) -> Column:
         return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: shingle(F.col("words"), i, n))).otherwise(F.array().cast("array<bigint>"))
 
-    parts = [docs.select("doc_id", "h", "words", F.posexplode(every(n)).alias("at", "key")) for n in lengths]
+    words = docs.select("doc_id", "h", item_words(F.col("text")).alias("words")).select("doc_id", "h", "words", F.size("words").alias("n"))
+    parts = [words.select("doc_id", "h", "n", F.posexplode(every(n)).alias("at", "key")) for n in lengths]
     return reduce(DataFrame.unionAll, parts).withColumn("at", F.col("at") + 1)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, h, item_id, start, size): where item windows occur in documents; ``docs`` has doc_id, h and words."""
+    """(doc_id, h, item_id, start, size): where item windows occur in documents; ``docs`` has doc_id, h and text.
+
+    The corpus is gone through once for each block: places of any of the block's shingles are written down, which gives
+    the shingles' frequencies, and the places of the rarest ones are candidates. The words of documents that have
+    candidates are then compared.
+    """
     windows = cut(item_windows(items, window).withColumn("size", F.size("words")))
     shapes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # 1 to `window`, so at most that many
     if not shapes:
@@ -69,15 +75,19 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     for block in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         keys = part.select(F.explode("shingles.key").alias("key")).distinct()
-        often = corpus_shingles(docs, lengths).join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.count("*").alias("often"))
+        seen = cut(corpus_shingles(docs, lengths).join(F.broadcast(keys), "key", "left_semi"))
+        often = seen.groupBy("key").agg(F.count("*").alias("often"))
         ranked = part.select("item_id", "words", "size", F.explode("shingles").alias("s")).select("item_id", "words", "size", "s.offset", "s.key")
         rarest = F.min(F.struct(F.col("often"), F.col("offset"), F.col("key"))).alias("rarest")
         prefix = ranked.join(cut(often), "key", "left").withColumn("often", F.coalesce("often", F.lit(0))).groupBy("item_id", "words", "size").agg(rarest).where("rarest.often > 0")
         prefix = cut(prefix.select("rarest.key", "rarest.offset", "size", F.col("words").alias("asked")).groupBy("key", "offset", "size", "asked").agg(F.lit(1).alias("one")))
         start = F.col("at") - F.col("offset")
-        hits = corpus_shingles(docs, lengths).join(F.broadcast(prefix.drop("one")), "key").where((start >= 1) & (start + F.col("size") - 1 <= F.size("words")))
-        hits = hits.where(F.slice("words", F.when(start >= 1, start).otherwise(1), F.col("size")) == F.col("asked"))
-        found.append(hits.select("doc_id", "h", start.alias("start"), "size", "asked").join(F.broadcast(part.select("item_id", F.col("words").alias("asked"))), "asked").drop("asked"))
+        near = seen.join(F.broadcast(prefix.drop("one")), "key").where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
+        near = cut(near.groupBy("doc_id", "h").agg(F.collect_set(F.struct(start.alias("start"), "size", "asked")).alias("near")))
+        asked = lookup(docs.select("doc_id", "h", "text"), near, ["doc_id", "h"], "inner", salts=1)
+        right = lambda words: F.filter("near", lambda x: F.slice(words, x["start"], x["size"]) == x["asked"])
+        hits = asked.select("doc_id", "h", F.explode(bind(item_words(F.col("text")), right)).alias("x")).select("doc_id", "h", "x.*")
+        found.append(hits.join(F.broadcast(part.select("item_id", F.col("words").alias("asked"))), "asked").select("doc_id", "h", "item_id", "start", "size"))
     return reduce(DataFrame.unionAll, found)
 
 
@@ -96,7 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     repeated items count once by id. An empty side gives documents without hits. Other columns are ignored.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    hits = matches(docs.select("doc_id", "h", item_words(F.col("text")).alias("words")), items.select("item_id", "text"), window)
+    hits = matches(docs, items.select("item_id", "text"), window)
     spans = hits.groupBy("doc_id", "h", "item_id").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     spans = spans.groupBy("doc_id", "h").agg(covered(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("n_hit"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_hit", "ids")
@@ -114,8 +124,8 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no item window occurs, in the columns of ``docs``."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("h"), item_words(F.col("text")).alias("words"))
-    hit = matches(words, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    hit = matches(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__d"]) & (F.xxhash64(docs["text"]) == hit["__h"]), "left_anti")
 
 
