@@ -84,7 +84,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
         start = F.col("at") - F.col("offset")
         near = seen.join(F.broadcast(prefix.drop("one")), "key").where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
         near = cut(near.groupBy("doc_id", "h").agg(F.collect_set(F.struct(start.alias("start"), "size", "asked")).alias("near")))
-        asked = lookup(docs.select("doc_id", "h", "text"), near, ["doc_id", "h"], "inner", salts=1)
+        # Only the candidates' keys, which are narrow, may be broadcast; their windows come by a shuffle of candidates alone.
+        asked = lookup(docs.select("doc_id", "h", "text"), near.select("doc_id", "h", F.lit(1).alias("one")), ["doc_id", "h"], "inner", salts=1)
+        near = near.select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), "near")
+        asked = asked.join(near.hint("merge"), asked["doc_id"].eqNullSafe(near["__d"]) & (asked["h"] == near["__g"]))
         right = lambda words: F.filter("near", lambda x: F.slice(words, x["start"], x["size"]) == x["asked"])
         hits = asked.select("doc_id", "h", F.explode(bind(item_words(F.col("text")), right)).alias("x")).select("doc_id", "h", "x.*")
         found.append(hits.join(F.broadcast(part.select("item_id", F.col("words").alias("asked"))), "asked").select("doc_id", "h", "item_id", "start", "size"))
