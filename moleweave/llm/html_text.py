@@ -1,7 +1,7 @@
 """Main text of web pages: elements that recur on many pages of a host are site template and go.
 
-A first pass hashes the subtree of each element outside the article and Spark counts, for each host, the distinct pages
-that have it. Subtrees on more than a share of a host's pages are deleted in the second pass, with menus, headers,
+A first pass hashes the subtree of each block, inside articles too, and Spark counts, for each host, the distinct pages
+that have it. Subtrees on more than a number of a host's pages are deleted in the second pass, with menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments that the markup names.
 """
 
@@ -19,8 +19,12 @@ from pyspark.sql import types as T
 
 from moleweave.llm.common import cut, lookup, table
 
-#: A subtree is template if more distinct pages of its host have it than this number and this share of the host's pages.
+#: A subtree is template if more distinct pages of its host have it than this number; one of ``PIECES`` only if also more than this share of the host's pages do.
 TREE_PAGES, TREE_SHARE = 4, 0.1
+#: Parts of tables, lists and sections, which recur in articles that are otherwise distinct; they count outside articles alone.
+PIECES = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li optgroup option pre summary tbody td tfoot th thead tr".split())
+#: Stands for the page itself in counts.
+PAGE = 0
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -30,6 +34,8 @@ RAW = frozenset("script style textarea title noscript iframe template svg math c
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag of a key's set ends an open element of the key.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
+#: Elements that hold the article or are it; no subtree with one of these is template.
+WHOLE = frozenset("html body article main".split())
 #: Elements and words of class, id and role that are not the article.
 DROP_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
 DROP_WORDS = frozenset(
@@ -75,7 +81,8 @@ class Page:
     def say(self, text: str) -> None:
         self.text.append(text)
         if self.frames:
-            self.frames[-1][5].append(" ".join(text.split()))
+            if plain := " ".join(text.split()):
+                self.frames[-1][5].append(plain)
 
     def open(self, tag: str, attributes: str) -> None:
         while self.frames and tag in ENDS.get(self.frames[-1][0], ()):
@@ -90,19 +97,22 @@ class Page:
         drop = dropped(tag, attributes, self.articles > 0)
         self.articles += tag == "article" and not drop
         self.mains += tag == "main" and not drop
-        self.frames.append([tag, attributes, drop, len(self.blocks), len(self.text), []])
+        self.frames.append([tag, attributes, drop, len(self.blocks), len(self.text), [], False])
 
     def close(self) -> None:
-        tag, attributes, drop, blocks, text, parts = self.frames.pop()
+        tag, _, drop, blocks, text, parts, holds = self.frames.pop()
         if tag in BLOCKS:
             self.flush()
-        tree = xxhash.xxh64_intdigest("\0".join([tag, attributes.strip(), *parts])) - (1 << 63)
-        outside = not self.articles and tag not in ("html", "body")
-        if outside and parts and tag in BLOCKS:
+        # Attributes are left out, as links and ids differ from page to page; the last bit tells pieces.
+        tree = (xxhash.xxh64_intdigest("\0".join([tag, *parts])) - (1 << 63) | 1) ^ (tag not in PIECES)
+        counted = bool(parts) and tag in BLOCKS and not holds and tag not in WHOLE and not (self.articles and tag in PIECES)
+        if counted:
             self.trees.add(tree)
         if self.frames:
-            self.frames[-1][5].append(str(tree))
-        if drop or (outside and tree in self.template):
+            self.frames[-1][6] |= holds or tag in ("article", "main")
+            if parts:
+                self.frames[-1][5].append(str(tree))
+        if drop or (counted and tree in self.template):
             if len(self.blocks) == blocks:
                 del self.text[text:]
             else:
@@ -145,9 +155,11 @@ class Page:
         return "\n\n".join(text for kind, text in self.blocks if kind == best)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def page_trees(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: sorted(Page(x or "").trees))
+@F.pandas_udf(T.StructType([T.StructField("h", T.LongType()), T.StructField("trees", T.ArrayType(T.LongType()))]))
+def page_trees(html: pd.Series) -> pd.DataFrame:
+    """The hash of a page's text before templates go, and of its subtrees."""
+    pages = [Page(x or "") for x in html]
+    return pd.DataFrame({"h": [xxhash.xxh64_intdigest(p.article()) - (1 << 63) for p in pages], "trees": [[PAGE, *sorted(p.trees)] for p in pages]})
 
 
 @F.pandas_udf(T.StringType())
@@ -163,13 +175,15 @@ def host_of(url: Column) -> Column:
 def template_trees(pages: DataFrame) -> DataFrame:
     """(host, trees): hashes of the subtrees that recur on many distinct pages of a host.
 
-    A host has no more of them than its pages have subtrees on average over ``TREE_SHARE``. Pages count by their html,
-    each page gives each hash once, and counts are summed before the shuffle.
+    A host has no more of them than its pages have subtrees over ``TREE_PAGES``. Pages count by their text, so that an
+    article under several addresses is no template; each page gives each hash once, and counts are summed before the shuffle.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("h"), page_trees("html").alias("trees"))
-    hosts = cut(pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("h")).distinct().groupBy("host").agg(F.count("*").alias("n_pages")))
-    counts = seen.select("host", "h", F.explode("trees").alias("tree")).distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") > TREE_PAGES)
-    found = lookup(counts, hosts, ["host"], "inner").where(F.col("n") > TREE_SHARE * F.col("n_pages"))
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.explode(F.array(page_trees("html"))).alias("x")).select("host", "x.h", F.explode("x.trees").alias("tree"))
+    counts = seen.distinct().groupBy("host", "tree").agg(F.count("*").alias("n"))
+    counts = cut(counts.where((F.col("n") > TREE_PAGES) | (F.col("tree") == PAGE)))
+    hosts = counts.where(F.col("tree") == PAGE).select("host", F.col("n").alias("n_pages"))
+    found = lookup(counts.where(F.col("tree") != PAGE), hosts, ["host"], "inner")
+    found = found.where((F.col("tree").bitwiseAND(1) == 0) | (F.col("n") > TREE_SHARE * F.col("n_pages")))
     return cut(found.groupBy("host").agg(F.collect_list("tree").alias("trees")))
 
 

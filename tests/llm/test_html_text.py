@@ -41,3 +41,15 @@ def test_templates_of_a_site_go_and_others_stay(spark):
 
 def test_empty(spark):
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_templates_inside_articles_go_at_any_size_of_host(spark):
+    share = "<div class='x9'><a href='/s?u={0}'>Send this on</a> <a id='k{0}'>Print it</a></div>"
+    article = "<article><h1>Results</h1><p>body {0} of the page</p>" + share + "<table><tr><td>1<td>cell {0}</table><ul><li>Salt<li>item {0}</ul></article>"
+    rows = [(i, f"https://h.org/{i}", page((article if i < 6 else "<article><p>other {0} of it</p></article>").format(i)), 0, "") for i in range(90)]
+    copied = page("<article><p>one article</p><p>under many addresses</p></article><!-- {0} -->")
+    rows += [(100 + i, f"https://k.org/{i}", copied.format(i), 0, "") for i in range(12)]
+    text = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(text[i].split("\n\n") == ["Results", f"body {i} of the page", "1", f"cell {i}", "Salt", f"item {i}"] for i in range(6))
+    assert all(text[i] == f"other {i} of it" for i in range(6, 90))
+    assert all(text[100 + i] == "one article\n\nunder many addresses" for i in range(12))
