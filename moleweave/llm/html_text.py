@@ -42,18 +42,28 @@ DROP_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments discussion disqus replies related recommended widget toolbar masthead copyright contentinfo complementary pagination pager search".split()
 )
 HEADERS = frozenset({"header", "masthead", "banner", "topbar"})
+#: Classes, ids and roles of readers' comments and lists of them; articles in such an element go with it.
+COMMENT_LISTS = frozenset("comment comments comment-body comment-content comment-item comment-list comment-section comments-area comments-list commentlist disqus replies reply".split())
+HEAD = re.compile(r"[a-z]*")
+
+
+def comments(attributes: str) -> bool:
+    return any(name.lower() in ("class", "id", "role") and COMMENT_LISTS & set(value.strip("\"'").lower().replace("_", "-").split()) for name, value in MARK.findall(attributes))
 
 
 def dropped(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is not part of the article; ``inside`` an article its header is."""
     if tag in DROP_TAGS or (tag == "header" and not inside):
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
+    if not attributes or tag in ("html", "body"):
         return False
+    if tag in ("article", "main"):
+        return comments(attributes)
     for name, value in MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value))
+            # Whole classes, or their beginnings up to another sign than a letter.
+            words = {HEAD.match(x)[0] for x in value.split()}
             if words & DROP_WORDS - (HEADERS if inside else frozenset()) or (words & HEADERS and not inside):
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
@@ -66,7 +76,8 @@ class Page:
 
     def __init__(self, html: str, template: frozenset[int] = frozenset()) -> None:
         self.template, self.trees = template, set()
-        self.blocks: list[tuple[int, str]] = []
+        #: Text, 2 in an article, 1 in a main element alone and 0 elsewhere, and the number of dropped elements around those.
+        self.blocks: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.frames: list[list] = []
         self.articles = self.mains = 0
@@ -76,7 +87,7 @@ class Page:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            self.blocks.append((2 if self.articles else 1 if self.mains else 0, text))
+            self.blocks.append((text, 2 if self.articles else 1 if self.mains else 0, 0))
 
     def say(self, text: str) -> None:
         self.text.append(text)
@@ -97,10 +108,10 @@ class Page:
         drop = dropped(tag, attributes, self.articles > 0)
         self.articles += tag == "article" and not drop
         self.mains += tag == "main" and not drop
-        self.frames.append([tag, attributes, drop, len(self.blocks), len(self.text), [], False])
+        self.frames.append([tag, attributes, drop, len(self.blocks), len(self.text), [], False, self.articles, self.mains])
 
     def close(self) -> None:
-        tag, _, drop, blocks, text, parts, holds = self.frames.pop()
+        tag, attributes, drop, blocks, text, parts, holds, articles, mains = self.frames.pop()
         if tag in BLOCKS:
             self.flush()
         # Attributes are left out, as links and ids differ from page to page; the last bit tells pieces.
@@ -116,7 +127,9 @@ class Page:
             if len(self.blocks) == blocks:
                 del self.text[text:]
             else:
-                del self.blocks[blocks:]
+                # Articles and main elements in it stay; those in a form rank with others, those in further elements after them.
+                stays = holds and not articles and not comments(attributes)
+                self.blocks[blocks:] = [(t, kind, n + (tag != "form")) for t, kind, n in self.blocks[blocks:] if stays and kind > (mains > 0)]
                 self.text.clear()
         self.articles -= tag == "article" and not drop
         self.mains -= tag == "main" and not drop
@@ -150,9 +163,12 @@ class Page:
         self.flush()
 
     def article(self) -> str:
-        """The blocks of the articles; without any, of the main element; without that, of the page."""
-        best = max((kind for kind, _ in self.blocks), default=0)
-        return "\n\n".join(text for kind, text in self.blocks if kind == best)
+        """The blocks of the articles in the fewest dropped elements and of main elements in no more; without any, of the page."""
+        least = {kind: min((n for _, k, n in self.blocks if k == kind), default=None) for kind in (1, 2)}
+        if least[1] is None and least[2] is None:
+            return "\n\n".join(text for text, *_ in self.blocks)
+        mains = least[1] is not None and (least[2] is None or least[1] <= least[2])
+        return "\n\n".join(text for text, kind, n in self.blocks if kind and n == least[kind] and (kind == 2 or mains))
 
 
 @F.pandas_udf(T.StructType([T.StructField("h", T.LongType()), T.StructField("trees", T.ArrayType(T.LongType()))]))

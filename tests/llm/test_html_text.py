@@ -53,3 +53,17 @@ def test_templates_inside_articles_go_at_any_size_of_host(spark):
     assert all(text[i].split("\n\n") == ["Results", f"body {i} of the page", "1", f"cell {i}", "Salt", f"item {i}"] for i in range(6))
     assert all(text[i] == f"other {i} of it" for i in range(6, 90))
     assert all(text[100 + i] == "one article\n\nunder many addresses" for i in range(12))
+
+
+def test_dropped_wrappers_leave_articles():
+    article = "<article class='post has-sidebar'><h1>Title</h1><p>text</p><form>ask</form></article>"
+    around = (
+        "<body><form id=aspnetForm>{}<div>login</div></form>", "<div class='layout no-sidebar'>{}</div>", "<div class='has-sidebar'>{}</div>", "<body class='single comments-open'>{}",
+        "<div class='sidebar-left wrap'>{}</div>", "<main class='content-sidebar'><form>{}</form></main>", "<main><div class='widget'>{}</div></main>", "<aside><main>{}</main></aside>",
+        "{}<section class='comments'><article>reader</article></section>", "{}<article class='comment'>reader<article>answer</article></article>", "{}<aside><article>teaser</article></aside>",
+        "<form>{}<div class='related'><article>teaser</article></div></form>", "{}<div class='share-bar'>share</div>",
+    )
+    for html in around:
+        assert Page(html.format(article)).article() == "Title\n\ntext", html
+    assert Page(f"<main><p>lead</p>{article}<p>more</p><div class='ad'>no</div></main><p>foot</p>").article() == "lead\n\nTitle\n\ntext\n\nmore"
+    assert Page("<div class='no-sidebar'><p>plain</p></div><div class='sidebar2'>side</div>").article() == "plain"
