@@ -2,15 +2,18 @@
 
 Paragraphs are scored by multinomial logistic regression on the presence of word 1- to 3-grams. Spark ML fits it on
 sentences made from the templates below and, for the unknown class, on neutral, mixed and broken ones; a temperature
-fitted on held-out sentences calibrates the probabilities. A prediction counts only if the paragraph also contains most
-of a template of the predicted family.
+fitted on held-out sentences calibrates the probabilities. A prediction for a line counts if the line also contains most
+of a template of the predicted family. Paragraphs, which may be wrapped over several lines, are compared with the
+templates of all families too, so that each of several notices counts; of families alike at one place the nearest counts.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +27,7 @@ from moleweave.llm.common import table
 
 #: Sentences made for the fit for each template, and the share of all that calibrates. The fit sees no other rows.
 PER_TEMPLATE, HELD_OUT = 24, 0.25
-#: A paragraph is of a family from this probability on, and if this share of a template's word pairs is in it.
+#: A line is of a family from this probability on, and if this share of a template's word pairs is in it.
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.75
 UNKNOWN = "unknown"
 WORDS = re.compile(r"[a-z0-9]+")
@@ -97,8 +100,24 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
-    "all-rights-reserved": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
+    "all-rights-reserved": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "All rights reserved."],
 }
+#: Names of families in short notices and in choices of two, which are compared whole and not used in the fit.
+NAMES = {
+    "mit": ["MIT", "MIT License"],
+    "apache-2.0": ["Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"],
+    "gpl-2.0": ["GPL-2.0", "GPLv2", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "gpl-3.0": ["GPL-3.0", "GPLv3", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl": ["LGPL-2.1", "LGPL-3.0", "LGPLv3"],
+    "agpl-3.0": ["AGPL-3.0", "AGPLv3"],
+    "bsd": ["BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD License"],
+    "mpl-2.0": ["MPL-2.0", "Mozilla Public License 2.0"],
+    "isc": ["ISC", "ISC License"],
+    "cc0": ["CC0-1.0", "CC0 1.0"],
+    "unlicense": ["Unlicense"],
+}
+FORMS = ("licensed under {}", "licensed under the {} license", "licensed under the {}", "released under {}", "released under the {}", "SPDX-License-Identifier: {}")
+CHOICES = ("{} or {}", "{} and {}", "{} {}", "{} or the {}", "{} and the {}", "{} license or {}", "{} license and {}")
 #: Sentences that share words with notices and are none.
 CONFUSABLE = (
     "He lost his driving license on the way to work.", "The university licensed the patent to a company last year.", "The band released a new version of the song under its own name.",
@@ -202,34 +221,116 @@ def overlap(words: list[str], family: str) -> float:
     return max(len(p & pairs) / len(p) for t in TEMPLATES[family] if (w := words_of(t)) and (p := set(zip(w, w[1:]))))
 
 
+class Template(NamedTuple):
+    family: str
+    pairs: frozenset[tuple[str, str]]
+    size: int
+    least: float
+
+
+def templates() -> list[Template]:
+    pair = lambda w: frozenset(zip(w, w[1:]))
+    out = {(family, pair(w)): Template(family, pair(w), len(w), LEAST_OVERLAP) for family, texts in TEMPLATES.items() for w in map(words_of, texts)}
+    short = [(family, form.format(name)) for family, names in NAMES.items() for name in names for form in FORMS]
+    for a, b in ((a, b) for a in NAMES for b in NAMES if a != b):
+        short += [(family, form.format(x, y)) for x in NAMES[a] for y in NAMES[b] for form in CHOICES for family in (a, b)]
+    for family, text in short:
+        w = words_of(text)
+        out.setdefault((family, pair(w)), Template(family, pair(w), len(w), 1.0))
+    return list(out.values())
+
+
+class Notices:
+    """The templates by their rarest pairs: one that is contained to its least share has one of a few of its pairs."""
+
+    def __init__(self) -> None:
+        found = templates()
+        often = Counter(p for t in found for p in t.pairs)
+        self.by_pair: dict[tuple[str, str], list[Template]] = {}
+        for t in found:
+            rare = sorted(t.pairs, key=lambda p: (often[p], p))
+            # So many pairs may be missing; with one more, one of them is there.
+            for p in rare[: int(len(rare) * (1 - t.least) + 1e-9) + 1]:
+                self.by_pair.setdefault(p, []).append(t)
+        self.keys = frozenset(self.by_pair)
+
+    def near(self, words: list[str]) -> list[tuple[float, str, int, int]]:
+        """(share, family, begin, end): the stretches of words, little longer than a template, with the largest shares."""
+        pairs = set(zip(words, words[1:]))
+        some = {id(t): t for p in self.keys & pairs for t in self.by_pair[p]}
+        some = [t for t in some.values() if len(t.pairs & pairs) >= t.least * len(t.pairs)]
+        if not some:
+            return []
+        out, asked = [], frozenset().union(*(t.pairs for t in some))
+        at = [(i, p) for i, p in enumerate(zip(words, words[1:])) if p in asked]
+        for t in some:
+            room = t.size if t.least == 1 else t.size + t.size // 3 + 2
+            have, first, hits = Counter(), 0, [(i, p) for i, p in at if p in t.pairs]
+            best: tuple[float, int, int] | None = None
+            for i, p in hits:
+                have[p] += 1
+                while hits[first][0] + room < i + 2:
+                    have -= Counter([hits[first][1]])
+                    first += 1
+                share = len(have) / len(t.pairs)
+                stretch = (share, hits[first][0], i + 2)
+                if share >= t.least and (best is None or stretch[1] >= best[2]):
+                    out += [(best[0], t.family, *best[1:])] if best else []
+                    best = stretch
+                elif best and share > best[0]:
+                    best = stretch
+            out += [(best[0], t.family, *best[1:])] if best else []
+        return out
+
+
+def confirmed(words: list[str], notices: Notices, model: Model) -> list[tuple[float, float, str]]:
+    """(probability, share, family) of the families near which stretches of a paragraph are, the nearest at each place."""
+    near = notices.near(words)
+    if not near:
+        return []
+    p = model.probabilities([words[begin:end] for _, _, begin, end in near])
+    scored = sorted(((share, float(p[k, model.classes.index(family)]), family, begin, end) for k, (share, family, begin, end) in enumerate(near)), reverse=True)
+    taken: list[tuple[float, float, str, int, int]] = []
+    for x in scored:
+        rival = (t for t in taken if t[2] != x[2] and t[3] < x[4] and x[3] < t[4])
+        if all(t[0] == x[0] == 1 for t in rival):
+            taken.append(x)
+    return [(round(chance, 6), round(share, 6), family) for share, chance, family, *_ in taken]
+
+
 RESULT = "n_paragraphs long, n_licence_paragraphs long, families string, family string, probability double, similarity double"
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) -> doc_id, n_paragraphs, n_licence_paragraphs, families, family, probability, similarity.
 
-    Paragraphs are the lines that have a word. families lists those of confirmed paragraphs; family, probability and
-    similarity are of the most probable confirmed one, null without any. Null and empty texts have no paragraphs;
+    Paragraphs are parted by lines without a word. families lists all that are confirmed in a line or paragraph; family,
+    probability and similarity are of the most probable confirmed one, null without any. Null and empty texts have no paragraphs;
     repeated rows each get their row; other columns are ignored; an empty table gives an empty result.
     """
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        notices = Notices()
         for batch in batches:
             rows = []
             for text in batch:
-                paragraphs = [words for line in (text or "").split("\n") if (words := words_of(line))]
+                lines = [words_of(line) for line in (text or "").split("\n")]
+                paragraphs = [list(group) for some, group in groupby(lines, bool) if some]
+                flat = [line for paragraph in paragraphs for line in paragraph]
+                owner = [k for k, paragraph in enumerate(paragraphs) for _ in paragraph]
                 found = []
-                if paragraphs:
-                    p = model.probabilities(paragraphs)
+                if flat:
+                    p = model.probabilities(flat)
                     best = p.argmax(1)
                     for i in np.flatnonzero((best > 0) & (p.max(1) >= LEAST_PROBABILITY)):
                         family = model.classes[best[i]]
-                        share = overlap(paragraphs[i], family)
+                        share = overlap(flat[i], family)
                         if share >= LEAST_OVERLAP:
-                            found.append((round(float(p[i, best[i]]), 6), round(share, 6), family))
+                            found.append((round(float(p[i, best[i]]), 6), round(share, 6), family, owner[i]))
+                    found += [(*x, k) for k, paragraph in enumerate(paragraphs) for x in confirmed([w for line in paragraph for w in line], notices, model)]
                 top = max(found, default=(None, None, None))
-                rows.append((len(paragraphs), len(found), ",".join(sorted({f for *_, f in found})), top[2], top[0], top[1]))
+                rows.append((len(paragraphs), len({k for *_, k in found}), ",".join(sorted({f for _, _, f, _ in found})), top[2], top[0], top[1]))
             yield pd.DataFrame(rows, columns=["n_paragraphs", "n_licence_paragraphs", "families", "family", "probability", "similarity"])
 
     return docs.select("doc_id", F.explode(F.array(run("text"))).alias("x")).select("doc_id", "x.*")

@@ -39,3 +39,14 @@ def test_documents(spark, model):
     assert sorted((str(r.doc_id), str(r.family)) for r in found) == expected
     assert all((r.family is None) == (r.n_licence_paragraphs == 0) for r in found)
     assert licences.scan(spark.createDataFrame([], SCHEMA), model).count() == 0
+
+
+def test_wrapped_short_and_dual_notices(spark, model):
+    wrap = lambda text, n: "\n".join(" * " + " ".join(text.split()[i:i + n]) for i in range(0, len(text.split()), n))
+    long = {f: max(t, key=len) for f, t in licences.TEMPLATES.items()}
+    rows = [(i, f"Some words above.\n\n{wrap(long[f], 7)}\n\nand below", f) for i, f in enumerate(long) if len(long[f].split()) > 12]
+    rows += [(50, "text before\nAll rights reserved.\ntext after", "all-rights-reserved"), (51, "Copyright 2020 A. B. All rights reserved.", "all-rights-reserved")]
+    rows += [(60 + i, t, "apache-2.0,mit") for i, t in enumerate(("MIT OR Apache-2.0", "Licensed under the MIT License or the\nApache License, Version 2.0.", "SPDX-License-Identifier: MIT OR Apache-2.0", "Dual licensed under MIT/Apache-2.0"))]
+    rows += [(70, "Licensed under CC BY-SA 4.0.", "cc-by-sa"), (71, "She rights all\n\nreserved tables", "")]
+    found = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert {i: found[i] for i, *_ in rows} == {i: f for i, _, f in rows}
