@@ -24,7 +24,9 @@ BANDS, ROWS = 40, 6
 #: A shingle of at most so many of the compared documents is rare.
 RARE = 16
 #: Pairs or labels, of two 16-byte names each, that are broadcast; more of them are joined by shuffles.
-SMALL = 60_000
+SMALL = 20_000
+#: Longs of a set's bitmap.
+LONGS = 16
 #: Shingles signed at once, so that the work stays in the processor's cache.
 CHUNK = 1 << 15
 
@@ -147,6 +149,32 @@ def rare_pairs(rare: DataFrame) -> DataFrame:
     return x.join(y, "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
 
 
+def parities(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, bits_0, ...): for each place of a bitmap, whether an odd number of the node's shingles falls on it.
+
+    Two nodes' bitmaps differ in no more places than their sets differ in shingles.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("set")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            place = (mix64(values, 31) % np.uint64(64 * LONGS)).astype(np.int64)
+            odd = np.zeros((len(lists), 64 * LONGS), np.uint8)
+            np.bitwise_xor.at(odd, (np.repeat(np.arange(len(lists)), np.diff(ends)), place[ends[0]:ends[-1]]), 1)
+            words = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(words[:, k]) for k in range(LONGS))], ["node", *(f"bits_{k}" for k in range(LONGS))])
+
+    sets = texts.join(nodes, "node", "left_semi").select("node", shingle_set(F.col("text"), size).alias("set"))
+    return cut(sets.mapInArrow(run, "node binary, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
+
+
+def similar_bits(percent: int) -> Column:
+    """Whether the bitmaps of a and b are as near as those of sets of the similarity are. A quarter is counted first."""
+    differ = lambda k: sum((F.bit_count(F.col(f"bits_{i}_a").bitwiseXOR(F.col(f"bits_{i}_b"))) for i in range(1, k)), F.bit_count(F.col("bits_0_a").bitwiseXOR(F.col("bits_0_b"))))
+    few = lambda k: (100 + percent) * differ(k) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return few(LONGS // 4) & few(LONGS)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) -> doc_id, h, n_shingles, component_id, kept; one row per input row.
 
@@ -207,22 +235,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     mixed = cut(divided(members.select("band", "key", "node", "n")))
     rare = rare_shingles(mixed.select("node").distinct(), texts, size)
     mixed = mixed.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
-    mixed = cut(mixed.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare"))
-    # The member with the least of its own is nearest to what the others have in common, so most of them link to it.
-    heads = mixed.groupBy("band", "key").agg(F.max(F.struct(F.col("common") / F.col("n"), F.col("n"), F.col("node").alias("head"))).alias("best")).select("band", "key", "best.head")
-    near = mixed.join(heads, ["band", "key"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    near = cut(apart(near).join(tried, ["a", "b"], "left_anti"))
-    if not near.isEmpty():
+    mixed = mixed.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare").withColumn("led", F.lit(False))
+    mixed = cut(mixed)
+    # The member with the least of its own is nearest to what the others have in common, so most of them link to it. Each
+    # round has another component's member as head; a round that links nothing is the last.
+    while not mixed.where(~F.col("led")).isEmpty():
+        best = F.max(F.struct(F.col("common") / F.col("n"), F.col("n"), F.col("node").alias("head"), F.col("comp").alias("head_comp"))).alias("best")
+        heads = cut(mixed.where(~F.col("led")).groupBy("band", "key").agg(best).select("band", "key", "best.head", "best.head_comp"))
+        near = mixed.join(heads, ["band", "key"]).where(F.col("comp") != F.col("head_comp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        near = cut(near.join(tried, ["a", "b"], "left_anti"))
+        if near.isEmpty():
+            break
         tried = held(cut(tried.unionAll(near)))
-        found = joined(verified(near, texts, size, percent))
+        links = verified(near, texts, size, percent)
+        if links.isEmpty():
+            break
+        found = joined(links)
+        led = F.col("led") | F.coalesce(F.col("comp") == F.col("head_comp"), F.lit(False))
+        mixed = cut(divided(mixed.join(heads, ["band", "key"], "left").withColumn("led", led).drop("head", "head_comp")))
     tried = held(cut(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    # Two nodes share no more than their rare shingles in common, which are counted, and the lesser number of others.
-    # So pairs of a bucket that share no rare shingle, and pairs that share some, are compared only if that is enough.
-    mixed = divided(mixed)
+    # Two nodes share no more than their rare shingles in common, which are counted, and the lesser number of others. So
+    # pairs that share rare shingles, and pairs of a bucket that need none, are compared only if that is enough; of the
+    # latter, those whose bitmaps differ in more bits than sets so similar can differ in shingles are not.
     enough = lambda both: (100 + percent) * (both + F.least("common_a", "common_b")) >= percent * (F.col("n_a") + F.col("n_b"))
     side = lambda rows, s: rows.select(*[F.col(c).alias(f"{c}_{s}") if c not in ("band", "key") else F.col(c) for c in rows.columns])
-    could = cut(mixed.where(100 * F.col("common") >= percent * F.col("n")))
-    alike = side(could, "a").join(side(could, "b"), ["band", "key"]).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.lit(0)))
+    could = cut(mixed.where(100 * F.col("common") >= percent * F.col("n")).drop("led"))
+    could = cut(could.join(parities(could.select("node").distinct(), texts, size), "node"))
+    apart_enough = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.lit(0))
+    alike = side(could, "a").join(side(could, "b"), ["band", "key"]).where(apart_enough & similar_bits(percent))
     nodes = mixed.select("node", "n", "common", "comp").distinct()
     sharing = rare_pairs(rare).join(side(nodes, "a"), F.col("a") == F.col("node_a")).join(side(nodes, "b"), F.col("b") == F.col("node_b"))
     sharing = sharing.where((F.col("comp_a") != F.col("comp_b")) & enough(F.col("both")))
