@@ -8,6 +8,7 @@ footers, sidebars, notices, adverts, forms, scripts, styles and comments that th
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,29 +27,43 @@ PIECES = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li optgrou
 #: Stands for the page itself in counts.
 PAGE = 0
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
-MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: A comment, a declaration, or a tag up to its end; quotes count at the beginning of an attribute's value alone.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?>[\s/]++|[^\s/<>][^\s/<>=]*+(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+)?+)*+)(>|\Z)?", re.S)
+ATTRIBUTE = re.compile(r"([^\s/<>][^\s/<>=]*+)(?>\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+)?+")
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math canvas object".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements of other vocabularies, in which a slash ends an element.
+FOREIGN = frozenset("svg math".split())
+#: Elements in which an opening tag ends none outside.
+SCOPES = frozenset("template object svg math noscript".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag of a key's set ends an open element of the key.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
 #: Elements that hold the article or are it; no subtree with one of these is template.
 WHOLE = frozenset("html body article main".split())
 #: Elements and words of class, id and role that are not the article.
-DROP_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
+DROP_TAGS = frozenset("nav footer aside form button select dialog menu head noscript template svg canvas object".split())
 DROP_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments discussion disqus replies related recommended widget toolbar masthead copyright contentinfo complementary pagination pager search".split()
 )
 HEADERS = frozenset({"header", "masthead", "banner", "topbar"})
+#: What may stand beside such a word in one class: a class with any other part says something else.
+BESIDE = frozenset("left right top bottom upper lower inner outer main site page global primary secondary first last bar box area list item items section wrap wrapper container block group row column content body text title link links button buttons icon icons post posts article articles form field region zone slot unit module panel inline sticky fixed mobile desktop large small".split())
 #: Classes, ids and roles of readers' comments and lists of them; articles in such an element go with it.
 COMMENT_LISTS = frozenset("comment comments comment-body comment-content comment-item comment-list comment-section comments-area comments-list commentlist disqus replies reply".split())
-HEAD = re.compile(r"[a-z]*")
+PARTS = re.compile(r"[a-z]+")
+
+
+def marks(attributes: str) -> Iterator[tuple[str, str]]:
+    """Names and values of the attributes that tell what an element is for."""
+    for name, value in ATTRIBUTE.findall(attributes):
+        if (name := name.lower()) in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            yield name, value.strip("\"'").lower()
 
 
 def comments(attributes: str) -> bool:
-    return any(name.lower() in ("class", "id", "role") and COMMENT_LISTS & set(value.strip("\"'").lower().replace("_", "-").split()) for name, value in MARK.findall(attributes))
+    return any(name in ("class", "id", "role") and COMMENT_LISTS & set(value.replace("_", "-").split()) for name, value in marks(attributes))
 
 
 def dropped(tag: str, attributes: str, inside: bool) -> bool:
@@ -59,13 +74,14 @@ def dropped(tag: str, attributes: str, inside: bool) -> bool:
         return False
     if tag in ("article", "main"):
         return comments(attributes)
-    for name, value in MARK.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+    words = DROP_WORDS - HEADERS if inside else DROP_WORDS | HEADERS
+    for name, value in marks(attributes):
         if name in ("class", "id", "role"):
-            # Whole classes, or their beginnings up to another sign than a letter.
-            words = {HEAD.match(x)[0] for x in value.split()}
-            if words & DROP_WORDS - (HEADERS if inside else frozenset()) or (words & HEADERS and not inside):
-                return True
+            # Whole classes: a word of the list, alone or with words of place and shape, numbers aside.
+            for x in value.split():
+                parts = set(PARTS.findall(x))
+                if parts & words and parts <= words | BESIDE:
+                    return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True
     return False
@@ -80,7 +96,10 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.frames: list[list] = []
-        self.articles = self.mains = 0
+        #: How many elements of each tag are open, and the places of blocks among the open elements.
+        self.opened: Counter = Counter()
+        self.open_blocks: list[int] = []
+        self.articles = self.mains = self.foreign = 0
         self.read(html)
 
     def flush(self) -> None:
@@ -100,18 +119,30 @@ class Page:
             self.close()
         if tag in BLOCKS:
             # An open p ends also with inline elements in it that were left open.
-            depth = next((d for d in range(len(self.frames) - 1, -1, -1) if self.frames[d][0] in BLOCKS), None)
-            if depth is not None and self.frames[depth][0] == "p":
+            if self.open_blocks and self.frames[self.open_blocks[-1]][0] == "p":
+                depth = self.open_blocks[-1]
                 while len(self.frames) > depth:
                     self.close()
             self.flush()
+        if tag in BLOCKS or tag in SCOPES:
+            self.open_blocks.append(len(self.frames))
         drop = dropped(tag, attributes, self.articles > 0)
         self.articles += tag == "article" and not drop
         self.mains += tag == "main" and not drop
-        self.frames.append([tag, attributes, drop, len(self.blocks), len(self.text), [], False, self.articles, self.mains])
+        self.foreign += tag in FOREIGN
+        self.opened[tag] += 1
+        # What is left out within a paragraph does not end it, so its text so far is put by.
+        before = None
+        if drop and tag not in BLOCKS:
+            before, self.text = self.text, []
+        self.frames.append([tag, attributes, drop, len(self.blocks), before, [], False, self.articles, self.mains])
 
     def close(self) -> None:
-        tag, attributes, drop, blocks, text, parts, holds, articles, mains = self.frames.pop()
+        tag, attributes, drop, blocks, before, parts, holds, articles, mains = self.frames.pop()
+        self.opened[tag] -= 1
+        self.foreign -= tag in FOREIGN
+        if tag in BLOCKS or tag in SCOPES:
+            self.open_blocks.pop()
         if tag in BLOCKS:
             self.flush()
         # Attributes are left out, as links and ids differ from page to page; the last bit tells pieces.
@@ -124,13 +155,11 @@ class Page:
             if parts:
                 self.frames[-1][5].append(str(tree))
         if drop or (counted and tree in self.template):
-            if len(self.blocks) == blocks:
-                del self.text[text:]
-            else:
+            if len(self.blocks) > blocks:
                 # Articles and main elements in it stay; those in a form rank with others, those in further elements after them.
                 stays = holds and not articles and not comments(attributes)
                 self.blocks[blocks:] = [(t, kind, n + (tag != "form")) for t, kind, n in self.blocks[blocks:] if stays and kind > (mains > 0)]
-                self.text.clear()
+            self.text = before or []
         self.articles -= tag == "article" and not drop
         self.mains -= tag == "main" and not drop
 
@@ -143,8 +172,12 @@ class Page:
             tag = (token[2] or "").lower()
             if not tag:
                 continue
-            if token[1]:
-                if any(f[0] == tag for f in self.frames):
+            if not token[4]:
+                # Broken off by another tag or the page's end: markup only if it has an attribute's value.
+                if "=" not in token[3]:
+                    self.say(unescape(token[0]))
+            elif token[1]:
+                if self.opened[tag]:
                     while self.frames[-1][0] != tag:
                         self.close()
                     self.close()
@@ -154,7 +187,7 @@ class Page:
             elif tag in VOID:
                 if tag in ("br", "hr"):
                     self.say(" ")
-            else:
+            elif not (token[3].endswith("/") and (self.foreign or tag in FOREIGN)):
                 self.open(tag, token[3])
         if at < len(html):
             self.say(unescape(html[at:]))
