@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Tables of at most so many bytes are broadcast by :func:`lookup`.
+BROADCAST_BYTES = 8 << 20
 #: ASCII white space: space and the control characters from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -58,17 +61,41 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = 200_000, salts: int = 16) -> DataFrame:
-    """Join ``big`` to the narrow table ``small``, unique in ``on``, whatever the skew of ``big``'s keys.
+def row_bytes(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes, from the lengths of what is of no fixed width."""
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return none(F.octet_length(value)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((row_bytes(f.dataType, value[f.name]) for f in kind), F.lit(8))
+    if isinstance(kind, T.MapType):
+        entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
+        return row_bytes(entries, F.map_entries(value))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        fixed = inner.fields if isinstance(inner, T.StructType) else [T.StructField("", inner)]
+        if not any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)) for f in fixed):
+            return none(F.size(value)) * (8 * len(fixed) + (16 if isinstance(inner, T.StructType) else 0)) + 24
+        return none(F.aggregate(value, F.lit(24).cast("long"), lambda n, x: n + row_bytes(inner, x)))
+    return F.lit(8).cast("long")
 
-    The size of ``small`` is counted (it should be cut or cheap). Up to ``limit`` rows it is broadcast; beyond that
+
+def total_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take in memory; one pass over ``df``."""
+    return df.agg(F.sum(sum((row_bytes(f.dataType, F.col(f.name)) for f in df.schema), F.lit(16)))).first()[0] or 0
+
+
+def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
+    """Join ``big`` to the table ``small``, unique in ``on``, whatever the skew of ``big``'s keys.
+
+    The bytes of ``small`` are summed up (it should be cut or cheap). Up to ``limit`` of them it is broadcast; beyond that
     each of its rows is repeated under ``salts`` salts and ``big`` is dealt out by key and salt, so that one key's rows
     go to that many tasks. Keys match as null-safe equals; ``on`` keeps ``big``'s columns.
     """
     small = small.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], *[c for c in small.columns if c not in on])
     match = [same(big[c], small[f"__k{i}"]) for i, c in enumerate(on)]
     keys = [f"__k{i}" for i in range(len(on))]
-    if small.count() <= limit:
+    if total_bytes(small) <= limit:
         return big.join(F.broadcast(small), match, how).drop(*keys)
     small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rest = [c for c in big.columns if c not in on] or on
