@@ -74,7 +74,10 @@ def signatures(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def sign(bands: int, rows: int):
-    """Arrow batches of doc_id, h, set -> doc_id, h, n, node, bands; node is a 128-bit hash of the set, null if empty."""
+    """Arrow batches of doc_id, h, set -> doc_id, h, n, node, buckets.
+
+    node is a 128-bit hash of the set, null if empty; buckets are 64-bit hashes of a band's number and its coordinates.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("set")
@@ -85,19 +88,25 @@ def sign(bands: int, rows: int):
             node, band = np.full(len(counts), None, object), np.full(len(counts), None, object)
             if len(full):
                 signs = signatures(values, starts, bands * rows).astype(np.uint64).reshape(len(full), bands, rows)
-                keys = np.zeros((len(full), bands), np.uint64)
+                keys = np.tile(mix64(np.arange(bands, dtype=np.uint64), 5), (len(full), 1))
                 for r in range(rows):
                     keys = mix64(keys ^ signs[:, :, r], r + 2)
                 sums = np.stack([np.add.reduceat(mix64(values, s), starts[:-1]) for s in (11, 13)], 1).astype(">u8")
                 for i, k in enumerate(full):
                     node[k], band[k] = sums[i].tobytes(), keys[i].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "h", "n", "node", "bands"]
+                [batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "h", "n", "node", "buckets"]
             )
 
     return run
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A narrow table that later rounds build on, written and read: unlike checkpoints, files carry no conditions on their
+    columns along, which would multiply from round to round and take the planner minutes."""
+    return keep(df, "near")
+
+
 def held(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """``df``, to be broadcast to its joins if it is counted to have at most ``limit`` narrow rows; it should be cut."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -110,16 +119,18 @@ def components(links: DataFrame) -> DataFrame:
     shuffle where the labels are few enough to be broadcast.
     """
     pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
-    both = cut(links.select(F.explode(F.array(pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b"))).alias("e")).select("e.*"))
-    labels = held(cut(both.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")))
+    both = settled(links.select(F.explode(F.array(pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b"))).alias("e")).select("e.*"))
+    labels = settled(both.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp"))
+    few = labels.count() <= SMALL
     while True:
+        labels = F.broadcast(labels) if few else labels
         own = F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("was")
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(own, F.min("comp").alias("near"))
         jump = labels.select(F.col("node").alias("j"), F.col("comp").alias("to"))
-        new = cut(near.join(jump, F.col("near") == F.col("j")).select(F.col("a").alias("node"), "was", F.least("near", "to").alias("comp")))
-        labels = held(new.select("node", "comp"))
+        new = settled(near.join(jump, F.col("near") == F.col("j")).select(F.col("a").alias("node"), "was", F.least("near", "to").alias("comp")))
+        labels = new.select("node", "comp")
         if new.where("was <> comp").isEmpty():
-            return labels
+            return F.broadcast(labels) if few else labels
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -130,17 +141,17 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     """
     pairs = held(pairs)
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    left = texts.join(held(cut(pairs.select(F.col("a").alias("node")).distinct())), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    left = texts.join(held(settled(pairs.select(F.col("a").alias("node")).distinct())), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("ta"))
     joined = right.join(left, "a")
     sets = F.struct(shingle_set(F.col("ta"), size).alias("x"), shingle_set(F.col("tb"), size).alias("y"))
     sizes = lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("i"), (F.size(s["x"]) + F.size(s["y"])).alias("s"))
-    return cut(once(joined, sets, sizes).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
+    return settled(once(joined, sets, sizes).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
 
 
 def rare_shingles(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(node, shingle): the shingles that at most ``RARE`` of the nodes have."""
     used = texts.join(nodes, "node", "left_semi").select("node", F.explode(shingle_set(F.col("text"), size)).alias("shingle"))
-    return cut(used.join(used.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE).drop("n"), "shingle").select("node", "shingle"))
+    return settled(used.join(used.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE).drop("n"), "shingle").select("node", "shingle"))
 
 
 def rare_pairs(rare: DataFrame) -> DataFrame:
@@ -150,7 +161,7 @@ def rare_pairs(rare: DataFrame) -> DataFrame:
 
 
 def parities(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, bits_0, ...): for each place of a bitmap, whether an odd number of the node's shingles falls on it.
+    """(node, n, bits_0, ...): for each place of a bitmap, whether an odd number of the node's shingles falls on it.
 
     Two nodes' bitmaps differ in no more places than their sets differ in shingles.
     """
@@ -162,10 +173,10 @@ def parities(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             odd = np.zeros((len(lists), 64 * LONGS), np.uint8)
             np.bitwise_xor.at(odd, (np.repeat(np.arange(len(lists)), np.diff(ends)), place[ends[0]:ends[-1]]), 1)
             words = np.packbits(odd, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(words[:, k]) for k in range(LONGS))], ["node", *(f"bits_{k}" for k in range(LONGS))])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *(pa.array(words[:, k]) for k in range(LONGS))], ["node", "n", *(f"bits_{k}" for k in range(LONGS))])
 
-    sets = texts.join(nodes, "node", "left_semi").select("node", shingle_set(F.col("text"), size).alias("set"))
-    return cut(sets.mapInArrow(run, "node binary, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
+    sets = texts.join(nodes, "node").select("node", "n", shingle_set(F.col("text"), size).alias("set"))
+    return settled(sets.mapInArrow(run, "node binary, n long, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
 
 
 def similar_bits(percent: int) -> Column:
@@ -185,95 +196,91 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.select("doc_id", "h", shingle_set(F.col("text"), size).alias("set"))
-    signed = cut(signed.mapInArrow(sign(bands, rows), f"doc_id {kind}, h long, n long, node binary, bands array<long>"))
+    signed = cut(signed.mapInArrow(sign(bands, rows), f"doc_id {kind}, h long, n long, node binary, buckets array<long>"))
     classes = signed.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("docs")
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.count("*").alias("docs")
     )
     classes = cut(classes)
-    buckets = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = cut(buckets.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"))
-    members = cut(lookup(buckets, shared, ["band", "key"], "inner").select("band", "key", "node", "n", "head"))
+    buckets = classes.select("node", "n", F.explode("buckets").alias("bucket"))
+    shared = settled(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    members = settled(lookup(buckets, shared, ["bucket"], "inner", salts=4).select("bucket", "node", "n", "head"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = members.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n")))
-    stars = cut(stars.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands")))
+    stars = stars.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"))
 
     asked = members.select("node").distinct().join(classes.select("node", "row.doc_id", "row.h"), "node")
     texts = lookup(docs, asked.groupBy("doc_id", "h").agg(F.first("node").alias("node")), ["doc_id", "h"], "inner", salts=1)
     texts = keep(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    first = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b"))
-    found = components(verified(first, texts, size, percent))
+    tried = settled(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b"))
+    found = components(verified(tried, texts, size, percent))
 
     def joined(more: DataFrame) -> DataFrame:
         """The labels after more links: only the components that these link are gone through again."""
         one, two = (found.select(F.col("node").alias(x), F.col("comp").alias(c)) for x, c in (("a", "ca"), ("b", "cb")))
         ends = more.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        ends = cut(ends)
+        ends = settled(ends)
         onward = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("ca"), F.col("comp").alias("to"))
         label = lambda x, c: F.struct(F.col(x).alias("node"), F.col(c).alias("comp"))
         every = found.unionAll(ends.select(F.explode(F.array(label("a", "ca"), label("b", "cb"))).alias("e")).select("e.*")).distinct()
-        return held(cut(every.join(onward, F.col("comp") == F.col("ca"), "left").select("node", F.coalesce("to", "comp").alias("comp"))))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are still in different components."""
-        labels = found.select(F.col("node").alias("x"), "comp")
-        one = pairs.join(labels, F.col("a") == F.col("x"), "left").withColumn("ca", F.coalesce("comp", "a")).drop("x", "comp")
-        two = one.join(labels, F.col("b") == F.col("x"), "left").withColumn("cb", F.coalesce("comp", "b"))
-        return two.where(F.col("ca") != F.col("cb")).select("a", "b")
-
-    tried = held(first)
-    more = cut(apart(stars.select("a", "b")).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        tried = held(cut(tried.unionAll(more)))
-        found = joined(verified(more, texts, size, percent))
+        return held(settled(every.join(onward, F.col("comp") == F.col("ca"), "left").select("node", F.coalesce("to", "comp").alias("comp"))))
+
     def divided(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with their components."""
         now = rows.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-        return now.join(several, ["band", "key"], "left_semi")
+        several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        return now.join(several, "bucket", "left_semi")
 
-    mixed = cut(divided(members.select("band", "key", "node", "n")))
+    mixed = settled(divided(members.select("bucket", "node", "n")))
     rare = rare_shingles(mixed.select("node").distinct(), texts, size)
     mixed = mixed.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
     mixed = mixed.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare").withColumn("led", F.lit(False))
-    mixed = cut(mixed)
+    mixed = settled(mixed)
+    bits = parities(mixed.select("node", "n").distinct(), texts, size)
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and bitmaps allow the similarity."""
+        for x in ("a", "b"):
+            pairs = pairs.join(bits.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in bits.columns if c != "node"]), x)
+        return pairs.where(fits(F.col("n_a"), F.col("n_b")) & similar_bits(percent)).select("a", "b")
+
     # The member with the least of its own is nearest to what the others have in common, so most of them link to it. Each
     # round has another component's member as head; a round that links nothing is the last.
     while not mixed.where(~F.col("led")).isEmpty():
         best = F.max(F.struct(F.col("common") / F.col("n"), F.col("n"), F.col("node").alias("head"), F.col("comp").alias("head_comp"))).alias("best")
-        heads = cut(mixed.where(~F.col("led")).groupBy("band", "key").agg(best).select("band", "key", "best.head", "best.head_comp"))
-        near = mixed.join(heads, ["band", "key"]).where(F.col("comp") != F.col("head_comp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        near = cut(near.join(tried, ["a", "b"], "left_anti"))
+        heads = settled(mixed.where(~F.col("led")).groupBy("bucket").agg(best).select("bucket", "best.head", "best.head_comp"))
+        near = mixed.join(heads, "bucket").where(F.col("comp") != F.col("head_comp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        near = settled(plausible(near.join(tried, ["a", "b"], "left_anti")))
         if near.isEmpty():
             break
-        tried = held(cut(tried.unionAll(near)))
+        tried = settled(tried.unionAll(near))
         links = verified(near, texts, size, percent)
         if links.isEmpty():
             break
         found = joined(links)
         led = F.col("led") | F.coalesce(F.col("comp") == F.col("head_comp"), F.lit(False))
-        mixed = cut(divided(mixed.join(heads, ["band", "key"], "left").withColumn("led", led).drop("head", "head_comp")))
-    tried = held(cut(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+        mixed = settled(divided(mixed.join(heads, "bucket", "left").withColumn("led", led).drop("head", "head_comp")))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Two nodes share no more than their rare shingles in common, which are counted, and the lesser number of others. So
     # pairs that share rare shingles, and pairs of a bucket that need none, are compared only if that is enough; of the
     # latter, those whose bitmaps differ in more bits than sets so similar can differ in shingles are not.
     enough = lambda both: (100 + percent) * (both + F.least("common_a", "common_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    side = lambda rows, s: rows.select(*[F.col(c).alias(f"{c}_{s}") if c not in ("band", "key") else F.col(c) for c in rows.columns])
-    could = cut(mixed.where(100 * F.col("common") >= percent * F.col("n")).drop("led"))
-    could = cut(could.join(parities(could.select("node").distinct(), texts, size), "node"))
+    side = lambda rows, s: rows.select(*[F.col(c).alias(f"{c}_{s}") if c != "bucket" else F.col(c) for c in rows.columns])
+    could = settled(mixed.where(100 * F.col("common") >= percent * F.col("n")).drop("led"))
+    could = settled(could.join(bits.drop("n"), "node"))
     apart_enough = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.lit(0))
-    alike = side(could, "a").join(side(could, "b"), ["band", "key"]).where(apart_enough & similar_bits(percent))
+    alike = side(could, "a").join(side(could, "b"), "bucket").where(apart_enough & similar_bits(percent))
     nodes = mixed.select("node", "n", "common", "comp").distinct()
     sharing = rare_pairs(rare).join(side(nodes, "a"), F.col("a") == F.col("node_a")).join(side(nodes, "b"), F.col("b") == F.col("node_b"))
     sharing = sharing.where((F.col("comp_a") != F.col("comp_b")) & enough(F.col("both")))
     rest = alike.select("node_a", "node_b").unionAll(sharing.select("node_a", "node_b"))
-    rest = cut(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = settled(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = joined(verified(rest, texts, size, percent))
 
     named = classes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    ids = cut(named.select("node", "comp", "docs").join(ids, "comp").where((F.col("docs") > 1) | (F.col("members") > 1)).select("node", "component_id"))
+    ids = settled(named.select("node", "comp", "docs").join(ids, "comp").where((F.col("docs") > 1) | (F.col("members") > 1)).select("node", "component_id"))
     out = lookup(signed.select("doc_id", "h", "n", "node"), ids.withColumn("linked", F.lit(True)), ["node"])
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

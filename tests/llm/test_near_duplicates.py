@@ -118,7 +118,7 @@ def test_bitmaps_never_rule_out_similar_sets(spark):
             copy[rng.randrange(n)] = "y"
         rows += [(f"{k}a".encode(), " ".join(words)), (f"{k}b".encode(), " ".join(copy))]
     texts = spark.createDataFrame(rows, "node binary, text string")
-    bits = nd.parities(texts.select("node"), texts, 4).join(texts.select("node", F.size(nd.shingle_set(F.col("text"), 4)).alias("n")), "node")
+    bits = nd.parities(texts.select("node", F.size(nd.shingle_set(F.col("text"), 4)).cast("long").alias("n")), texts, 4)
     k = lambda side: F.expr("substring(node, 1, length(node) - 1)") if side else F.col("node")
     a, b = (bits.withColumn("k", k(True)).where(F.col("node").cast("string").endswith(x)).select("k", *[F.col(c).alias(f"{c}_{x}") for c in bits.columns]) for x in "ab")
     kept = {bytes(r.k) for r in a.join(b, "k").where(nd.similar_bits(80)).collect()}
