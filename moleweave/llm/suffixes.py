@@ -12,6 +12,7 @@ Lengths: a passage of ``PASSAGE`` words keeps a suffix among its first ``WINDOW`
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ PASSAGE, RUN, WINDOW = 50, 8, 16
 PREFIX = PASSAGE - (WINDOW - 1)
 LEFT, RIGHT = 16, 52
 BASE = 0x9E3779B97F4A7C15
+#: Neighbouring partitions whose ends one task compares.
+GROUP = 32
 
 
 def word_hashes(text: Column) -> Column:
@@ -186,6 +189,20 @@ def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(held, done, True)
 
 
+def compare_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part = TaskContext.get().partitionId()
+    for found in compare(batches):
+        yield found.assign(part=part)
+
+
+def compare_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for each of the groups of rows that come one after another, told by ``part``."""
+    rows = (rows for batch in batches for _, rows in batch.groupby("part", sort=False))
+    for part, group in groupby(rows, lambda rows: rows["part"].iloc[0]):
+        for found in compare(x.drop(columns="part").reset_index(drop=True) for x in group):
+            yield found.assign(part=part)
+
+
 def merged(spans: list[tuple[int, int, object]]) -> list[tuple[int, int, object]]:
     out: list[list] = []
     for begin, until, other in sorted(spans, key=lambda s: s[:2]):
@@ -202,7 +219,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     another document with another text has too, merged where they overlap, and whole texts of that size with copies.
 
     other_doc is one of the documents that share the passage. Null, empty and short texts have none; rows that repeat a
-    doc_id with its text are one document; null ids are kept. Other columns are ignored; an empty table gives none.
+    doc_id with its text are one document, and a doc_id with several texts has the passages of each; null ids are kept.
+    Words are compared by 32-bit hashes, so a word that differs within a passage is overlooked once in 4 * 10^9. Other columns are ignored; an empty table gives none.
     Where three documents or more share a suffix, a passage may begin up to ``WINDOW`` - 1 words late, as those nearest
     by what follows need not be nearest by what goes before.
     """
@@ -211,24 +229,33 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     same = docs.select("doc_id", "h", F.md5("text").alias("m")).groupBy("h", "m").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     same = cut(same.where("least < most").select("h", "m", "least", "most"))
     marked = lookup(docs.withColumn("m", F.md5("text")), same, ["h", "m"])
-    copies = marked.where("least is not null").select("doc_id", F.size(word_array(F.col("text"))).alias("n"), F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.col("most")).otherwise(F.col("least")).alias("other_doc"))
-    copies = cut(copies.where(F.col("n") >= PASSAGE).distinct()).select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").cast("long").alias("end_word"), F.col("n").cast("long").alias("n_words"), "other_doc")
+    copies = marked.where("least is not null").select("doc_id", "h", F.size(word_array(F.col("text"))).alias("n"), F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.col("most")).otherwise(F.col("least")).alias("other_doc"))
+    copies = cut(copies.where(F.col("n") >= PASSAGE).distinct())
+    whole_ids = cut(copies.select(F.col("doc_id").alias("__d"), F.col("h").alias("__g")).distinct())
+    copies = copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").cast("long").alias("end_word"), F.col("n").cast("long").alias("n_words"), "other_doc")
 
     single = marked.where("least is null or doc_id = least").select("doc_id", "h", "text")
     words = word_hashes(F.col("text")).alias("words")
     kept = single.select("doc_id", "h", words).mapInArrow(suffix_keys, "doc_id long, h long, at int, key long")
     shared = cut(kept.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-    found = lookup(kept, shared.withColumn("one", F.lit(1)), ["key"], "inner", limit=0, salts=4)
+    found = lookup(kept, shared.withColumn("one", F.lit(1)), ["key"], "inner", limit=0, salts=8)
     found = cut(found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set(F.struct("at", "key")).alias("kept")))
     rows = single.join(found, single["doc_id"].eqNullSafe(found["d"]) & (single["h"] == found["g"])).select("doc_id", "h", words, "kept")
     schema = "doc_id long, h long, at array<int>, key long, n_left int, n_right int, right binary, left binary"
     suffixes = keep(rows.mapInArrow(suffix_rows, schema), "suffixes")
 
     ordered = suffixes.repartitionByRange(shuffles(spark), "right", "left", "h").sortWithinPartitions("right", "left", "h")
-    compared = f"{schema}, best long, lcp long, lo long, hi long, other long, edge boolean"
-    matched = keep(ordered.mapInPandas(compare, compared), "matches")
-    edges = matched.where("edge").select(*suffixes.columns).repartition(1).sortWithinPartitions("right", "left", "h").mapInPandas(compare, compared)
-    every = matched.unionAll(edges)
+    compared = f"{schema}, best long, lcp long, lo long, hi long, other long, edge boolean, part int"
+    matched = keep(ordered.mapInPandas(compare_partition, compared), "matches")
+    # Where a partition ends, the nearest rows are in the next: the ends of neighbouring partitions are compared by groups
+    # of partitions, then the ends of the groups, until there is one group left. No task gets more than a group's ends.
+    every, ends, parts = matched, matched, shuffles(spark)
+    while parts > 1:
+        parts = -(-parts // GROUP)
+        group = F.floor(F.col("part") / GROUP).cast("int")
+        ends = ends.where("edge").select(*suffixes.columns, group.alias("part")).repartitionByRange(parts, "part").sortWithinPartitions("part", "right", "left", "h")
+        ends = cut(ends.mapInPandas(compare_groups, compared))
+        every = every.unionAll(ends)
     spans = every.where(F.col("best") >= PASSAGE).select("doc_id", "h", F.explode("at").alias("at"), "lo", "hi", "other")
     spans = spans.select("doc_id", "h", (F.col("at") - F.col("lo")).alias("begin"), (F.col("at") + F.col("hi")).alias("until"), "other")
 
@@ -240,7 +267,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     whole = F.concat(F.hex(F.expr("substring(left, 1, 4 * back)")), F.lit("|"), F.hex(F.expr(f"substring(right, 1, 4 * ({PASSAGE} - back))")))
     windows = windows.select("doc_id", "h", "at", "back", F.md5(whole).alias("window"))
     shared = windows.groupBy("window").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("lo <> hi").drop("lo", "hi")
-    more = windows.join(shared, "window").select("doc_id", "h", F.explode("at").alias("at"), "back", "least", "most")
+    more = lookup(windows, cut(shared), ["window"], "inner", salts=8).select("doc_id", "h", F.explode("at").alias("at"), "back", "least", "most")
     begin = (F.col("at") - F.col("back")).cast("long")
     more = more.select("doc_id", "h", begin.alias("begin"), (begin + PASSAGE).alias("until"), F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other"))
 
@@ -250,10 +277,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return spans.map(lambda rows: [{"begin": b, "until": u, "other": o} for b, u, o in merged([(r["begin"], r["until"], plain(r["other"])) for r in rows])])
 
     spans = spans.unionAll(more).groupBy("doc_id", "h").agg(F.collect_set(F.struct("begin", "until", "other")).alias("spans"))
-    spans = spans.select("doc_id", F.explode(join("spans")).alias("s")).select("doc_id", F.col("s.begin").alias("start_word"), F.col("s.until").alias("end_word"), (F.col("s.until") - F.col("s.begin")).alias("n_words"), F.col("s.other").alias("other_doc"))
+    spans = spans.select("doc_id", "h", F.explode(join("spans")).alias("s")).select("doc_id", "h", F.col("s.begin").alias("start_word"), F.col("s.until").alias("end_word"), (F.col("s.until") - F.col("s.begin")).alias("n_words"), F.col("s.other").alias("other_doc"))
     # Copies are listed whole, so the passages of the text that stands for them are not listed again.
-    whole_ids = cut(copies.select(F.col("doc_id").alias("__d")).distinct())
-    return copies.unionAll(spans.join(whole_ids, spans["doc_id"].eqNullSafe(whole_ids["__d"]), "left_anti"))
+    return copies.unionAll(spans.join(whole_ids, spans["doc_id"].eqNullSafe(whole_ids["__d"]) & (spans["h"] == whole_ids["__g"]), "left_anti").drop("h"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

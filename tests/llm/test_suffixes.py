@@ -61,5 +61,24 @@ def test_common_phrases_and_texts_of_few_words(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_one_id_with_several_texts(spark):
+    """Passages are of texts: a copy under an id does not hide what another text of the id shares."""
+    rng = random.Random(7)
+    a, shared = words(rng, 70), words(rng, 60)
+    rows = [(1, " ".join(a), 0, ""), (2, " ".join(a), 0, ""), (1, " ".join(words(rng, 20) + shared), 0, ""), (3, " ".join(words(rng, 30) + shared), 0, "")]
+    out = suffixes.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_doc) for r in out) == [(1, 0, 70, 2), (1, 20, 80, 3), (2, 0, 70, 1), (3, 30, 90, 1)]
+
+
+def test_partition_ends_are_compared_over_several_levels(spark, monkeypatch):
+    """With many partitions, groups of few of them, and hardly more rows than partitions."""
+    monkeypatch.setattr(suffixes, "GROUP", 3)
+    monkeypatch.setattr(suffixes, "shuffles", lambda spark: 23)
+    rng = random.Random(11)
+    passages = [words(rng, n) for n in (60, 75, 90)]
+    rows = [(i, " ".join(words(rng, rng.randint(0, 30)) + passages[i % 3] + words(rng, rng.randint(0, 30))), 0, "") for i in range(15)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
