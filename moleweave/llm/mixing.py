@@ -57,7 +57,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
     """``docs`` with size, source_size, target, copies and taken, one row per input row; other columns are carried.
 
     ``docs`` needs doc_id, text and source. Size is the number of words; null and empty texts have size 0 and are taken
-    or not like others, at no words. Null is a source of its own. Repeated rows are sampled each on their own. Columns
+    or not like others, at no words. Null is a source of its own. Repeated rows are sampled each on their own, and rows
+    without an id are dealt out by their texts; of rows with one id and size, the order of the texts' hashes decides. Columns
     of ``docs`` that bear a result's name are replaced. An empty table gives an empty result.
     """
     return set_aside(docs.drop(*RESULTS), INNER, lambda d: sampled(d, seed, weights, most))
@@ -73,12 +74,12 @@ def sampled(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int) ->
         .withColumn("step", F.least("step", F.lit(most * ONE)))
         .withColumn("start", hex_hash(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))))
     )
-    dealt = lookup(docs, sources, ["source"]).withColumn("bucket", F.pmod(hex_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("n_buckets")))
+    dealt = lookup(docs, sources, ["source"]).withColumn("bucket", F.pmod(hex_hash(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), F.col("n_buckets")))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("source", "bucket", "step", "start").agg(F.count("*").alias("n"))
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("decimal(38,0)") * F.col("step") + F.col("start"))
     counts = cut(counts.select("source", "bucket", (F.col("base") % F.lit(ONE).cast("decimal(38,0)")).cast("long").alias("base")))
-    end = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("size", "doc_id")) * F.col("step") + F.col("base")
+    end = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("size", "doc_id", F.xxhash64("text"))) * F.col("step") + F.col("base")
     return (
         lookup(dealt, counts, ["source", "bucket"])
         .withColumn("end", end)

@@ -49,3 +49,11 @@ def test_mix_is_near_target_whole_and_repeatable(spark):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ties_of_one_id_are_taken_alike_in_every_run(spark):
+    """Texts of equal size under one id, and without an id, in any order and number of partitions."""
+    rows = [(k % 3 or None, f"a b c{k}", f"s{k % 2}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((str(r.doc_id), r.text, r.copies) for r in mix(docs.orderBy(*order).repartition(n)).collect()) for n, order in ((1, ["text"]), (5, ["source", "text"]), (3, ["doc_id"]))]
+    assert runs[0] == runs[1] == runs[2]
