@@ -36,18 +36,20 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+def record_id(page_id: int | None, digest: str, at: str | None = None) -> str:
+    """The id of a page's record; of pages that come with this payload several times, also by its place in the archives."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}' + (f':{at}' if at else ''))}>"
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record; with ``refers_to``, a revisit record without the payload."""
+def record(page_id, url, payload: bytes, digest: str, refers_to, at: str | None = None, several: bool = False) -> bytes:
+    """One WARC record; with ``refers_to``, a revisit record without the payload, which names no id if it could be ``several``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, at)}", f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {''.join(url.split())}"] if url else []), f"WARC-Payload-Digest: sha256:{digest}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []),
+        *([f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []),
+        *([f"WARC-Refers-To: {record_id(refers_to, digest)}"] if refers_to is not None and not several else []),
         *([f"X-Page-Id: {page_id}"] if page_id is not None else []), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", "",
     ]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
@@ -67,15 +69,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def inflated(stream, size: int = READ_BYTES) -> Iterator[bytes]:
-    """The content of a gzip stream of one member or several, piece by piece."""
-    inflate = zlib.decompressobj(31)
+    """The content of a gzip stream of one member or several, in pieces of ``size`` bytes at most, however well it is packed."""
+    inflate, open_ = zlib.decompressobj(31), False
     while data := stream.read(size):
-        while data:
-            yield inflate.decompress(data)
-            data = inflate.unused_data
+        while data or inflate.unconsumed_tail:
+            open_ = True
+            yield inflate.decompress(inflate.unconsumed_tail or data, size)
             if inflate.eof:
-                inflate = zlib.decompressobj(31)
-    if not inflate.eof and inflate.unused_data:
+                data, inflate, open_ = inflate.unused_data, zlib.decompressobj(31), False
+            else:
+                data = b""
+    if open_:
         raise ValueError("the archive ends within a member")
 
 
@@ -105,7 +109,7 @@ def manifest_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write_warc(pages: DataFrame, root: str, roll: int = ROLL_BYTES) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to) -> archives below ``root``, each one gzip stream; their manifest."""
+    """(page_id, url, payload, digest, refers_to, repeated, several) -> archives below ``root``, each one gzip stream; their manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -119,22 +123,22 @@ def write_warc(pages: DataFrame, root: str, roll: int = ROLL_BYTES) -> DataFrame
             out.close()
             rows.append((name, None, count, size))
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{made:05d}.warc.gz"
-                    out, deflate, count, size = store.open_output_stream(f"{folder}/{name}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
-                raw = record(row["page_id"], row["url"], (row["payload"] or "").encode(), row["digest"], row["refers_to"])
-                out.write(deflate.compress(raw))
-                count, size = count + 1, size + len(raw)
-                if size >= roll:
-                    close()
-                    out, made = None, made + 1
+        for row in (row for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+            if out is None:
+                name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{made:05d}.warc.gz"
+                out, deflate, count, size = store.open_output_stream(f"{folder}/{name}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
+            at = f"{task.partitionId()}:{len(rows)}:{count}" if row["repeated"] else None
+            raw = record(row["page_id"], row["url"], (row["payload"] or "").encode(), row["digest"], row["refers_to"], at, row["several"])
+            out.write(deflate.compress(raw))
+            count, size = count + 1, size + len(raw)
+            if size >= roll:
+                close()
+                out, made = None, made + 1
         if out is not None:
             close()
         yield manifest_batch(rows)
 
-    return cut(pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, MANIFEST))
+    return cut(pages.select("page_id", "url", "payload", "digest", "refers_to", "repeated", "several").mapInArrow(run, MANIFEST))
 
 
 def normalise_warc(manifest: DataFrame, source: str, root: str) -> DataFrame:
@@ -191,23 +195,42 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> page_id, url, payload, digest, refers_to: the least page of equal, not small, payloads."""
+    """(page_id, url, html) -> page_id, url, payload, digest, refers_to, repeated, several.
+
+    refers_to is the least page of equal, not small, payloads; repeated, whether other rows have the page_id and payload
+    too; several, whether more than one row has those that are referred to.
+    """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = pages.where(F.octet_length("payload") >= SHARED_BYTES)
     groups = cut(large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return lookup(pages, groups, ["digest"]).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
+    again = cut(pages.groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("page_id", "digest", F.lit(True).alias("repeated")))
+    found = lookup(pages, groups, ["digest"]).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
+    found = lookup(found, again, ["page_id", "digest"])
+    found = lookup(found, again.select(F.col("page_id").alias("refers_to"), "digest", F.lit(True).alias("several")), ["refers_to", "digest"])
+    return found.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("repeated", "several")})
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """The records with size and digest of a revisit taken from the stored payload that it refers to; an error if there is none."""
+    records = cut(records)
+    stored = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("__p"), F.col("payload_digest").alias("__d")).agg(F.first("payload_bytes").alias("__n"))
+    asked = records.where("record_type = 'revisit'").join(stored, (F.col("refers_to") == F.col("__p")) & (F.col("payload_digest") == F.col("__d")), "left")
+    missing = F.raise_error(F.concat(F.lit("no payload for the revisit of page "), F.col("refers_to").cast("string"))).cast("long")
+    asked = asked.withColumn("payload_bytes", F.when(F.col("__n").isNotNull(), F.col("__n")).otherwise(missing)).drop("__p", "__d", "__n")
+    return records.where("record_type = 'response'").unionByName(asked)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives, normalise these, and read them back: a row for each record.
 
     A null html is an empty payload. Of equal payloads of at least ``SHARED_BYTES`` bytes, the least page_id's is stored,
-    and rows that repeat that page_id are stored too; a null page_id is never the one referred to. Line breaks and
-    spaces in a url are dropped from its header. An empty table gives no record. Other columns are ignored.
+    and rows that repeat that page_id are stored too; a null page_id is never the one referred to. Record ids are unique,
+    also of repeated rows. An archive that is cut off anywhere is an error. Line breaks and spaces in a url are dropped
+    from its header. An empty table gives no record. Other columns are ignored.
     """
     spark = pages.sparkSession
     raw, normal = fresh_dir(spark, "warc"), fresh_dir(spark, "warc-records")
-    return read_warc(normalise_warc(write_warc(with_revisits(pages), raw), raw, normal), normal)
+    return resolved(read_warc(normalise_warc(write_warc(with_revisits(pages), raw), raw, normal), normal))
 
 
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import gzip
 import hashlib
 import io
+import json
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from moleweave.llm import warc
@@ -45,5 +48,37 @@ def test_files_roll_over_and_each_record_is_a_member(spark, tmp_path):
     assert found.count() == len(ROWS) and found.where(F.col("length") <= 0).count() == 0
 
 
+def test_archives_that_are_cut_off_are_errors():
+    raw = [warc.record(i, "http://u", b"payload %d" % i * 500, "d", None) for i in range(3)]
+    single = gzip.compress(b"".join(raw))
+    members = b"".join(map(gzip.compress, raw))
+    for data in (single, members):
+        assert len(list(warc.records(io.BytesIO(data)))) == 3
+        for lost in (1, 6, 20, len(data) // 3):
+            with pytest.raises((ValueError, zlib.error)):
+                list(warc.records(io.BytesIO(data[:-lost])))
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.records(io.BytesIO(gzip.compress(raw[0]) + gzip.compress(raw[1])[:10])))
+    assert list(warc.records(io.BytesIO(b""))) == []
+
+
+def test_inflated_pieces_are_bounded():
+    data = gzip.compress(b"\0" * 50_000_000)
+    sizes = [len(x) for x in warc.inflated(io.BytesIO(data), 1 << 16)]
+    assert sum(sizes) == 50_000_000 and max(sizes) <= 1 << 16
+
+
+def test_record_ids_are_unique_and_revisits_find_their_payload(spark, tmp_path):
+    rows = ROWS + [ROWS[0], ROWS[4], ROWS[4]]
+    raw, normal = f"file://{tmp_path}/raw", f"file://{tmp_path}/normal"
+    second = warc.normalise_warc(warc.write_warc(warc.with_revisits(spark.createDataFrame(rows, SCHEMA)).repartition(3), raw), raw, normal)
+    ids = [json.loads(x)["id"] for r in second.collect() for x in open(f"{tmp_path}/normal/{r['index']}")]
+    assert len(ids) == len(set(ids)) == len(rows)
+    found = warc.read_warc(second, normal)
+    assert warc.resolved(found).count() == len(rows)
+    with pytest.raises(Exception, match="no payload for the revisit"):
+        warc.resolved(found.where("record_type = 'revisit'")).collect()
+
+
 def test_empty(spark):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
