@@ -40,11 +40,14 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Released under the Apache 2.0 license.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "gpl-2.0": [
@@ -72,6 +75,9 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-clause BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "mpl-2.0": [
@@ -82,6 +88,7 @@ TEMPLATES = {
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
     "cc0": [
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
@@ -99,7 +106,10 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
-    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
     "all-rights-reserved": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "All rights reserved."],
 }
 #: Names of families in short notices and in choices of two, which are compared whole and not used in the fit.

@@ -50,3 +50,70 @@ def test_wrapped_short_and_dual_notices(spark, model):
     rows += [(70, "Licensed under CC BY-SA 4.0.", "cc-by-sa"), (71, "She rights all\n\nreserved tables", "")]
     found = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame(rows, SCHEMA), model).collect()}
     assert {i: found[i] for i, *_ in rows} == {i: f for i, _, f in rows}
+
+
+#: Notices as they stand at the head of files, none of them given to the fit in this form.
+NOTICES = {
+    "mit": """Copyright (c) 2011 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "gpl-3.0": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "gpl-2.0": """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License
+# as published by the Free Software Foundation; either version 2
+# of the License, or (at your option) any later version.""",
+    "apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//     http://www.apache.org/licenses/LICENSE-2.0""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.""",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */""",
+    "all-rights-reserved": "Copyright 2019 A Company.\nAll rights reserved.",
+}
+
+
+def test_notices_of_real_files(spark, model):
+    rows = [(i, f"int main;\n\n{text}\n\nsome more text here", f) for i, (f, text) in enumerate(NOTICES.items())]
+    found = {r.doc_id: r.families.split(",") for r in licences.scan(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert all(f in found[i] for i, _, f in rows), found
+    assert sum(len(f) for f in found.values()) <= len(rows) + 1
+
+
+def test_stretches_against_every_template_at_every_place():
+    """What the search by rarest pairs gives is what a look at all templates and all stretches gives."""
+    rng = random.Random(4)
+    every = licences.templates()
+    notices = licences.Notices()
+    texts = [licences.words_of(t) for t in NOTICES.values()]
+    for k in range(60):
+        words = licences.words_of(rng.choice(list(NOTICES.values())))
+        words = [w if rng.random() > 0.06 else rng.choice(licences.NEUTRAL) for w in words]
+        texts.append([rng.choice(licences.NEUTRAL) for _ in range(rng.randint(0, 30))] + words + licences.words_of("or mit license" if k % 2 else "all rights reserved"))
+    for words in texts:
+        best: dict = {}
+        for t in every:
+            room = t.size if t.least == 1 else t.size + t.size // 3 + 2
+            for i in range(len(words)):
+                pairs = set(zip(words[i:i + room], words[i + 1:i + room]))
+                share = len(t.pairs & pairs) / len(t.pairs)
+                if share >= t.least:
+                    best[t.family, t.pairs] = max(best.get((t.family, t.pairs), 0), share)
+        near = {}
+        for share, family, *_ in notices.near(words):
+            near[family] = max(near.get(family, 0), share)
+        expected: dict = {}
+        for (family, _), share in best.items():
+            expected[family] = max(expected.get(family, 0), share)
+        assert near == expected
