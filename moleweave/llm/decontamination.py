@@ -3,8 +3,9 @@
 A window is a set of word shingles that a document must contain whole, so one shingle is a sufficient prefix. The
 windows' shingles are ordered by their frequency in the corpus, and only the rarest of each window is joined. Its place
 in the window bounds where the window can start, the document's length bounds where it can end, and an exact comparison
-of the words decides. Only DataFrame functions are used. The corpus is never shuffled by shingle: blocks of windows of
-bounded size are broadcast to it, as many as the benchmark needs.
+of the words decides. Only DataFrame functions are used. The corpus is gone through once for each of a few blocks of
+windows, whose keys are broadcast to it; for more windows its shingles are shuffled by key instead. Keys and numbers of
+windows are all that is broadcast: the words to compare come to the candidates alone.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from moleweave.llm.common import ascii_lower, bind, cut, lookup, table
 
 WINDOW, SHINGLE = 10, 5
-#: Windows in one broadcast block.
-BLOCK = 200_000
+#: Windows in one broadcast block, and the most blocks for which the corpus is gone through again.
+BLOCK, BLOCKS = 200_000, 4
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -68,29 +69,33 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     shingled = [
         windows.where(F.col("size") == k).withColumn("shingles", window_shingles(k, min(SHINGLE, k))).withColumn("n", F.lit(min(SHINGLE, k))) for k in shapes
     ]
-    windows = cut(reduce(DataFrame.unionAll, shingled))
+    windows = cut(reduce(DataFrame.unionAll, shingled).withColumn("wid", F.xxhash64("words")))
     lengths = sorted({min(SHINGLE, k) for k in shapes})
     blocks = -(-windows.count() // BLOCK)
+    sent, blocks = (F.broadcast, blocks) if blocks <= BLOCKS else (lambda df: df, 1)
     found = []
     for block in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         keys = part.select(F.explode("shingles.key").alias("key")).distinct()
-        seen = cut(corpus_shingles(docs, lengths).join(F.broadcast(keys), "key", "left_semi"))
+        seen = cut(corpus_shingles(docs, lengths).join(sent(keys), "key", "left_semi"))
         often = seen.groupBy("key").agg(F.count("*").alias("often"))
-        ranked = part.select("item_id", "words", "size", F.explode("shingles").alias("s")).select("item_id", "words", "size", "s.offset", "s.key")
+        ranked = part.select("wid", "size", F.explode("shingles").alias("s")).distinct().select("wid", "size", "s.offset", "s.key")
         rarest = F.min(F.struct(F.col("often"), F.col("offset"), F.col("key"))).alias("rarest")
-        prefix = ranked.join(cut(often), "key", "left").withColumn("often", F.coalesce("often", F.lit(0))).groupBy("item_id", "words", "size").agg(rarest).where("rarest.often > 0")
-        prefix = cut(prefix.select("rarest.key", "rarest.offset", "size", F.col("words").alias("asked")).groupBy("key", "offset", "size", "asked").agg(F.lit(1).alias("one")))
+        prefix = ranked.join(cut(often), "key", "left").withColumn("often", F.coalesce("often", F.lit(0))).groupBy("wid", "size").agg(rarest).where("rarest.often > 0")
+        prefix = cut(prefix.select("rarest.key", "rarest.offset", "size", "wid"))
         start = F.col("at") - F.col("offset")
-        near = seen.join(F.broadcast(prefix.drop("one")), "key").where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
-        near = cut(near.groupBy("doc_id", "h").agg(F.collect_set(F.struct(start.alias("start"), "size", "asked")).alias("near")))
+        near = seen.join(sent(prefix), "key").where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
+        near = near.select("doc_id", "h", start.alias("start"), "size", "wid").distinct()
+        words = cut(part.select("wid", "size", F.col("words").alias("asked")).distinct())
+        near = cut(lookup(near, words, ["wid", "size"], "inner").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "size", "wid", "asked")).alias("near")))
         # Only the candidates' keys, which are narrow, may be broadcast; their windows come by a shuffle of candidates alone.
         asked = lookup(docs.select("doc_id", "h", "text"), near.select("doc_id", "h", F.lit(1).alias("one")), ["doc_id", "h"], "inner", salts=1)
         near = near.select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), "near")
         asked = asked.join(near.hint("merge"), asked["doc_id"].eqNullSafe(near["__d"]) & (asked["h"] == near["__g"]))
-        right = lambda words: F.filter("near", lambda x: F.slice(words, x["start"], x["size"]) == x["asked"])
+        right = lambda words: F.transform(F.filter("near", lambda x: F.slice(words, x["start"], x["size"]) == x["asked"]), lambda x: F.struct(x["wid"].alias("wid"), x["start"].alias("start"), x["size"].alias("size")))
         hits = asked.select("doc_id", "h", F.explode(bind(item_words(F.col("text")), right)).alias("x")).select("doc_id", "h", "x.*")
-        found.append(hits.join(F.broadcast(part.select("item_id", F.col("words").alias("asked"))), "asked").select("doc_id", "h", "item_id", "start", "size"))
+        items_of = cut(part.select("wid", "size", "item_id").distinct())
+        found.append(lookup(hits, items_of, ["wid", "size"], "inner").select("doc_id", "h", "item_id", "start", "size"))
     return reduce(DataFrame.unionAll, found)
 
 
