@@ -1,26 +1,32 @@
 """Token counts without token ids.
 
-The tokenizer drops white space, so no piece crosses it and a text's count is the sum over its white-space separated
-chunks. Spark counts the distinct chunks, each of which is split into pre-tokens and counted once, and joins the counts
-to the chunks of each document. Frequent chunks are joined by a broadcast of fixed size and rare chunks by a shuffle, so
-no task gets a hot key.
+A first pass splits each text into pre-tokens with the library's own rules and counts each distinct one of the document.
+Spark makes the pre-tokens of all documents distinct, their pieces are counted once each, and the counts are joined to
+the documents' frequencies and summed. Frequent pre-tokens are joined by a broadcast of bounded bytes and rare ones by a
+shuffle, so no task gets a hot key.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moleweave.llm.common import keep, table, word_array
+from moleweave.llm.common import BROADCAST_BYTES, SPACES, keep, table
 
-#: Rows of the broadcast side of :func:`frequent_join`.
-HEAD = 400_000
+#: Stands before a special string's text, which is one piece; no other pre-token has white space in it.
+SPECIAL = " "
+#: Frequencies of so many documents' pre-tokens are sent on at once.
+OUT_ROWS = 1 << 16
+#: Chunks whose pre-tokens a worker remembers.
+KNOWN = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -43,44 +49,78 @@ def special_strings(path: str) -> list[str]:
     return sorted(found, key=len, reverse=True)
 
 
-def frequent_from(counts: DataFrame, n: str, head: int = HEAD) -> int | None:
-    """The least frequency such that ``head`` keys at most are as frequent, from the counts of each frequency."""
-    running = F.sum("keys").over(Window.orderBy(F.desc(n)))
-    steps = counts.groupBy(n).agg(F.count("*").alias("keys")).withColumn("running", running)
-    return steps.where(F.col("running") <= head).agg(F.min(n)).first()[0]
+def frequent_from(counts: DataFrame, key: str, n: str, most: int = BROADCAST_BYTES) -> int | None:
+    """The least frequency such that the keys as frequent take at most ``most`` bytes, from the keys of each frequency."""
+    running = F.sum("bytes").over(Window.orderBy(F.desc(n)))
+    steps = counts.groupBy(n).agg(F.sum(F.octet_length(key) + 48).alias("bytes")).withColumn("running", running)
+    return steps.where(F.col("running") <= most).agg(F.min(n)).first()[0]
 
 
-def frequent_join(big: DataFrame, small: DataFrame, key: str, n: str, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
+def frequent_join(big: DataFrame, small: DataFrame, key: str, n: str, most: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Join ``big`` to ``small`` on ``key``; ``small`` has each key once with its frequency ``n`` in ``big``.
 
-    Returns the rows whose keys are among the ``head`` most frequent, joined by broadcast, and the rest, joined by
-    shuffle. A key of the rest has at most 1 / ``head`` of all rows.
+    Returns the rows whose keys are the most frequent that fit into ``most`` bytes, joined by broadcast, and the rest,
+    joined by shuffle, of which no key is more frequent than those.
     """
-    least = frequent_from(small, n, head)
+    least = frequent_from(small, key, n, most)
     often = F.col(n) >= least if least is not None else F.lit(False)
     top = F.broadcast(small.where(often).drop(n))
-    return big.join(top, key), big.join(F.broadcast(top.select(key)), key, "left_anti").join(small.where(~often).drop(n), key)
+    return big.join(top, key), big.join(F.broadcast(small.where(often).select(key)), key, "left_anti").join(small.where(~often).drop(n), key)
 
 
-def chunk_pieces(chunks: DataFrame, path: str) -> DataFrame:
-    """(chunk, n) -> (chunk, n, pieces). A task splits its distinct chunks and counts each distinct pre-token once."""
+def document_pretokens(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, h, text) -> doc_id, h, token, n: how often each pre-token is in the text.
+
+    The tokenizer drops white space, so texts are split at it first; what a chunk splits into is remembered.
+    """
     special = special_strings(path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("long")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(path)
-        cutter = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        count = lru_cache(maxsize=1 << 18)(lambda x: len(tok.model.tokenize(x)))
+        cutter = re.compile("(" + "|".join(map(re.escape, special)) + ")" if special else r"(?!)")
+        spaces = re.compile(f"[{SPACES}]+")
+
+        @lru_cache(maxsize=KNOWN)
+        def split(chunk: str) -> tuple[str, ...]:
+            out: list[str] = []
+            for k, part in enumerate(cutter.split(chunk)):
+                out += [SPECIAL + part] if k % 2 else [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(part))] if part else []
+            return tuple(out)
+
+        for batch in batches:
+            rows, tokens, counts = [], [], []
 
-        def whole(chunk: str) -> int:
-            parts = cutter.split(chunk)
-            split = (tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(x)) for x in parts if x)
-            return len(parts) - 1 + sum(count(x) for found in split for x, _ in found)
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "h", "token", "n"])
 
+            for i, text in enumerate(batch.column("text")):
+                found: Counter = Counter()
+                for chunk, n in Counter(spaces.split(text.as_py() or "")).items():
+                    for x in split(chunk):
+                        found[x] += n
+                rows += [i] * len(found)
+                tokens += found
+                counts += found.values()
+                if len(rows) >= OUT_ROWS:
+                    yield out()
+                    rows, tokens, counts = [], [], []
+            yield out()
+
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, token string, n long")
+
+
+def token_pieces(tokens: DataFrame, path: str) -> DataFrame:
+    """(token, uses) -> (token, uses, pieces): the pieces of each distinct pre-token."""
+
+    @F.pandas_udf("long")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load_tokenizer(path).model
         for batch in batches:
-            yield batch.map(whole)
+            yield batch.map(lambda x: 1 if x.startswith(SPECIAL) else len(model.tokenize(x)))
 
-    return chunks.withColumn("pieces", pieces("chunk"))
+    return tokens.withColumn("pieces", pieces("token"))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -91,10 +131,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    used = base.select("doc_id", "h", F.explode(word_array(F.col("text"))).alias("chunk"))
-    pieces = keep(chunk_pieces(used.groupBy("chunk").agg(F.count("*").alias("n")), tokenizer), "pieces")
-    head, tail = frequent_join(used, pieces, "chunk", "n")
-    part = lambda x: x.groupBy("doc_id", "h").agg(F.sum("pieces").alias("part"))
+    used = keep(document_pretokens(base, tokenizer), "pretokens")
+    pieces = keep(token_pieces(used.groupBy("token").agg(F.count("*").alias("uses")), tokenizer), "pieces")
+    head, tail = frequent_join(used, pieces, "token", "uses")
+    part = lambda x: x.groupBy("doc_id", "h").agg(F.sum(F.col("n") * F.col("pieces")).alias("part"))
     rows = base.groupBy("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).agg(F.count("*").alias("copies"))
     sums = part(head).unionByName(part(tail))
     return (
