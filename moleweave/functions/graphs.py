@@ -115,6 +115,22 @@ def hybridizations(atoms: Column | None = None, bonds: Column | None = None) ->
     return F.transform(atoms, one)
 
 
+def unpaired_electrons() -> Column:
+    """Of each atom: what its bonds and hydrogens leave open of the least usual valence that fits, if it is written in brackets."""
+    used = lambda a: a["explicit_valence"] + F.when(a["bracket"], 0).otherwise(a["n_h"])
+    fits = lambda a: F.array_min(F.filter(F.try_element_at(valence_table(), a["z"] - a["charge"]), lambda v: v >= used(a)))
+    return F.transform("atoms", lambda a: F.when(a["bracket"] & ~a["aromatic"], F.coalesce(fits(a) - used(a), F.lit(0))).otherwise(0))
+
+
+def conjugated_bonds() -> Column:
+    """Bonds, by index, that are aromatic or, with a single bond to another multiple one at either end, part of a row of such."""
+    many = lambda v, but: F.exists(F.get(F.col("atoms"), v)["near"], lambda x: (x["k"] != but) & F.get(F.col("bonds"), x["k"])["kind"].isin("DOUBLE", "TRIPLE", "AROMATIC"))
+    middle = lambda b: (b["kind"] == "SINGLE") & many(b["a"], b["idx"]) & many(b["b"], b["idx"])
+    beside = lambda b, v: F.exists(F.get(F.col("atoms"), v)["near"], lambda x: middle(F.get(F.col("bonds"), x["k"])))
+    end = lambda b: b["kind"].isin("DOUBLE", "TRIPLE") & (beside(b, b["a"]) | beside(b, b["b"]))
+    return F.transform(F.filter("bonds", lambda b: (b["kind"] == "AROMATIC") | middle(b) | end(b)), lambda b: b["idx"])
+
+
 def is_transition_metal(z: Column) -> Column:
     """Numbers 22 to 29, 40 to 47 and 72 to 79; the first and last columns of the block are not counted."""
     return z.between(22, 29) | z.between(40, 47) | z.between(72, 79)

@@ -1,9 +1,12 @@
+import random
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from moleweave.functions.alignment import common_part
 from moleweave.functions.graphs import formula, hybridizations, longest_rotatable, ring_systems, valence_problems, wiener
 from moleweave.functions.smiles import molecule
-from moleweave.operators import consensus, hashes, matching, reactions, rgroups
+from moleweave.operators import annotations, consensus, hashes, matching, reactions, rgroups
 from moleweave.operators.molecules import atoms, highlight_regions, molecules, ring_atoms, with_atom_map
 
 
@@ -62,6 +65,7 @@ def test_common_part_and_difference():
     assert common_part(molecule("C" * 30), molecule("C" * 30), most=5)["timed_out"]
 
 
+#: Inputs that the results are known for.
 SCAFFOLDS = ["CCC1CC(CCC1=O)C(=O)C1=CC=CC(C)=C1", "CCC1CC(CCC1=O)C(=O)C1=CC=CC=C1", "CC(=C)C(C1=CC=CC=C1)S(=O)CC(N)=O", "CC1=CC(=CC=C1)C(C1CCC(N)CC1)C(F)(F)F", "CNC1CCC(C2=CC(Cl)=C(Cl)C=C2)C2=CC=CC=C12", "CCCOC(C1CCCCC1)C1=CC=C(Cl)C=C1"]
 
 
@@ -75,6 +79,7 @@ def test_scaffolds_and_their_mode(spark):
     assert hashes.most_frequent(tied, "v").first().v == "a"
 
 
+#: Inputs that the results are known for.
 REGIO = ["CC1=CC2=C(C=C1)C(=CN2CCN1CCOCC1)C(=O)C1=CC=CC2=C1C=CC=C2", "CCCCCN1C=C(C2=CC=CC=C21)C(=O)C3=CC=CC4=CC=CC=C43", "CC1=CC=C(C(=O)C2=CN(CCN3CCOCC3)C3=C2C=CC=C3)C2=C1C=CC=C2", "CN1CCN(C(C1)CN2C=C(C3=CC=CC=C32)C(=O)C4=CC=CC5=CC=CC=C54)C"]
 
 
@@ -156,3 +161,50 @@ def test_classifiers(spark):
     df = spark.createDataFrame([(float(i), float(i % 7), int(i > 50)) for i in range(100)], "x double, z double, y int")
     for model in consensus.fit_classifiers(df, ["x", "z"], "y").values():
         assert model.transform(df).where("prediction = y").count() > 95
+
+
+def test_covers_against_all_choices():
+    """The first choice in the order of fragments, or none, among all there are; many equal fragments are no trouble."""
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randint(2, 6)
+        candidates = [sorted({tuple(sorted(rng.sample(range(n), rng.randint(1, min(3, n))))) for _ in range(rng.randint(1, 4))}) for _ in range(rng.randint(1, 4))]
+        candidates = [[list(c) for c in each if len(c) == len(each[0])] for each in candidates]
+        order = sorted(range(len(candidates)), key=lambda i: (len(candidates[i]), -len(candidates[i][0]), i))
+        fits = [c for c in product(*(candidates[i] for i in order)) if sorted(v for x in c for v in x) == list(range(n))]
+        want = dict(zip(order, fits[0], strict=True)) if fits else None
+        assert hashes.cover(candidates, n) == (want and [want[i] for i in range(len(candidates))])
+    pairs = [[i, i + 1] for i in range(59)]
+    assert hashes.cover([pairs] * 30, 60) == [[2 * i, 2 * i + 1] for i in range(30)]
+    assert hashes.cover([[p for p in pairs if 29 not in p]] * 30, 60) is None
+
+
+def test_oxidations_differ_by_the_bond_that_changes(spark):
+    """Three reactions in which a bond to oxygen becomes a double one: the changes of the first and second are alike."""
+    rxn = reactions.reactions(spark.createDataFrame([(1, "CCO>>CC=O"), (2, "CC(O)C>>CC(=O)C"), (3, "NCCO>>NCC=O")], "id long, rxn string"))
+    change = reactions.difference_fingerprint(rxn, "id")
+    assert all(r.n > 0 for r in change.groupBy("id").agg(F.count("*").alias("n")).collect()) and change.where("count > 0").count() > 0
+    sim = {(r.a, r.b): r.sim for r in reactions.tanimoto(change, spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), "id").collect()}
+    assert 0 < sim[1, 3] < 1 and sim[1, 3] > sim[2, 3]
+
+
+def test_hash_variants(spark):
+    value = {(r.id, r.name): r.value for r in hashes.hash_rows(mols(spark, "CC(=O)CC", "CC(O)=CC", "C[NH3+]", "CN", "CCc1ccccc1"), "id").collect()}
+    assert value[0, "het_atom_tautomer"] != value[2, "het_atom_tautomer"] and value[2, "het_atom_protomer"] == value[3, "het_atom_protomer"]
+    assert value[2, "mesomer"].endswith("_1") and value[2, "redox_pair"] + "_1" == value[2, "mesomer"]
+    assert value[4, "extended_murcko"] == "*c1ccccc1" and value[4, "arthor_substructure_order"] > value[3, "arthor_substructure_order"]
+
+
+def test_perception_by_steps(spark):
+    df = mols(spark, "C[CH]C=CC=C", "c1cccc1", "CN(C)(C)(C)C", sanitize=False)
+    rows = annotations.with_perception(df).orderBy("id").collect()
+    assert rows[0].radicals == [0, 1, 0, 0, 0, 0] and rows[0].conjugated == [2, 3, 4] and [r.failed_step for r in rows] == [None, "kekulize", "valence"]
+    assert rows[1].ring_list == [[0, 1, 2, 3, 4]] or len(rows[1].ring_list[0]) == 5
+    part = annotations.with_perception(df, annotations.HYBRIDIZATION).orderBy("id").first()
+    assert part.hybrids[0] == "SP3" and part.radicals is None and part.conjugated is None and part.aromatic is None and part.ring_list is None
+
+
+def test_more_products_than_one_task_should_make(spark):
+    rows = [("Core", "C([*:1])([*:2])[*:3]")] + [(f"R{k}", f"{'C' * n}[*:{k}]") for k in (1, 2, 3) for n in range(1, 13)]
+    made = rgroups.enumerate_products(spark.createDataFrame(rows, "label string, fragment string"), ["R1", "R2", "R3"])
+    assert made.count() == 12 * 13 * 14 // 6

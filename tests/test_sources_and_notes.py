@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from moleweave.functions.register import register
+from moleweave.functions.register import register, register_pattern
 from moleweave.operators import annotations
 from moleweave.operators.molecules import molecules
 from moleweave.sources import smiles_files
@@ -62,3 +62,13 @@ def test_abbreviations(spark):
     assert of(found, 0) == [("CO2-", 5, [6, 7, 8]), ("OMe", 2, [0, 1])] and of(found, 1) == [] and of(found, 2) == [] and len(of(found, 3)) == 2
     assert of(annotations.abbreviations(df, "id", most_coverage=0.8).collect(), 1) == [("CF3", 4, [5, 6, 7, 8])]
     assert df.where(F.col("id") > 9).count() == 0
+
+
+def test_names_of_hashes_and_tables_in_sql(spark):
+    register(spark)
+    assert [r.symbol for r in spark.sql("SELECT symbol FROM mol_atoms('CCO') ORDER BY idx").collect()] == ["C", "C", "O"]
+    rows = spark.sql("SELECT s, count(*) AS n FROM VALUES ('C1CC1'), ('C('), ('CO') AS t(s), LATERAL mol_bonds(s) GROUP BY s").collect()
+    assert {r.s: r.n for r in rows} == {"C1CC1": 3, "CO": 1}
+    assert spark.sql("SELECT mol_hash('OCC', 'canonical_smiles') = mol_hash('CCO', 'canonical_smiles') AS same, mol_hash('CC[O-]', 'net_charge') AS q").first() == (True, "-1")
+    register_pattern(molecules(spark.createDataFrame([("CCO",), ("CC",)], "smiles string")), "alcohols", "[OX2H]")
+    assert [r.n for r in spark.sql("SELECT size(matches) AS n FROM alcohols ORDER BY n").collect()] == [0, 1]
