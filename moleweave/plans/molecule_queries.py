@@ -125,11 +125,16 @@ def murcko_text(spark, sf_dir):
 
 
 def mcs_complement(spark, sf_dir):
-    """Each chain with that of the next part: the atoms of either that are not in the largest common part."""
-    mols = alkanes(spark, sf_dir).select("p_partkey", "atoms", "bonds")
-    pairs = mols.join(mols.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("atoms").alias("b_atoms"), F.col("bonds").alias("b_bonds")), "p_partkey")
+    """Each chain with that of the next part: the atoms of either that are not in the largest common part.
+
+    Pairs are made of texts, which are narrow, and read afterwards.
+    """
+    texts = part(spark, sf_dir).select("p_partkey", chain().alias("__one"))
+    pairs = texts.join(texts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("__one").alias("__two")), "p_partkey")
+    other = molecules(spread(pairs), "__two").withColumnsRenamed({"atoms": "b_atoms", "bonds": "b_bonds"}).select("p_partkey", "__one", "b_atoms", "b_bonds")
+    pairs = molecules(other, "__one")
     found = stage(pairs, c=mol_common("atoms", "bonds", "b_atoms", "b_bonds"))
-    return found.select("p_partkey", big(F.size("atoms") - F.size("c.left")).alias("left_only"), big(F.size("b_atoms") - F.size("c.right")).alias("right_only"))
+    return found.select("p_partkey", big(F.size("atoms") - F.size("c.left")).alias("left_only"), big(F.size("b_atoms") - F.size("c.right")).alias("right_only"), F.col("c.timed_out").alias("timed_out"))
 
 
 def para_arenes(spark, sf_dir):
@@ -196,7 +201,7 @@ def reaction_template_counts(spark, sf_dir):
 
 
 def reaction_change(spark, sf_dir):
-    """What the oxidation of a chain's end changes: pairs are the same on both sides, as only a bond's order differs."""
+    """How many kinds of atom pairs the oxidation of a chain's end changes: those with either of the two atoms of the bond."""
     found = reactions.difference_fingerprint(oxidations(spark, sf_dir), "p_partkey")
     rows = part(spark, sf_dir).join(found.groupBy("p_partkey").agg(F.count("*").alias("n")), "p_partkey", "left")
     return rows.select("p_partkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_changed"))
@@ -240,6 +245,7 @@ def region_sizes(spark, sf_dir):
     return highlight_regions(mols, "p_partkey").select("p_partkey", "region", big(F.size("atom_idxs")).alias("n_atoms"), big(F.size("bond_idxs")).alias("n_bonds"))
 
 
+#: Inputs for which the results are known.
 LITERALS = {
     "butane": "CCCC", "isobutane": "CC(C)C", "cyclobutane": "C1CCC1", "aspirin": "c1cc(C(=O)O)c(OC(=O)C)cc1", "diazepam": "CN1C(=O)CN=C(C2=C1C=CC(=C2)Cl)C3=CC=CC=C3",
     "caffeine": "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "chain": "CCC(CC(C)CC1CCC1)C(CC(=O)O)N", "indazole": "FC1=CC=C2C(=C1)C=NN2", "platinum": "CN(C)(C)[Pt]",
@@ -323,7 +329,7 @@ ORACLES = {
     "hash_equal_ref": "SELECT p.p_partkey FROM part p JOIN part r ON r.p_size = p.p_size WHERE r.p_partkey = 1 AND p.p_partkey <> 1",
     "murcko_size": "SELECT p_partkey, CAST(12 + p_size AS BIGINT) AS scaffold_atoms FROM part",
     "murcko_text": "SELECT p_partkey, TRUE AS same FROM part",
-    "mcs_complement": "SELECT a.p_partkey, CAST(greatest(a.p_size - b.p_size, 0) AS BIGINT) AS left_only, CAST(greatest(b.p_size - a.p_size, 0) AS BIGINT) AS right_only FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
+    "mcs_complement": "SELECT a.p_partkey, CAST(greatest(a.p_size - b.p_size, 0) AS BIGINT) AS left_only, CAST(greatest(b.p_size - a.p_size, 0) AS BIGINT) AS right_only, FALSE AS timed_out FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
     "rgroup_pools": "SELECT p_type, CAST(count(DISTINCT p_size % 5) AS BIGINT) AS n_r1, CAST(count(DISTINCT p_size % 4) AS BIGINT) AS n_r2 FROM part GROUP BY p_type",
     "rgroup_product": "SELECT p_type, CAST(count(DISTINCT p_size % 5) * count(DISTINCT p_size % 4) AS BIGINT) AS n_products FROM part GROUP BY p_type",
     "valence_problems": "SELECT p_partkey, (p_size % 6) > 3 AS has_problem FROM part",
@@ -331,7 +337,8 @@ ORACLES = {
     "transition_metal_filter": "SELECT p_partkey FROM part WHERE p_partkey % 118 + 1 BETWEEN 22 AND 29 OR p_partkey % 118 + 1 BETWEEN 40 AND 47 OR p_partkey % 118 + 1 BETWEEN 72 AND 79",
     "reaction_reverse": "SELECT p_partkey, repeat('C', p_size - 1) || 'C=O>>' || repeat('C', p_size) || 'O' AS reversed FROM part",
     "reaction_template_counts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS n_reactants, CAST(1 AS BIGINT) AS n_products FROM part",
-    "reaction_change": "SELECT p_partkey, CAST(0 AS BIGINT) AS n_changed FROM part",
+    # A pair's kinds are told by the end that changes, the other atom and the distance; each side has as many of them.
+    "reaction_change": "SELECT p_partkey, CAST(CASE WHEN p_size = 1 THEN 2 ELSE 2 * (2 * p_size - 1) END AS BIGINT) AS n_changed FROM part",
     "hash_table": "SELECT p_partkey, unnest(['mol_formula', 'atom_bond_counts', 'net_charge', 'small_world_br']) AS name, unnest(['C' || p_size || 'H' || 2 * p_size, p_size || ',' || p_size, '0', 'B' || p_size || 'R1']) AS value FROM part WHERE p_size >= 3",
     "regioisomer_parts": f"SELECT p_partkey, {REGIO} || '.C1CCCCC1' AS parts FROM part",
     "kekule_problems": "SELECT p_partkey, p_size % 2 = 1 AS has_problem FROM part WHERE p_size >= 3",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from moleweave.plans import lift_queries, molecule_queries
+from moleweave.plans import lift_queries, molecule_queries, operator_queries
 
-MODULES = (molecule_queries, lift_queries)
+MODULES = (molecule_queries, operator_queries, lift_queries)
 
 
 def queries() -> dict:
