@@ -85,17 +85,16 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
         prefix = cut(prefix.select("rarest.key", "rarest.offset", "size", "wid"))
         start = F.col("at") - F.col("offset")
         near = seen.join(sent(prefix), "key").where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
-        near = near.select("doc_id", "h", start.alias("start"), "size", "wid").distinct()
-        words = cut(part.select("wid", "size", F.col("words").alias("asked")).distinct())
-        near = cut(lookup(near, words, ["wid", "size"], "inner").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "size", "wid", "asked")).alias("near")))
-        # Only the candidates' keys, which are narrow, may be broadcast; their windows come by a shuffle of candidates alone.
+        near = cut(near.groupBy("doc_id", "h").agg(F.collect_set(F.struct(start.alias("start"), "size", "wid")).alias("near")))
+        # Only the candidates' keys, which are narrow, may be broadcast; the places come by a shuffle of candidates alone.
         asked = lookup(docs.select("doc_id", "h", "text"), near.select("doc_id", "h", F.lit(1).alias("one")), ["doc_id", "h"], "inner", salts=1)
         near = near.select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), "near")
         asked = asked.join(near.hint("merge"), asked["doc_id"].eqNullSafe(near["__d"]) & (asked["h"] == near["__g"]))
-        right = lambda words: F.transform(F.filter("near", lambda x: F.slice(words, x["start"], x["size"]) == x["asked"]), lambda x: F.struct(x["wid"].alias("wid"), x["start"].alias("start"), x["size"].alias("size")))
+        at = lambda words, x: F.slice(words, x["start"], x["size"])
+        right = lambda words: F.transform(F.filter("near", lambda x: F.xxhash64(at(words, x)) == x["wid"]), lambda x: F.struct(x["wid"].alias("wid"), x["start"].alias("start"), x["size"].alias("size"), at(words, x).alias("words")))
         hits = asked.select("doc_id", "h", F.explode(bind(item_words(F.col("text")), right)).alias("x")).select("doc_id", "h", "x.*")
-        items_of = cut(part.select("wid", "size", "item_id").distinct())
-        found.append(lookup(hits, items_of, ["wid", "size"], "inner").select("doc_id", "h", "item_id", "start", "size"))
+        items_of = cut(part.select("wid", "size", "item_id", F.col("words").alias("asked")).distinct())
+        found.append(lookup(hits, items_of, ["wid", "size"], "inner").where(F.col("words") == F.col("asked")).select("doc_id", "h", "item_id", "start", "size"))
     return reduce(DataFrame.unionAll, found)
 
 
