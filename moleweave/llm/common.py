@@ -46,10 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The same as a compressed table in the shared folder, for wide or many rows that are read more than once."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,14 +88,14 @@ def total_bytes(df: DataFrame) -> int:
 def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
     """Join ``big`` to the table ``small``, unique in ``on``, whatever the skew of ``big``'s keys.
 
-    The bytes of ``small`` are summed up (it should be cut or cheap). Up to ``limit`` of them it is broadcast; beyond that
+    The bytes of ``small`` are summed up (it should be cut or cheap). Up to ``limit`` of them it is broadcast; beyond, or at 0,
     each of its rows is repeated under ``salts`` salts and ``big`` is dealt out by key and salt, so that one key's rows
     go to that many tasks. Keys match as null-safe equals; ``on`` keeps ``big``'s columns.
     """
     small = small.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], *[c for c in small.columns if c not in on])
     match = [same(big[c], small[f"__k{i}"]) for i, c in enumerate(on)]
     keys = [f"__k{i}" for i in range(len(on))]
-    if total_bytes(small) <= limit:
+    if limit and total_bytes(small) <= limit:
         return big.join(F.broadcast(small), match, how).drop(*keys)
     small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rest = [c for c in big.columns if c not in on] or on

@@ -238,7 +238,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     words = word_hashes(F.col("text")).alias("words")
     kept = single.select("doc_id", "h", words).mapInArrow(suffix_keys, "doc_id long, h long, at int, key long")
     shared = cut(kept.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-    found = lookup(kept, shared.withColumn("one", F.lit(1)), ["key"], "inner", limit=0, salts=8)
+    found = lookup(kept, shared.withColumn("one", F.lit(1)), ["key"], "inner", limit=0, salts=4)
     found = cut(found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set(F.struct("at", "key")).alias("kept")))
     rows = single.join(found, single["doc_id"].eqNullSafe(found["d"]) & (single["h"] == found["g"])).select("doc_id", "h", words, "kept")
     schema = "doc_id long, h long, at array<int>, key long, n_left int, n_right int, right binary, left binary"
@@ -267,7 +267,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     whole = F.concat(F.hex(F.expr("substring(left, 1, 4 * back)")), F.lit("|"), F.hex(F.expr(f"substring(right, 1, 4 * ({PASSAGE} - back))")))
     windows = windows.select("doc_id", "h", "at", "back", F.md5(whole).alias("window"))
     shared = windows.groupBy("window").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("lo <> hi").drop("lo", "hi")
-    more = lookup(windows, cut(shared), ["window"], "inner", salts=8).select("doc_id", "h", F.explode("at").alias("at"), "back", "least", "most")
+    more = lookup(windows, cut(shared), ["window"], "inner", limit=0, salts=4).select("doc_id", "h", F.explode("at").alias("at"), "back", "least", "most")
     begin = (F.col("at") - F.col("back")).cast("long")
     more = more.select("doc_id", "h", begin.alias("begin"), (begin + PASSAGE).alias("until"), F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other"))
 
