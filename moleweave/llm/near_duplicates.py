@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = cut(classes)
     buckets = classes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = settled(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"))
-    members = settled(lookup(buckets, shared, ["bucket"], "inner", salts=4).select("bucket", "node", "n", "head"))
+    members = settled(lookup(buckets, shared, ["bucket"], "inner", limit=0, salts=2).select("bucket", "node", "n", "head"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = members.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n")))
     stars = stars.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"))
