@@ -14,7 +14,7 @@ from moleweave.functions.alignment import mol_common
 from moleweave.functions.chemistry import ELECTRONEGATIVITY, HYDROGEN_ION, ROUNDS, mol_centres, mol_double_bonds
 from moleweave.functions.graphs import formula, hybridizations, ring_systems
 from moleweave.operators import annotations, consensus, editing, hashes, matching, reactions, rgroups
-from moleweave.operators.molecules import bond_between, bonds, molecules, stage
+from moleweave.operators.molecules import atom_labels, bond_between, bonds, molecules, stage
 from moleweave.plans.molecule_queries import alkanes, big, chain, cycloalkanes, part
 
 
@@ -65,6 +65,26 @@ def attached_chains(spark, sf_dir):
     return rgroups.attach_chains(cores, part(spark, sf_dir).select("p_partkey", chain().alias("chain"))).select("p_partkey", "product")
 
 
+def atom_label_text(spark, sf_dir):
+    """The labels of a chain with a chlorine, one after another: symbols without hydrogens."""
+    mols = atom_labels(molecules(part(spark, sf_dir), F.concat(chain(), F.lit("Cl"))))
+    return mols.select("p_partkey", F.array_join("labels", "").alias("labels"))
+
+
+def first_phosphorus(spark, sf_dir):
+    """The first of two phosphorus atoms in a chain; none where the part's size is even."""
+    k = (F.col("p_partkey") % F.col("p_size") + 1).cast("int")
+    text = F.concat(chain(k), F.when(F.col("p_size") % 2 == 1, "PCP").otherwise("CCC"))
+    return molecules(part(spark, sf_dir), text).select("p_partkey", big(F.get(matching.first_match("[#15]"), F.lit(0))).alias("atom"))
+
+
+def real_atoms(spark, sf_dir):
+    """Atoms other than dummies, and the bonds among them, of chains with a dummy at either end."""
+    mols = molecules(part(spark, sf_dir), F.concat(F.lit("*"), chain(), F.lit("*")))
+    kept = F.transform(F.filter("atoms", lambda a: a["z"] != 0), lambda a: a["idx"])
+    return mols.select("p_partkey", big(F.size(kept)).alias("n_atoms"), big(F.size(matching.induced_bonds(kept))).alias("n_bonds"))
+
+
 def arenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pyridines with a chain and a halogen at two different places; every third is bound elsewhere."""
     halogen = F.get(F.array(*map(F.lit, ("F", "Cl", "Br", "I"))), (F.col("p_size") % 4).cast("int"))
@@ -236,7 +256,7 @@ f AS (SELECT x.n, least(x.k, y.k) AS p, y.i - x.i AS d, greatest(x.k, y.k) AS r,
 QUERIES = {
     f.__name__: f
     for f in (
-        bond_lookup_any, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, murcko_parsed,
+        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, murcko_parsed,
         fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures,
     )
 }
@@ -244,6 +264,9 @@ QUERIES = {
 HALOGEN = "['F', 'Cl', 'Br', 'I'][p_size % 4 + 1]"
 ORACLES = {
     "bond_lookup_any": "SELECT p_partkey, CASE WHEN p_partkey % p_size < p_size - 1 THEN CAST(p_partkey % p_size AS BIGINT) END AS bond_idx FROM part",
+    "atom_label_text": "SELECT p_partkey, repeat('C', p_size) || 'Cl' AS labels FROM part",
+    "first_phosphorus": "SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN CAST(p_partkey % p_size + 1 AS BIGINT) END AS atom FROM part",
+    "real_atoms": "SELECT p_partkey, CAST(p_size AS BIGINT) AS n_atoms, CAST(p_size - 1 AS BIGINT) AS n_bonds FROM part",
     "match_all_count": "SELECT p_partkey, CAST(2 * (p_size - 1) AS BIGINT) AS n_match FROM part",
     "match_bond_ids": "SELECT p_partkey, CAST(p_size - 2 AS BIGINT) AS first, CAST(p_size - 1 AS BIGINT) AS second FROM part WHERE p_size >= 2",
     "fragment_texts": "SELECT p_partkey, repeat('C', greatest(2, p_size // 2)) AS text FROM part WHERE p_size >= 3",
