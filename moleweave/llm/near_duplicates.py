@@ -234,8 +234,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     mixed = settled(divided(members.select("bucket", "node", "n")))
     rare = rare_shingles(mixed.select("node").distinct(), texts, size)
     mixed = mixed.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
-    mixed = mixed.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare").withColumn("led", F.lit(False))
-    mixed = settled(mixed)
+    mixed = settled(mixed.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare"))
     bits = parities(mixed.select("node", "n").distinct(), texts, size)
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -245,10 +244,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return pairs.where(fits(F.col("n_a"), F.col("n_b")) & similar_bits(percent)).select("a", "b")
 
     # The member with the least of its own is nearest to what the others have in common, so most of them link to it. Each
-    # round has another component's member as head; a round that links nothing is the last.
-    while not mixed.where(~F.col("led")).isEmpty():
+    # round has as head a member of a component that has had none in the bucket; a round that links nothing is the last.
+    used: DataFrame | None = None
+    while True:
+        open_ = mixed
+        if used is not None:
+            led = used.join(found, F.col("head") == F.col("node"), "left").select("bucket", F.coalesce("comp", "head").alias("comp")).distinct()
+            open_ = mixed.join(led, ["bucket", "comp"], "left_anti")
         best = F.max(F.struct(F.col("common") / F.col("n"), F.col("n"), F.col("node").alias("head"), F.col("comp").alias("head_comp"))).alias("best")
-        heads = settled(mixed.where(~F.col("led")).groupBy("bucket").agg(best).select("bucket", "best.head", "best.head_comp"))
+        heads = settled(open_.groupBy("bucket").agg(best).select("bucket", "best.head", "best.head_comp"))
         near = mixed.join(heads, "bucket").where(F.col("comp") != F.col("head_comp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         near = settled(plausible(near.join(tried, ["a", "b"], "left_anti")))
         if near.isEmpty():
@@ -258,15 +262,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if links.isEmpty():
             break
         found = joined(links)
-        led = F.col("led") | F.coalesce(F.col("comp") == F.col("head_comp"), F.lit(False))
-        mixed = settled(divided(mixed.join(heads, "bucket", "left").withColumn("led", led).drop("head", "head_comp")))
+        mixed = settled(divided(mixed))
+        used = heads.select("bucket", "head") if used is None else settled(used.unionAll(heads.select("bucket", "head")))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Two nodes share no more than their rare shingles in common, which are counted, and the lesser number of others. So
     # pairs that share rare shingles, and pairs of a bucket that need none, are compared only if that is enough; of the
     # latter, those whose bitmaps differ in more bits than sets so similar can differ in shingles are not.
     enough = lambda both: (100 + percent) * (both + F.least("common_a", "common_b")) >= percent * (F.col("n_a") + F.col("n_b"))
     side = lambda rows, s: rows.select(*[F.col(c).alias(f"{c}_{s}") if c != "bucket" else F.col(c) for c in rows.columns])
-    could = settled(mixed.where(100 * F.col("common") >= percent * F.col("n")).drop("led"))
+    could = settled(mixed.where(100 * F.col("common") >= percent * F.col("n")))
     could = settled(could.join(bits.drop("n"), "node"))
     apart_enough = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.lit(0))
     alike = side(could, "a").join(side(could, "b"), "bucket").where(apart_enough & similar_bits(percent))
