@@ -13,9 +13,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ SPECIAL = " "
 #: Frequencies of so many documents' pre-tokens are sent on at once.
 OUT_ROWS = 1 << 16
 #: Chunks whose pre-tokens a worker remembers.
-KNOWN = 1 << 18
+KNOWN = 200_000
 
 
 @lru_cache(maxsize=4)
@@ -68,47 +70,71 @@ def frequent_join(big: DataFrame, small: DataFrame, key: str, n: str, most: int
     return big.join(top, key), big.join(F.broadcast(small.where(often).select(key)), key, "left_anti").join(small.where(~often).drop(n), key)
 
 
+class Splits(dict):
+    """Chunk to its pre-tokens, found when first asked for. It is emptied when it holds ``KNOWN`` chunks.
+
+    Chunks of printable ASCII are split by the tokenizer's own pattern, others by the library: on those the pattern's
+    classes and lower case are the same in every version of Unicode, and bytes stand for themselves.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tok, special = load_tokenizer(path), special_strings(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in steps]
+        simple = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and steps[0]["invert"]
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if simple else None
+        self.cutter = re.compile("(" + "|".join(map(re.escape, special)) + ")" if special else r"(?!)")
+        self.printable = re.compile(r"[!-~]+")
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        out: list[str] = []
+        for k, part in enumerate(self.cutter.split(chunk)):
+            if k % 2:
+                out.append(SPECIAL + part)
+            elif part and self.pattern and self.printable.fullmatch(part):
+                out += [part.lower()] if part.isalpha() else self.pattern.findall(part.lower())
+            elif part:
+                out += [x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))]
+        if len(self) >= KNOWN:
+            self.clear()
+        found = self[chunk] = tuple(out)
+        return found
+
+
 def document_pretokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, h, text) -> doc_id, h, token, n: how often each pre-token is in the text.
+    """(doc_id, h, text) -> doc_id, h, found: how often each pre-token is in the text, a map.
 
     The tokenizer drops white space, so texts are split at it first; what a chunk splits into is remembered.
     """
-    special = special_strings(path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(path)
-        cutter = re.compile("(" + "|".join(map(re.escape, special)) + ")" if special else r"(?!)")
-        spaces = re.compile(f"[{SPACES}]+")
+        split = Splits(path).__getitem__
+        # Python's white space is the tokenizer's, but for four control characters.
+        odd, spaces = re.compile("[\x1c-\x1f]"), re.compile(f"[{SPACES}]+")
 
-        @lru_cache(maxsize=KNOWN)
-        def split(chunk: str) -> tuple[str, ...]:
-            out: list[str] = []
-            for k, part in enumerate(cutter.split(chunk)):
-                out += [SPECIAL + part] if k % 2 else [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(part))] if part else []
-            return tuple(out)
+        def maps(rows: list[int], ends: list[int], tokens: list[str], counts: list[int], batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            found = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.string()), pa.array(counts, pa.int32()))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("h").take(at), found], ["doc_id", "h", "found"])
 
         for batch in batches:
-            rows, tokens, counts = [], [], []
-
-            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                at = pa.array(rows, pa.int64())
-                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "h", "token", "n"])
-
-            for i, text in enumerate(batch.column("text")):
-                found: Counter = Counter()
-                for chunk, n in Counter(spaces.split(text.as_py() or "")).items():
-                    for x in split(chunk):
-                        found[x] += n
-                rows += [i] * len(found)
+            rows, ends, tokens, counts = [], [0], [], []
+            for i, value in enumerate(batch.column("text")):
+                text = value.as_py() or ""
+                found = Counter(chain.from_iterable(map(split, spaces.split(text) if odd.search(text) else text.split())))
                 tokens += found
                 counts += found.values()
-                if len(rows) >= OUT_ROWS:
-                    yield out()
-                    rows, tokens, counts = [], [], []
-            yield out()
+                rows.append(i)
+                ends.append(len(tokens))
+                if len(tokens) >= OUT_ROWS:
+                    yield maps(rows, ends, tokens, counts, batch)
+                    rows, ends, tokens, counts = [], [0], [], []
+            yield maps(rows, ends, tokens, counts, batch)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, h long, token string, n long")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, found map<string,int>")
 
 
 def token_pieces(tokens: DataFrame, path: str) -> DataFrame:
@@ -131,7 +157,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    used = keep(document_pretokens(base, tokenizer), "pretokens")
+    used = keep(document_pretokens(base, tokenizer), "pretokens", "zstd").select("doc_id", "h", F.explode("found").alias("token", "n"))
     pieces = keep(token_pieces(used.groupBy("token").agg(F.count("*").alias("uses")), tokenizer), "pieces")
     head, tail = frequent_join(used, pieces, "token", "uses")
     part = lambda x: x.groupBy("doc_id", "h").agg(F.sum(F.col("n") * F.col("pieces")).alias("part"))
