@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("suffixes", "quality", "near_duplicates", "warc", "licences", "html_text", "mixing", "decontamination", "token_counts", "packing", "hard_negatives", "conversations")
+MODULES = ("suffixes", "quality", "near_duplicates", "warc", "licences", "html_text", "mixing", "decontamination", "token_counts", "packing", "hard_negatives", "conversations", "toxicity")
 
 
 def queries() -> dict:
