@@ -14,18 +14,26 @@ from moleweave.functions.smarts import ROTATABLE, matches
 
 
 def distances(near: list[list[dict]]) -> np.ndarray:
-    """Bonds on the shortest path between each two atoms; -1 where there is none."""
+    """Bonds on the shortest path between each two atoms; -1 where there is none.
+
+    A breadth-first search from all atoms at once: the front holds the pairs (from, reached) of the last step, and each
+    pair is in it once, so the work is that of a search from every atom, whatever the molecule's shape.
+    """
     n = len(near)
-    linked = np.zeros((n, n), np.float32)
-    for v, found in enumerate(near):
-        linked[v, [x["v"] for x in found]] = 1
-    out = np.where(np.eye(n, dtype=bool), 0, -1).astype(np.int32)
-    front, step = np.eye(n, dtype=np.float32), 0
-    while front.any():
+    ends = np.array([x["v"] for found in near for x in found], np.int64)
+    counts = np.array([len(found) for found in near], np.int64)
+    starts = np.cumsum(counts) - counts
+    out = np.full(n * n, -1, np.int32)
+    front, step = np.arange(n, dtype=np.int64) * (n + 1), 0
+    while len(front):
+        out[front] = step
         step += 1
-        front = ((front @ linked > 0) & (out < 0)).astype(np.float32)
-        out[front > 0] = step
-    return out
+        root, v = np.divmod(front, n)
+        width = counts[v]
+        nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        reached = np.repeat(root * n, width) + ends[np.repeat(starts[v], width) + nth]
+        front = np.unique(reached[out[reached] < 0])
+    return out.reshape(n, n)
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
@@ -146,6 +154,12 @@ def most_valence(z: Column, charge: Column) -> Column:
     return F.array_max(F.try_element_at(valence_table(), z - charge))
 
 
+def counted_valence(a: Column, total: Column) -> Column:
+    """An atom's valence from its sum of bond orders, as the parser counts it: see :func:`moleweave.functions.smiles.valence_of`."""
+    over = total - default_valence(a["z"] - a["charge"])
+    return F.when(a["aromatic"] & (over > 0) & (over <= 1.5), default_valence(a["z"] - a["charge"])).otherwise(F.floor(total + 0.5).cast("int"))
+
+
 def default_valence(z: Column) -> Column:
     return F.element_at(F.try_element_at(valence_table(), z), 1)
 
