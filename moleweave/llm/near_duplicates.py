@@ -4,8 +4,8 @@ Two permutations of the 32-bit numbers give all coordinates: a shingle's place u
 coordinate's number, around the end, and looked up in the second; a document's coordinate is the least over its
 shingles. Documents with equal sets are one class and are signed, linked and counted as one. Classes that share a band
 are candidates. Each class is first checked against the class with which it shares most bands as a bucket's first
-member, then against the first members of its other buckets, then, in buckets that still hold several components,
-against the members of other components. Every link is confirmed on the full sets.
+member, then, where a bucket still holds several components, against a few more heads of it, and what that leaves is
+joined across components by the rarest shingles of the sets. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from moleweave.llm.common import ascii_lower, bind, cut, keep, lookup, once, tab
 
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: A shingle of at most so many of the compared documents is rare.
-RARE = 16
+#: Shingles are counted by so many places; one that falls on a place with at most so many of the compared sets' is rare.
+SKETCH, RARE = 1 << 18, 16
+#: Heads that a bucket gets after its first one.
+ROUNDS = 4
 #: Pairs or labels, of two 16-byte names each, that are broadcast; more of them are joined by shuffles.
 SMALL = 20_000
 #: Longs of a set's bitmap.
@@ -148,35 +150,66 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return settled(once(joined, sets, sizes).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
 
 
-def rare_shingles(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, shingle): the shingles that at most ``RARE`` of the nodes have."""
-    used = texts.join(nodes, "node", "left_semi").select("node", F.explode(shingle_set(F.col("text"), size)).alias("shingle"))
-    return settled(used.join(used.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE).drop("n"), "shingle").select("node", "shingle"))
+def frequencies(nodes: DataFrame, texts: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of the nodes' sets fall on each of SKETCH places: enough to tell rare from frequent ones."""
+    used = texts.join(nodes, "node", "left_semi").select(F.explode(shingle_set(F.col("text"), size)).alias("shingle"))
+    rows = used.groupBy(F.pmod("shingle", F.lit(SKETCH)).alias("place")).agg(F.count("*").alias("n")).toPandas()
+    out = np.zeros(SKETCH, np.int64)
+    out[rows["place"].to_numpy(np.int64)] = rows["n"]
+    return out
 
 
-def rare_pairs(rare: DataFrame) -> DataFrame:
-    """(a, b, both): how many rare shingles two nodes share; a shingle gives RARE * (RARE - 1) / 2 pairs at most."""
-    x, y = rare.withColumnRenamed("node", "a"), rare.withColumnRenamed("node", "b")
-    return x.join(y, "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+def outlines(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, n, common, prefix, bits_0, ...) of the nodes (node, n).
 
-
-def parities(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, n, bits_0, ...): for each place of a bitmap, whether an odd number of the node's shingles falls on it.
-
-    Two nodes' bitmaps differ in no more places than their sets differ in shingles.
+    common counts the shingles that are not rare; prefix has the rarest ones, in an order that all nodes share, of which two
+    sets of the similarity have one in common. bits tell for each place of a bitmap whether an odd number of the node's
+    shingles falls on it: two bitmaps differ in no more places than their sets differ in shingles.
     """
+    counts = frequencies(nodes.select("node"), texts, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("set")
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            place = (mix64(values, 31) % np.uint64(64 * LONGS)).astype(np.int64)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            owner, own = np.repeat(np.arange(len(lists)), np.diff(ends)), values[ends[0]:ends[-1]]
+            place = (mix64(own.view(np.uint64), 31) % np.uint64(64 * LONGS)).astype(np.int64)
             odd = np.zeros((len(lists), 64 * LONGS), np.uint8)
-            np.bitwise_xor.at(odd, (np.repeat(np.arange(len(lists)), np.diff(ends)), place[ends[0]:ends[-1]]), 1)
+            np.bitwise_xor.at(odd, (owner, place), 1)
             words = np.packbits(odd, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *(pa.array(words[:, k]) for k in range(LONGS))], ["node", "n", *(f"bits_{k}" for k in range(LONGS))])
+            often = counts[own % SKETCH]
+            common = np.bincount(owner, often > RARE, len(lists)).astype(np.int64)
+            ordered = own[np.lexsort((own, often, owner))]
+            starts, n = ends[:-1] - ends[0], np.diff(ends)
+            most = n + (-percent * n) // 100 + 1
+            prefix = [ordered[a:a + k] for a, k in zip(starts, most)]
+            columns = [batch.column("node"), batch.column("n"), pa.array(common), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(words[:, k]) for k in range(LONGS))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "common", "prefix", *(f"bits_{k}" for k in range(LONGS))])
 
     sets = texts.join(nodes, "node").select("node", "n", shingle_set(F.col("text"), size).alias("set"))
-    return settled(sets.mapInArrow(run, "node binary, n long, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
+    return settled(sets.mapInArrow(run, "node binary, n long, common long, prefix array<long>, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of rows (node, n, comp, prefix) of different components that may have the similarity.
+
+    The prefix of the larger set meets the first part of that of the smaller, which is shorter the nearer the sizes have to
+    be; where they meet, what is left of both has to be enough. Shingles within one component are left out, and those of
+    several go from component to component, so no pairs are made within a component, however large it is.
+    """
+    at = rows.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
+    several = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    at = settled(at.join(several, "token", "left_semi"))
+    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "pos")])
+    first = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    own = at.select("token", "comp").distinct()
+    ways = own.select("token", F.col("comp").alias("comp_a")).join(own.select("token", F.col("comp").alias("comp_b")), "token").where("comp_a <> comp_b")
+    found = side(at.where(F.col("pos") < first), "a").join(ways, ["token", "comp_a"]).join(side(at, "b"), ["token", "comp_b"])
+    larger = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
+    near = 100 * F.col("n_a") >= percent * F.col("n_b")
+    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    enough = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
+    return found.where(larger & near & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def similar_bits(percent: int) -> Column:
@@ -232,10 +265,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return now.join(several, "bucket", "left_semi")
 
     mixed = settled(divided(members.select("bucket", "node", "n")))
-    rare = rare_shingles(mixed.select("node").distinct(), texts, size)
-    mixed = mixed.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left")
-    mixed = settled(mixed.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare"))
-    bits = parities(mixed.select("node", "n").distinct(), texts, size)
+    bits = outlines(mixed.select("node", "n").distinct(), texts, size, percent)
+    mixed = settled(mixed.join(bits.select("node", "common"), "node"))
+    bits, prefixes = bits.drop("common", "prefix"), bits.select("node", "n", "prefix")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and bitmaps allow the similarity."""
@@ -244,9 +276,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return pairs.where(fits(F.col("n_a"), F.col("n_b")) & similar_bits(percent)).select("a", "b")
 
     # The member with the least of its own is nearest to what the others have in common, so most of them link to it. Each
-    # round has as head a member of a component that has had none in the bucket; a round that links nothing is the last.
+    # round has as head a member of a component that has had none in the bucket; a round that links nothing ends them early.
     used: DataFrame | None = None
-    while True:
+    for _ in range(ROUNDS):
         open_ = mixed
         if used is not None:
             led = used.join(found, F.col("head") == F.col("node"), "left").select("bucket", F.coalesce("comp", "head").alias("comp")).distinct()
@@ -264,21 +296,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         found = joined(links)
         mixed = settled(divided(mixed))
         used = heads.select("bucket", "head") if used is None else settled(used.unionAll(heads.select("bucket", "head")))
+    # What heads have not linked is compared across components where the rarest shingles meet.
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # Two nodes share no more than their rare shingles in common, which are counted, and the lesser number of others. So
-    # pairs that share rare shingles, and pairs of a bucket that need none, are compared only if that is enough; of the
-    # latter, those whose bitmaps differ in more bits than sets so similar can differ in shingles are not.
-    enough = lambda both: (100 + percent) * (both + F.least("common_a", "common_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    side = lambda rows, s: rows.select(*[F.col(c).alias(f"{c}_{s}") if c != "bucket" else F.col(c) for c in rows.columns])
-    could = settled(mixed.where(100 * F.col("common") >= percent * F.col("n")))
-    could = settled(could.join(bits.drop("n"), "node"))
-    apart_enough = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.lit(0))
-    alike = side(could, "a").join(side(could, "b"), "bucket").where(apart_enough & similar_bits(percent))
-    nodes = mixed.select("node", "n", "common", "comp").distinct()
-    sharing = rare_pairs(rare).join(side(nodes, "a"), F.col("a") == F.col("node_a")).join(side(nodes, "b"), F.col("b") == F.col("node_b"))
-    sharing = sharing.where((F.col("comp_a") != F.col("comp_b")) & enough(F.col("both")))
-    rest = alike.select("node_a", "node_b").unionAll(sharing.select("node_a", "node_b"))
-    rest = settled(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = prefix_pairs(prefixes.join(mixed.select("node", "comp").distinct(), "node"), percent)
+    rest = plausible(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"))
+    rest = settled(rest)
     if not rest.isEmpty():
         found = joined(verified(rest, texts, size, percent))
 

@@ -118,7 +118,7 @@ def test_bitmaps_never_rule_out_similar_sets(spark):
             copy[rng.randrange(n)] = "y"
         rows += [(f"{k}a".encode(), " ".join(words)), (f"{k}b".encode(), " ".join(copy))]
     texts = spark.createDataFrame(rows, "node binary, text string")
-    bits = nd.parities(texts.select("node", F.size(nd.shingle_set(F.col("text"), 4)).cast("long").alias("n")), texts, 4)
+    bits = nd.outlines(texts.select("node", F.size(nd.shingle_set(F.col("text"), 4)).cast("long").alias("n")), texts, 4, 80)
     k = lambda side: F.expr("substring(node, 1, length(node) - 1)") if side else F.col("node")
     a, b = (bits.withColumn("k", k(True)).where(F.col("node").cast("string").endswith(x)).select("k", *[F.col(c).alias(f"{c}_{x}") for c in bits.columns]) for x in "ab")
     kept = {bytes(r.k) for r in a.join(b, "k").where(nd.similar_bits(80)).collect()}
@@ -127,6 +127,43 @@ def test_bitmaps_never_rule_out_similar_sets(spark):
     assert similar <= kept and len(similar) > 30
 
 
+def outlined(spark, sets, percent):
+    """Rows for the prefix join of sets of numbers, each a component of its own unless told otherwise."""
+    counts = {}
+    for s, _ in sets:
+        for x in s:
+            counts[x] = counts.get(x, 0) + 1
+    rows = []
+    for k, (s, comp) in enumerate(sets):
+        order = sorted(s, key=lambda x: (counts[x], x))
+        rows.append((k, len(s), comp, order[: len(s) - -(-percent * len(s) // 100) + 1]))
+    return spark.createDataFrame(rows, "node long, n long, comp long, prefix array<long>")
+
+
+def test_prefix_join_loses_no_pair_and_makes_few(spark):
+    """Every similar pair of different components is found; of sets that share three quarters with all others none is."""
+    rng = random.Random(8)
+    sets = []
+    for k in range(60):
+        base = rng.sample(range(400), rng.choice([3, 12, 40, 90]))
+        for _ in range(4):
+            copy = set(base)
+            for _ in range(rng.randint(0, len(base) // 6)):
+                copy.discard(rng.choice(base))
+                copy.add(rng.randrange(400))
+            sets.append((copy, rng.choice([len(sets), k])))
+    pairs = {frozenset(r) for r in nd.prefix_pairs(outlined(spark, sets, 80), 80).collect()}
+    for i in range(len(sets)):
+        for j in range(i):
+            (x, c), (y, d) = sets[i], sets[j]
+            if c != d and 100 * len(x & y) >= 80 * len(x | y):
+                assert {i, j} in pairs, (x, y)
+    assert all(sets[i][1] != sets[j][1] for i, j in map(tuple, pairs))
+    alike = [(set(range(600)) | {1000 * k + i for i in range(1, 101)}, k) for k in range(1, 301)]
+    one_group = [(set(range(690)) | {1000 * k + i for i in range(1, 11)}, 7) for k in range(1, 301)]
+    assert nd.prefix_pairs(outlined(spark, alike, 80), 80).isEmpty() and nd.prefix_pairs(outlined(spark, one_group, 80), 80).isEmpty()
+
+
 def test_stage_keeps_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(3, text, 1, "a"), (2, text, 1, "a"), (2, text, 1, "a"), (9, "other " + text[:150], 1, "a"), (4, None, 1, "a"), (4, None, 1, "a")]
