@@ -12,7 +12,7 @@ from moleweave.functions.smiles import molecule
 I, S, B = pa.int32(), pa.string(), pa.bool_()
 ARROW_ATOM = pa.struct([
     ("idx", I), ("symbol", S), ("z", I), ("charge", I), ("n_h", I), ("isotope", I), ("aromatic", B), ("map_num", I), ("chiral", S), ("explicit_valence", I), ("bracket", B),
-    ("near", pa.list_(pa.struct([("v", I), ("k", I)]))),
+    ("around", pa.list_(I)), ("near", pa.list_(pa.struct([("v", I), ("k", I)]))),
 ])
 ARROW_BOND = pa.struct([("idx", I), ("a", I), ("b", I), ("order", pa.float64()), ("kind", S), ("aromatic", B), ("in_ring", B), ("stereo", S)])
 MOLECULE = pa.struct([("parse_ok", B), ("error", S), ("atoms", pa.list_(ARROW_ATOM)), ("bonds", pa.list_(ARROW_BOND)), ("rings", pa.list_(pa.list_(I)))])

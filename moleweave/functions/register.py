@@ -29,7 +29,7 @@ def hash_of(text: str | None, name: str | None) -> str | None:
     if name == "canonical_smiles":
         return write(m["atoms"], m["bonds"])
     if name in ("element_graph", "anonymous_graph"):
-        none = {"charge": 0, "aromatic": False, "isotope": None, "map_num": None, "n_h": 0} | ({"symbol": "*", "z": 0} if name == "anonymous_graph" else {})
+        none = {"charge": 0, "aromatic": False, "isotope": None, "map_num": None, "n_h": 0, "chiral": ""} | ({"symbol": "*", "z": 0} if name == "anonymous_graph" else {})
         return write([a | none for a in m["atoms"]], [b | {"kind": "SINGLE", "order": 1.0} for b in m["bonds"]])
     if name == "atom_bond_counts":
         return f"{len(m['atoms'])},{len(m['bonds'])}"

@@ -1,4 +1,4 @@
-"""Queries over molecules made from the columns of ``part``, and over literal ones, with the same results in SQL.
+"""Queries over molecules made from the columns of ``part``, and over literal ones dealt to its rows, with the same results in SQL.
 
 The texts are built from the table, parsed, and given to the operators; the SQL has the closed form, or computes on
 hand-written edge lists.
@@ -259,36 +259,50 @@ EDGES = {
 }
 
 
-def literals(spark: SparkSession, sanitize: bool = True) -> DataFrame:
-    return molecules(spark.createDataFrame(list(LITERALS.items()), "name string, smiles string"), sanitize=sanitize)
+#: Molecules written with stereo marks.
+MARKED = {"diene": r"C\C=C(/F)\C(=C\F)\C=C", "ring": "C[C@H]1CCC[C@@H](C)[C@@H]1Cl"}
+
+
+def literals(spark: SparkSession, sf_dir: str, texts: dict[str, str] = LITERALS, sanitize: bool = True) -> DataFrame:
+    """Each part's molecule: the literal ones in turn, by the part's number."""
+    rows = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(texts.items())], "k long, name string, smiles string")
+    parts = part(spark, sf_dir).select("p_partkey", (F.col("p_partkey") % len(texts)).cast("long").alias("k"))
+    return molecules(parts.join(F.broadcast(rows), "k").drop("k"), sanitize=sanitize)
 
 
 def literal_bonds(spark, sf_dir):
-    return bonds(literals(spark), "name").select("name", big(F.col("idx")).alias("bond"), big(F.least("a", "b")).alias("x"), big(F.greatest("a", "b")).alias("y"))
+    return bonds(literals(spark, sf_dir, sanitize=False), "p_partkey", "name").select("p_partkey", "name", big(F.col("idx")).alias("bond"), big(F.least("a", "b")).alias("x"), big(F.greatest("a", "b")).alias("y"))
 
 
 def literal_wiener(spark, sf_dir):
-    return literals(spark, sanitize=False).select("name", wiener().alias("wiener"))
+    return literals(spark, sf_dir, sanitize=False).select("p_partkey", "name", wiener().alias("wiener"))
 
 
 def literal_ring_atoms(spark, sf_dir):
     """Each molecule's fused ring systems, by their least atom and size."""
-    rows = literals(spark).select("name", F.explode(ring_systems()).alias("s"))
-    return rows.select("name", big(F.element_at("s", 1)).alias("first"), big(F.size("s")).alias("n_atoms"))
+    rows = literals(spark, sf_dir).select("p_partkey", "name", F.explode(ring_systems()).alias("s"))
+    return rows.select("p_partkey", "name", big(F.element_at("s", 1)).alias("first"), big(F.size("s")).alias("n_atoms"))
 
 
 def literal_hybridization(spark, sf_dir):
-    rows = literals(spark).where("name = 'caffeine'").select("name", F.posexplode(hybridizations()).alias("atom", "hybridization"))
-    return rows.where("hybridization = 'SP3'").select("name", big(F.col("atom")).alias("atom"))
+    """How many atoms of each hybridization."""
+    rows = literals(spark, sf_dir, sanitize=False).select("p_partkey", "name", F.explode(hybridizations()).alias("hybridization"))
+    return rows.groupBy("p_partkey", "name", "hybridization").agg(F.count("*").alias("n_atoms"))
 
 
 def literal_stereo(spark, sf_dir):
     """Double bonds and centres of two molecules that were written with stereo marks."""
-    rows = molecules(spark.createDataFrame([("diene", r"C\C=C(/F)\C(=C\F)\C=C"), ("ring", "C[C@H]1CCC[C@@H](C)[C@@H]1Cl")], "name string, smiles string"))
-    rows = stage(rows, e=mol_double_bonds("atoms", "bonds"), c=mol_centres("atoms", "bonds"))
+    rows = stage(literals(spark, sf_dir, MARKED), e=mol_double_bonds("atoms", "bonds"), c=mol_centres("atoms", "bonds"))
     double = F.transform("e", lambda x: F.struct(F.get(F.col("bonds"), x["bond"])["a"].alias("at"), x["label"].alias("label")))
     centre = F.transform("c", lambda x: F.struct(x["atom"].alias("at"), F.lit("centre").alias("label")))
-    return rows.select("name", F.explode(F.concat(double, centre)).alias("x")).select("name", big(F.col("x.at")).alias("at"), F.col("x.label").alias("label"))
+    rows = rows.select("p_partkey", "name", F.explode(F.concat(double, centre)).alias("x"))
+    return rows.select("p_partkey", "name", big(F.col("x.at")).alias("at"), F.col("x.label").alias("label"))
+
+
+def of_parts(sql: str, columns: str, texts: dict[str, str] = LITERALS) -> str:
+    """Each part with the rows of ``sql`` for the molecule that is its own."""
+    names = ", ".join(f"({k}, '{n}')" for k, n in enumerate(texts))
+    return f"SELECT p_partkey, {columns} FROM part JOIN (VALUES {names}) AS l(k, name) ON k = p_partkey % {len(texts)} JOIN ({sql}) AS x USING (name)"
 
 
 def values_of(edges: dict[str, str]) -> str:
@@ -345,12 +359,14 @@ ORACLES = {
     "partial_check": "SELECT p_partkey, CASE WHEN p_size % 6 > 3 THEN 'valence' ELSE 'none' END AS strict, 'none' AS loose FROM part",
     "abbreviation_rows": "SELECT p_partkey, 'Et' AS label, CAST(2 AS BIGINT) AS anchor FROM part WHERE p_size >= 3 UNION ALL SELECT p_partkey, 'CO2H', CAST(p_size - 1 AS BIGINT) FROM part WHERE p_size >= 5",
     "region_sizes": "SELECT p_partkey, 'aromatic' AS region, CAST(6 AS BIGINT) AS n_atoms, CAST(6 AS BIGINT) AS n_bonds FROM part UNION ALL SELECT p_partkey, 'other', CAST(p_size AS BIGINT), CAST(p_size AS BIGINT) FROM part",
-    "literal_bonds": f"SELECT name, CAST(bond AS BIGINT) AS bond, CAST(least(x, y) AS BIGINT) AS x, CAST(greatest(x, y) AS BIGINT) AS y FROM (VALUES {values_of(EDGES)}) AS e(name, bond, x, y)",
-    "literal_wiener": WALK + "w AS (SELECT name, x, y, 1 AS d FROM u UNION SELECT w.name, w.x, u.y, d + 1 FROM w JOIN u ON w.name = u.name AND w.y = u.x WHERE d < 14) SELECT name, CAST(sum(d) // 2 AS BIGINT) AS wiener FROM (SELECT name, x, y, min(d) AS d FROM w WHERE x <> y GROUP BY name, x, y) GROUP BY name",
-    "literal_ring_atoms": WALK + """r AS (SELECT name, bond, x, y, x AS s, y AS t FROM e UNION SELECT r.name, r.bond, r.x, r.y, r.s, u.y FROM r JOIN u ON r.name = u.name AND r.t = u.x AND NOT (least(u.x, u.y) = least(r.x, r.y) AND greatest(u.x, u.y) = greatest(r.x, r.y))),
+    "literal_bonds": of_parts(f"SELECT name, CAST(bond AS BIGINT) AS bond, CAST(least(x, y) AS BIGINT) AS x, CAST(greatest(x, y) AS BIGINT) AS y FROM (VALUES {values_of(EDGES)}) AS e(name, bond, x, y)", "name, bond, x.x AS x, y"),
+    "literal_wiener": of_parts(WALK + "w AS (SELECT name, x, y, 1 AS d FROM u UNION SELECT w.name, w.x, u.y, d + 1 FROM w JOIN u ON w.name = u.name AND w.y = u.x WHERE d < 14) SELECT name, CAST(sum(d) // 2 AS BIGINT) AS wiener FROM (SELECT name, x, y, min(d) AS d FROM w WHERE x <> y GROUP BY name, x, y) GROUP BY name", "name, wiener"),
+    "literal_ring_atoms": of_parts(WALK + """r AS (SELECT name, bond, x, y, x AS s, y AS t FROM e UNION SELECT r.name, r.bond, r.x, r.y, r.s, u.y FROM r JOIN u ON r.name = u.name AND r.t = u.x AND NOT (least(u.x, u.y) = least(r.x, r.y) AND greatest(u.x, u.y) = greatest(r.x, r.y))),
 in_ring AS (SELECT DISTINCT name, x, y FROM r WHERE t = s AND bond IS NOT NULL), v AS (SELECT name, x, y FROM in_ring UNION SELECT name, y, x FROM in_ring),
 c AS (SELECT name, x, x AS z FROM v UNION SELECT c.name, c.x, v.y FROM c JOIN v ON c.name = v.name AND c.z = v.x)
-SELECT name, CAST(first AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS n_atoms FROM (SELECT name, x, min(z) AS first FROM c GROUP BY name, x) GROUP BY name, first""",
-    "literal_hybridization": "SELECT 'caffeine' AS name, CAST(atom AS BIGINT) AS atom FROM (VALUES (0), (12), (13)) AS t(atom)",
-    "literal_stereo": "SELECT name, CAST(x AS BIGINT) AS at, label FROM (VALUES ('diene', 1, 'Z'), ('diene', 4, 'E'), ('diene', 7, 'NONE'), ('ring', 1, 'centre'), ('ring', 5, 'centre'), ('ring', 7, 'centre')) AS t(name, x, label)",
+SELECT name, CAST(first AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS n_atoms FROM (SELECT name, x, min(z) AS first FROM c GROUP BY name, x) GROUP BY name, first""", "name, first, n_atoms"),
+    # Each molecule's numbers by hand: aromatic and double-bonded atoms, and nitrogen and oxygen beside them, are SP2.
+    "literal_hybridization": of_parts("""SELECT name, hybridization, CAST(n_atoms AS BIGINT) AS n_atoms FROM (VALUES ('butane', 'SP3', 4), ('isobutane', 'SP3', 4), ('cyclobutane', 'SP3', 4), ('aspirin', 'SP2', 12), ('aspirin', 'SP3', 1),
+  ('diazepam', 'SP2', 17), ('diazepam', 'SP3', 3), ('caffeine', 'SP2', 11), ('caffeine', 'SP3', 3), ('chain', 'SP3', 14), ('chain', 'SP2', 3), ('indazole', 'SP2', 9), ('indazole', 'SP3', 1), ('platinum', 'SP3', 4), ('platinum', 'UNSPECIFIED', 1)) AS t(name, hybridization, n_atoms)""", "name, hybridization, n_atoms"),
+    "literal_stereo": of_parts("SELECT name, CAST(x AS BIGINT) AS at, label FROM (VALUES ('diene', 1, 'Z'), ('diene', 4, 'E'), ('diene', 7, 'NONE'), ('ring', 1, 'centre'), ('ring', 5, 'centre'), ('ring', 7, 'centre')) AS t(name, x, label)", 'name, x."at" AS "at", label', MARKED),
 }

@@ -208,7 +208,7 @@ def reaction_features(spark, sf_dir):
 
 def reaction_similarity(spark, sf_dir):
     """Each oxidation and that of the next part: what their difference fingerprints share."""
-    rxn = reactions.reactions(part(spark, sf_dir).where("p_partkey <= 500").withColumn("rxn", F.concat(chain(), F.lit("O>>"), chain(F.col("p_size") - 1), F.lit("C=O"))))
+    rxn = reactions.reactions(part(spark, sf_dir).withColumn("rxn", F.concat(chain(), F.lit("O>>"), chain(F.col("p_size") - 1), F.lit("C=O"))))
     pairs = rxn.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).join(rxn.select(F.col("p_partkey").alias("b")), "b", "left_semi").select("a", "b")
     return reactions.tanimoto(reactions.difference_fingerprint(rxn, "p_partkey"), pairs, "p_partkey").select("a", "b", F.round("sim", 6).alias("sim"))
 
@@ -225,6 +225,33 @@ def classifier_figures(spark, sf_dir):
     return consensus.covered_metrics(rows, "y", "label")
 
 
+def refused_texts(spark, sf_dir):
+    """Which texts a sanitising parse refuses, and why: too many bonds, an odd ring of lower-case carbon, or none of both."""
+    n = F.col("p_size")
+    amine = F.concat(F.lit("N"), F.repeat(F.lit("(C)"), n % 6))
+    ring = F.concat(F.lit("c1"), F.repeat(F.lit("c"), n), F.lit("c1"))
+    text = F.when(F.col("p_partkey") % 3 == 0, amine).when(F.col("p_partkey") % 3 == 1, ring).otherwise(F.concat(chain(), F.lit("[N+](C)(C)C")))
+    mols = molecules(part(spark, sf_dir), text)
+    kind = F.when(F.col("error").startswith("valence"), F.substring_index("error", ",", 2)).when(F.col("error").startswith("no alternating"), "no alternating bonds").otherwise(F.col("error"))
+    raw = molecules(part(spark, sf_dir), text, sanitize=False).select("p_partkey", F.col("parse_ok").alias("raw_ok"))
+    return mols.select("p_partkey", "parse_ok", kind.alias("reason"), big(F.size("atoms")).alias("n_atoms")).join(raw, "p_partkey")
+
+
+def stereo_texts(spark, sf_dir):
+    """Handed atoms and double bonds written in two ways each: whether the canonical texts agree, and whether they do without marks."""
+    key, tail = F.col("p_partkey"), chain()
+    hand = lambda bit: F.when(F.floor(key / bit) % 2 == 0, "@").otherwise("@@")
+    side = lambda bit: F.when(F.floor(key / bit) % 2 == 0, "/").otherwise("\\")
+    one = F.concat(tail, F.lit("[C"), hand(1), F.lit("H](F)O"))
+    ways = F.array(F.concat(F.lit("O[C"), hand(2), F.lit("H](F)"), tail), F.concat(F.lit("F[C"), hand(2), F.lit("H](O)"), tail), F.concat(tail, F.lit("[C"), hand(2), F.lit("H](O)F")))
+    texts = {"a": one, "b": F.get(ways, (key % 3).cast("int")), "c": F.concat(F.lit("F/C=C"), side(1), tail), "d": F.concat(tail, side(4), F.lit("C=C/F"))}
+    rows = part(spark, sf_dir).select("p_partkey", "p_size", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in texts.items()])).alias("x"))
+    written = stage(molecules(rows.select("p_partkey", "x.k", "x.t"), "t"), text=hashes.canonical())
+    found = written.groupBy("p_partkey").pivot("k", list(texts)).agg(F.first("text"))
+    bare = lambda c: F.regexp_replace(c, r"@|/|\\", "")
+    return found.select("p_partkey", (F.col("a") == F.col("b")).alias("same_hand"), (F.col("c") == F.col("d")).alias("same_side"), ((bare("a") == bare("b")) & (bare("c") == bare("d"))).alias("same_bonds"))
+
+
 def charge_sql() -> str:
     """The rounds of charges of chains of carbon with an oxygen at the end, one after another, hydrogens and all."""
     rows = ", ".join(f"('{e}', {a}, {b}, {c})" for (e, k), (a, b, c) in ELECTRONEGATIVITY.items() if (e, k) in (("H", ""), ("C", "SP3"), ("O", "SP3")))
@@ -257,7 +284,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, murcko_parsed,
-        fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures,
+        fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures, refused_texts, stereo_texts,
     )
 }
 
@@ -290,6 +317,10 @@ ORACLES = {
   unnest(['Cl[C]1' || repeat('[C]', p_size - 2) || '[C]1', 'Cl' || r || '_0', 'Cl' || r, 'Cl' || r || '_0_0', 'Cl' || r || '_0', r, '*' || r, printf('%04x%04x%02x%04x%04x%04x', p_size + 1, p_size + 1, 1, p_size, 0, 0),
     '0,1,' || (p_size - 1) || ',1,0', 'B' || (p_size + 1) || 'R1L' || (p_size - 1)]) AS value FROM (SELECT *, 'C1' || repeat('C', p_size - 2) || 'C1' AS r FROM part WHERE p_size >= 3)""",
     "reaction_features": PAIRS_SQL.format(where="") + "SELECT p_partkey, count(*) AS n_changed, CAST(sum(greatest(c, 0)) AS BIGINT) AS n_gained, CAST(sum(greatest(-c, 0)) AS BIGINT) AS n_lost FROM m JOIN f USING (n) GROUP BY 1",
-    "reaction_similarity": PAIRS_SQL.format(where="WHERE p_partkey <= 500") + ", t AS (SELECT n, sum(abs(c)) AS t FROM f GROUP BY 1), s AS (SELECT x.n, y.n AS w, sum(least(abs(x.c), abs(y.c))) AS s FROM f x JOIN f y ON x.p = y.p AND x.d = y.d AND x.r = y.r GROUP BY 1, 2) SELECT o.p_partkey AS a, q.p_partkey AS b, round(CAST(coalesce(s, 0) AS DOUBLE) / (u.t + v.t - coalesce(s, 0)), 6) AS sim FROM m o JOIN m q ON q.p_partkey = o.p_partkey + 1 JOIN t u ON u.n = o.n JOIN t v ON v.n = q.n LEFT JOIN s ON s.n = o.n AND s.w = q.n",
+    "reaction_similarity": PAIRS_SQL.format(where="") + ", t AS (SELECT n, sum(abs(c)) AS t FROM f GROUP BY 1), s AS (SELECT x.n, y.n AS w, sum(least(abs(x.c), abs(y.c))) AS s FROM f x JOIN f y ON x.p = y.p AND x.d = y.d AND x.r = y.r GROUP BY 1, 2) SELECT o.p_partkey AS a, q.p_partkey AS b, round(CAST(coalesce(s, 0) AS DOUBLE) / (u.t + v.t - coalesce(s, 0)), 6) AS sim FROM m o JOIN m q ON q.p_partkey = o.p_partkey + 1 JOIN t u ON u.n = o.n JOIN t v ON v.n = q.n LEFT JOIN s ON s.n = o.n AND s.w = q.n",
+    "refused_texts": """SELECT p_partkey, reason IS NULL AS parse_ok, reason, CASE WHEN reason IS NULL THEN n ELSE 0 END::BIGINT AS n_atoms, TRUE AS raw_ok FROM (
+  SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size % 6 > 3 THEN 'valence ' || p_size % 6 || ' of atom 0, N' WHEN p_partkey % 3 = 1 AND p_size % 2 = 1 THEN 'no alternating bonds' END AS reason,
+    CASE p_partkey % 3 WHEN 0 THEN p_size % 6 + 1 WHEN 1 THEN p_size + 2 ELSE p_size + 4 END AS n FROM part)""",
+    "stereo_texts": """SELECT p_partkey, (p_partkey % 2 = (p_partkey // 2) % 2) = (p_partkey % 3 = 1) AS same_hand, p_partkey % 2 = (p_partkey // 4) % 2 AS same_side, TRUE AS same_bonds FROM part""",
     "classifier_figures": "SELECT count(*) AS n, count(*) AS covered, CAST(count(*) FILTER (WHERE p_size % 10 > 4) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE p_size % 10 <= 4) AS BIGINT) AS tn, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS sensitivity, 1.0::DOUBLE AS mcc FROM part",
 }

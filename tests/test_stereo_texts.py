@@ -1,0 +1,124 @@
+"""Canonical texts with marks: they do not depend on the numbering, and agree just where the marked molecules map onto each other."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from moleweave.functions.smiles import molecule
+from moleweave.functions.stereo import Handed, Marks, marks_of, sign
+from moleweave.functions.writer import SIGNS, atom_text, plain_text, write
+from moleweave.operators.hashes import TEXT_HASHES, with_hash
+from moleweave.operators.molecules import molecules
+
+
+def text_of(text):
+    m = molecule(text)
+    assert m["parse_ok"], m["error"]
+    return write(m["atoms"], m["bonds"])
+
+
+def rewritten(text, rng):
+    """A text of the same molecule, connected, from another atom and with neighbours in another order."""
+    m = molecule(text)
+    atoms, bonds = m["atoms"], m["bonds"]
+    near, kinds, used = [[] for _ in atoms], {}, [0] * len(atoms)
+    for x in bonds:
+        for v, w in ((x["a"], x["b"]), (x["b"], x["a"])):
+            near[v].append((w, x["kind"]))
+            kinds[v, w] = x["kind"]
+            used[v] += {"DOUBLE": 2, "TRIPLE": 3}.get(x["kind"], 1)
+    assert set(kinds.values()) <= set(SIGNS)
+    ranks = list(range(len(atoms)))
+    rng.shuffle(ranks)
+    labels = [{h: atom_text(a, used[v] + a["aromatic"], h) for h in ("", "@", "@@")} for v, a in enumerate(atoms)]
+    return plain_text(ranks, near, kinds, labels, atoms, list(range(len(atoms))), marks_of(atoms, bonds))
+
+
+TEXTS = [
+    "C[C@H](O)F", "N[C@@H](C)C(=O)O", "F/C=C/F", r"F/C=C\Cl", r"C\C=C(/F)\C(=C\F)\C=C", "C[C@H]1CCC[C@@H](C)[C@@H]1Cl", "C[C@H]1CC[C@@H](C)CC1", "O[C@H](C(=O)O)[C@@H](O)C(=O)O",
+    "C[S@](=O)CC", "[C@]12(F)CC[C@](C)(CC1)CC2", "F/C=C1/CCCC(C)C1", r"C/C=C/C=C\C(/F)=C/Cl", "C[C@@H]1O[C@H](F)[C@@H](O)[C@H]1/C=C/c1ccccc1", "C[C@H](O)C(F)[C@@H](C)O", "C[C@H](O)[C@](F)(Cl)[C@@H](C)O",
+    r"F/C(Cl)=C(Br)/I", "C[C@@]1(F)C[C@](C)(F)C1", r"C1CC1/C=N\O", "C[N@+](CC)(F)CCC", "F[P@](C)CC", r"C(/F)=C\[C@H](Cl)[C@@H](Cl)/C=C/F",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_other_texts_of_one_molecule_agree(text):
+    rng, canonical = random.Random(7), text_of(text)
+    assert ("@" in canonical or "/" in canonical) and text_of(canonical) == canonical
+    assert {text_of(rewritten(text, rng)) for _ in range(40)} == {canonical}
+
+
+def test_mirror_images_and_sides_differ():
+    assert text_of("C[C@H](O)F") != text_of("C[C@@H](O)F") and text_of("F/C=C/F") != text_of(r"F/C=C\F") and text_of("FC=CF") not in (text_of("F/C=C/F"), text_of(r"F/C=C\F"))
+    assert text_of("O[C@H](C)F") == text_of("C[C@@H](O)F") and text_of(r"F\C=C\F") == text_of("F/C=C/F")
+    # Marks that tell nothing are left out.
+    for marked, bare in (("C[C@H](C)O", "CC(C)O"), ("C/C=C(/C)C", "CC=C(C)C"), ("C[C@H]1CCC(C)CC1", "CC1CCC(C)CC1"), ("F/C=C", "FC=C"), ("C[C@H](F)C(C)(C)[C@H](F)C", None)):
+        assert bare is None or text_of(marked) == text_of(bare)
+    # A digit's direction is that of the end at which it is written.
+    assert text_of("F/C=C/1CCCC(C)C1") == text_of(r"F/C=C1CCCC(C)C\1") != text_of(r"F/C=C\1CCCC(C)C1")
+    assert text_of("[C@]12(F)CC[C@](C)(CC1)CC2") == text_of("F[C@]12CC[C@](C)(CC1)CC2")
+
+
+def automorphisms(m):
+    """All maps of the atoms onto each other that keep elements and bonds."""
+    kind = {(v["idx"], x["v"]): m["bonds"][x["k"]]["kind"] for v in m["atoms"] for x in v["near"]}
+    label = [(a["symbol"], a["n_h"], a["charge"], len(a["near"])) for a in m["atoms"]]
+    found = []
+
+    def go(image):
+        v = len(image)
+        if v == len(label):
+            found.append(dict(enumerate(image)))
+            return
+        for w in range(len(label)):
+            if w not in image and label[v] == label[w] and all(kind.get((u, v)) == kind.get((image[u], w)) for u in range(v)):
+                go([*image, w])
+
+    go([])
+    return found
+
+
+def handed_forms(text, centres):
+    """The molecule with every choice of senses at the given atoms."""
+    m = molecule(text)
+    for senses in itertools.product("@", repeat=0) if not centres else itertools.product(("@", "@@"), repeat=len(centres)):
+        atoms = [dict(a) for a in m["atoms"]]
+        for v, s in zip(centres, senses, strict=True):
+            atoms[v] |= {"chiral": s, "around": [x["k"] for x in atoms[v]["near"]] + [-1] * atoms[v]["n_h"]}
+        yield atoms, m["bonds"], {v: Handed(tuple([x["v"] for x in atoms[v]["near"]] + [-1] * atoms[v]["n_h"]), 1 if s == "@@" else -1) for v, s in zip(centres, senses, strict=True)}
+
+
+@pytest.mark.parametrize(
+    "text,centres",
+    [("CC(F)C(F)C", [1, 3]), ("CC(F)C(O)C(F)C", [1, 3, 5]), ("CC1CC(C)C1", [1, 3]), ("FC1C(F)C(F)C1F", [1, 2, 4, 6]), ("CC(O)C(F)(Cl)C(O)C", [1, 3, 6]), ("CC(F)OC(Cl)OC(F)C", [1, 4, 7]), ("FC1CC2CC1CC2F", [1, 3, 5, 7]), ("FC1C(F)C1F", [1, 2, 4])],
+)
+def test_texts_agree_where_marked_molecules_map_onto_each_other(text, centres):
+    """All choices of senses, by all maps of the atoms; marks at which both senses are the same molecule included."""
+    m = molecule(text)
+    maps = automorphisms(m)
+    forms = list(handed_forms(text, centres))
+
+    def same(one, two):
+        return any(all(one[v].sense * sign([w if w < 0 else p[w] for w in one[v].around], two[p[v]].around) == two[p[v]].sense for v in one) for p in maps if all(p[v] in two for v in one))
+
+    texts = [write(atoms, bonds) for atoms, bonds, _ in forms]
+    for i, j in itertools.combinations(range(len(forms)), 2):
+        assert (texts[i] == texts[j]) == same(forms[i][2], forms[j][2]), (texts[i], texts[j])
+
+
+def test_marks_without_sense_stay_out_of_cells():
+    assert not Marks({}, []) and Marks({1: Handed((0, 2, 3, -1), 1)}, []).senses({0: 0, 2: 1, 3: 1}.get) == {}
+
+
+def test_columns_keep_marks_and_skeletons_have_none(spark):
+    """Through Spark's columns; hashes that leave out bond orders have no marks, parts keep what still tells something."""
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "id long, smiles string")
+    mols = molecules(rows)
+    found = {r.id: r.canonical_smiles for r in with_hash(mols, "canonical_smiles").select("id", "canonical_smiles").collect()}
+    assert found == {k: text_of(t) for k, t in enumerate(TEXTS)}
+    for name in ("anonymous_graph", "element_graph", "mesomer", "redox_pair"):
+        assert not any(c in r[0] for r in TEXT_HASHES[name](mols, "h").select("h").collect() for c in "@/\\")
+    scaffold = with_hash(molecules(spark.createDataFrame([("C[C@H]1O[C@@H](c2ccccc2)CC1",)], "smiles string")), "murcko_scaffold").select(F.col("murcko_scaffold")).first()[0]
+    assert scaffold in (text_of("O1CCC[C@@H]1c1ccccc1"), text_of("O1CCC[C@H]1c1ccccc1"))
