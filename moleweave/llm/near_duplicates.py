@@ -197,14 +197,14 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     be; where they meet, what is left of both has to be enough. Shingles within one component are left out, and those of
     several go from component to component, so no pairs are made within a component, however large it is.
     """
-    at = rows.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
-    several = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    at = settled(at.join(several, "token", "left_semi"))
-    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "pos")])
     first = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    own = at.select("token", "comp").distinct()
-    ways = own.select("token", F.col("comp").alias("comp_a")).join(own.select("token", F.col("comp").alias("comp_b")), "token").where("comp_a <> comp_b")
-    found = side(at.where(F.col("pos") < first), "a").join(ways, ["token", "comp_a"]).join(side(at, "b"), ["token", "comp_b"])
+    at = rows.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "token")).withColumn("first", F.col("pos") < first)
+    several = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("first").alias("first"))
+    at = settled(at.join(several.where("lo <> hi and first").select("token"), "token", "left_semi"))
+    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "pos")])
+    ends = lambda df, s: df.select("token", F.col("comp").alias(f"comp_{s}")).distinct()
+    ways = ends(at.where("first"), "a").join(ends(at, "b"), "token").where("comp_a <> comp_b")
+    found = side(at.where("first"), "a").join(ways, ["token", "comp_a"]).join(side(at, "b"), ["token", "comp_b"])
     larger = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
     near = 100 * F.col("n_a") >= percent * F.col("n_b")
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
