@@ -58,7 +58,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
 
     ``docs`` needs doc_id, text and source. Size is the number of words; null and empty texts have size 0 and are taken
     or not like others, at no words. Null is a source of its own. Repeated rows are sampled each on their own, and rows
-    without an id are dealt out by their texts; of rows with one id and size, the order of the texts' hashes decides. Columns
+    are dealt out by id and text, so that one id with many texts fills no bucket; of rows with one id and size, the order of
+    the texts' hashes decides. Rows that agree in both are in one bucket, which is sorted and not held. Columns
     of ``docs`` that bear a result's name are replaced. An empty table gives an empty result.
     """
     return set_aside(docs.drop(*RESULTS), INNER, lambda d: sampled(d, seed, weights, most))
@@ -74,7 +75,7 @@ def sampled(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int) ->
         .withColumn("step", F.least("step", F.lit(most * ONE)))
         .withColumn("start", hex_hash(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))))
     )
-    dealt = lookup(docs, sources, ["source"]).withColumn("bucket", F.pmod(hex_hash(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), F.col("n_buckets")))
+    dealt = lookup(docs, sources, ["source"]).withColumn("bucket", F.pmod(hex_hash(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))), F.col("n_buckets")))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("source", "bucket", "step", "start").agg(F.count("*").alias("n"))
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("decimal(38,0)") * F.col("step") + F.col("start"))
@@ -103,7 +104,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight, source_size * 3 AS stop FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(stop) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -113,7 +114,7 @@ t AS (SELECT *, least(stop::DOUBLE, coalesce((SELECT arg_min(level, place) FROM
 p AS (SELECT source, source_size, target, ceil(n_docs / 20000)::BIGINT AS n_buckets,
         CASE WHEN source_size > 0 THEN least(floor(target / source_size * 4294967296)::HUGEINT, 3 * 4294967296::HUGEINT) ELSE 0 END AS step,
         ('0x' || left(md5('0|' || coalesce('=' || source, '')), 8))::BIGINT AS start FROM t),
-b AS (SELECT d.*, p.source_size, p.target, p.step, p.start, ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 8))::BIGINT % n_buckets AS bucket
+b AS (SELECT d.*, p.source_size, p.target, p.step, p.start, ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 8))::BIGINT % n_buckets AS bucket
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id) * step + start AS e FROM b)
 SELECT doc_id, size, source_size, target, ((e // 4294967296 - (e - step) // 4294967296) * size)::BIGINT AS taken FROM r

@@ -57,3 +57,14 @@ def test_ties_of_one_id_are_taken_alike_in_every_run(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     runs = [sorted((str(r.doc_id), r.text, r.copies) for r in mix(docs.orderBy(*order).repartition(n)).collect()) for n, order in ((1, ["text"]), (5, ["source", "text"]), (3, ["doc_id"]))]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_one_id_with_many_texts_fills_no_bucket(spark, monkeypatch):
+    """Rows of one id, and of none, are spread over the buckets of their source by their texts."""
+    from moleweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(mixing, "INNER", tuple(c for c in mixing.INNER if c != "bucket"))
+    docs = spark.createDataFrame([(k % 2 or None, f"w{k} x", "s") for k in range(1000)], "doc_id long, text string, source string")
+    sizes = [r[1] for r in mixing.sampled(docs, 0, mixing.WEIGHTS, mixing.MOST).groupBy("bucket").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 120
