@@ -56,14 +56,26 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, at: str | None
 
 
 def headers(head: bytes) -> dict[str, str]:
-    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if line)
+    """The fields by name in lower case; lines that begin with white space go on with the field before them."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC headers, HTTP headers and payload of a record."""
+    """WARC headers, HTTP headers and payload of a record; of other content than an HTTP message the whole block is the payload."""
     head, _, block = raw.partition(b"\r\n\r\n")
     warc = headers(head)
-    block = block[: int(warc["Content-Length"])]
+    block = block[: int(warc["content-length"])]
+    if not warc.get("content-type", "").lower().startswith("application/http") and not block.startswith(b"HTTP/"):
+        return warc, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
     return warc, headers(http), payload
 
@@ -93,7 +105,7 @@ def records(stream) -> Iterator[bytes]:
                 at = buffer.find(b"\r\n\r\n")
                 if at < 0:
                     break
-                need = at + 4 + int(headers(bytes(buffer[:at]))["Content-Length"]) + 4
+                need = at + 4 + int(headers(bytes(buffer[:at]))["content-length"]) + 4
             if len(buffer) < need:
                 break
             yield bytes(buffer[:need])
@@ -160,7 +172,7 @@ def normalise_warc(manifest: DataFrame, source: str, root: str) -> DataFrame:
                         deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = deflate.compress(raw) + deflate.flush()
                         warc = headers(raw[: raw.find(b"\r\n\r\n")])
-                        index.write(json.dumps({"id": warc["WARC-Record-ID"], "type": warc["WARC-Type"], "offset": at, "length": len(member)}).encode() + b"\n")
+                        index.write(json.dumps({"id": warc.get("warc-record-id"), "type": warc.get("warc-type"), "offset": at, "length": len(member)}).encode() + b"\n")
                         out.write(member)
                         at, count = at + len(member), count + 1
                 rows.append((new, f"{new}.idx", count, at))
@@ -182,12 +194,13 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
                     for entry in map(json.loads, entries.read().splitlines()):
                         file.seek(entry["offset"])
                         warc, http, payload = parse(zlib.decompress(file.read(entry["length"]), 31))
-                        if warc["WARC-Record-ID"] != entry["id"]:
+                        if warc.get("warc-record-id") != entry["id"]:
                             raise ValueError(f"{name}: the index does not fit at {entry['offset']}")
                         number = lambda key: int(warc[key]) if key in warc else None
-                        revisit = warc["WARC-Type"] == "revisit"
-                        digest = warc["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
-                        rows.append((number("X-Page-Id"), warc.get("WARC-Target-URI"), int(http["Content-Length"]) if revisit else len(payload), digest, warc["WARC-Type"], number("X-Refers-To-Page"), name, entry["offset"], entry["length"]))
+                        revisit = warc.get("warc-type") == "revisit"
+                        digest = warc.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
+                        size = int(http.get("content-length", 0)) if revisit else len(payload)
+                        rows.append((number("x-page-id"), warc.get("warc-target-uri"), size, digest, warc.get("warc-type"), number("x-refers-to-page"), name, entry["offset"], entry["length"]))
                 columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
 
@@ -213,11 +226,13 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def resolved(records: DataFrame) -> DataFrame:
     """The records with size and digest of a revisit taken from the stored payload that it refers to; an error if there is none."""
     records = cut(records)
-    stored = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("__p"), F.col("payload_digest").alias("__d")).agg(F.first("payload_bytes").alias("__n"))
-    asked = records.where("record_type = 'revisit'").join(stored, (F.col("refers_to") == F.col("__p")) & (F.col("payload_digest") == F.col("__d")), "left")
+    # A payload that many pages refer to is a hot key on the side of the revisits alone.
+    stored = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("__n"))
+    referred = lookup(records.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct(), cut(stored), ["refers_to", "payload_digest"], "left")
+    asked = lookup(records.where("record_type = 'revisit'"), cut(referred), ["refers_to", "payload_digest"])
     missing = F.raise_error(F.concat(F.lit("no payload for the revisit of page "), F.col("refers_to").cast("string"))).cast("long")
-    asked = asked.withColumn("payload_bytes", F.when(F.col("__n").isNotNull(), F.col("__n")).otherwise(missing)).drop("__p", "__d", "__n")
-    return records.where("record_type = 'response'").unionByName(asked)
+    asked = asked.withColumn("payload_bytes", F.when(F.col("__n").isNotNull(), F.col("__n")).otherwise(missing)).drop("__n")
+    return records.where("record_type <> 'revisit' or record_type is null").unionByName(asked)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

@@ -82,3 +82,24 @@ def test_record_ids_are_unique_and_revisits_find_their_payload(spark, tmp_path):
 
 def test_empty(spark):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_archives_of_other_tools(spark, tmp_path):
+    """Names in any case, no space after colons, folded fields, an info record, and a revisit without a length."""
+    import gzip
+
+    from moleweave.llm.warc import normalise_warc, parse, read_warc, records
+
+    def made(*lines, block=b""):
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    info, page = b"software: x\r\nformat: WARC\r\n\r\nmore", b"HTTP/1.0 200 OK\r\ncontent-TYPE:text/html\r\n\r\n<p>hi"
+    raw = made("WARC/1.0", "warc-type:warcinfo", "WARC-Record-ID: <urn:a>", "Content-Type: application/warc-fields", f"content-length:{len(info)}", block=info)
+    raw += made("WARC/1.0", "WARC-TYPE: response", "warc-record-id:<urn:b>", "WARC-Target-URI: http://x", "  /y", "Content-Type: application/http;msgtype=response", f"Content-Length : {len(page)}", block=page)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(raw))
+    with open(tmp_path / "a.warc.gz", "rb") as stream:
+        found = [parse(r) for r in records(stream)]
+    assert found[0][2] == info and found[1][2] == b"<p>hi" and found[1][0]["warc-target-uri"] == "http://x /y"
+    manifest = spark.createDataFrame([("a.warc.gz", None, 2, len(raw))], "path string, index string, records long, bytes long")
+    rows = sorted(tuple(r) for r in read_warc(normalise_warc(manifest, f"file://{tmp_path}", f"file://{tmp_path}/new"), f"file://{tmp_path}/new").select("record_type", "payload_bytes", "url").collect())
+    assert rows == [("response", 5, "http://x /y"), ("warcinfo", len(info), None)]
