@@ -72,19 +72,25 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     windows = cut(reduce(DataFrame.unionAll, shingled).withColumn("wid", F.xxhash64("words")))
     lengths = sorted({min(SHINGLE, k) for k in shapes})
     blocks = -(-windows.count() // BLOCK)
-    sent, blocks = (F.broadcast, blocks) if blocks <= BLOCKS else (lambda df: df, 1)
+    many = blocks > BLOCKS
+    blocks = 1 if many else blocks
+
+    def meet(big: DataFrame, small: DataFrame) -> DataFrame:
+        """Places of shingles with the rows of their keys: a block's are broadcast, more of them are dealt out by salts, as one key may be everywhere."""
+        return lookup(big, small, ["key"], "inner", limit=0) if many else big.join(F.broadcast(small), "key")
+
     found = []
     for block in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         keys = part.select(F.explode("shingles.key").alias("key")).distinct()
-        seen = cut(corpus_shingles(docs, lengths).join(sent(keys), "key", "left_semi"))
+        seen = cut(meet(corpus_shingles(docs, lengths), keys.withColumn("asked", F.lit(True))).drop("asked"))
         often = seen.groupBy("key").agg(F.count("*").alias("often"))
         ranked = part.select("wid", "size", F.explode("shingles").alias("s")).distinct().select("wid", "size", "s.offset", "s.key")
         rarest = F.min(F.struct(F.col("often"), F.col("offset"), F.col("key"))).alias("rarest")
         prefix = ranked.join(cut(often), "key", "left").withColumn("often", F.coalesce("often", F.lit(0))).groupBy("wid", "size").agg(rarest).where("rarest.often > 0")
         prefix = cut(prefix.select("rarest.key", "rarest.offset", "size", "wid"))
         start = F.col("at") - F.col("offset")
-        near = seen.join(sent(prefix), "key").where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
+        near = meet(seen, prefix).where((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
         near = cut(near.groupBy("doc_id", "h").agg(F.collect_set(F.struct(start.alias("start"), "size", "wid")).alias("near")))
         # Only the candidates' keys, which are narrow, may be broadcast; the places come by a shuffle of candidates alone.
         asked = lookup(docs.select("doc_id", "h", "text"), near.select("doc_id", "h", F.lit(1).alias("one")), ["doc_id", "h"], "inner", salts=1)

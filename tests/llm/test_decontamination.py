@@ -58,3 +58,16 @@ def test_stage_keeps_clean_documents(spark, tmp_path):
     docs = spark.createDataFrame([(1, "x " + passage, 0, ""), (2, "x y z", 0, ""), (3, None, 0, ""), (None, "clean", 0, ""), (1, "other text of the same id", 0, "")], DOCS)
     kept = decontamination_stage(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, ["x y z", None, "clean", "other text of the same id"]))
+
+
+def test_large_benchmarks_are_dealt_out_by_salts(spark, monkeypatch):
+    """Beyond the blocks that are broadcast the result is the same, with an item of one word that is everywhere."""
+    from moleweave.llm import decontamination
+
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choice(["the", "a", "cat", "dog", "sat", "on", "mat"]) for _ in range(rng.randint(0, 60))), "", 0) for k in range(120)]
+    items = [(0, "the", 0), (1, "the cat sat on the mat", 0), (2, "dog " * 12, 0), (3, " ".join(docs[7][1].split()[:15]), 0), (4, None, 0)]
+    tables = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([i[:2] for i in items], "item_id long, text string")
+    few = sorted(map(tuple, decontaminate(*tables).collect()))
+    monkeypatch.setattr(decontamination, "BLOCKS", 0)
+    assert sorted(map(tuple, decontaminate(*tables).collect())) == few and sum(r[-1] for r in few) > 50
