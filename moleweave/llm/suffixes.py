@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moleweave.llm.common import cut, keep, lookup, shuffles, table, word_array
 from moleweave.llm.near_duplicates import mix64
@@ -215,6 +216,19 @@ def merged(spans: list[tuple[int, int, object]]) -> list[tuple[int, int, object]
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
+    """:func:`passages` for ids of any type: those that are no whole numbers are numbered, in a table that is written once."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        return passages(docs)
+    numbers = keep(docs.select("doc_id").where("doc_id is not null").distinct().withColumn("__n", F.monotonically_increasing_id()), "ids")
+    coded = lookup(docs.select("doc_id", "text"), numbers, ["doc_id"])
+    found = passages(coded.select(F.col("__n").alias("doc_id"), "text"))
+    for c in ("doc_id", "other_doc"):
+        found = lookup(found, numbers.select(F.col("__n").alias(c), F.col("doc_id").alias("__id")), [c]).drop(c).withColumnRenamed("__id", c)
+    return found.select("doc_id", "start_word", "end_word", "n_words", "other_doc")
+
+
+def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, start_word, end_word, n_words, other_doc: passages of ``PASSAGE`` words or more that
     another document with another text has too, merged where they overlap, and whole texts of that size with copies.
 

@@ -82,3 +82,16 @@ def test_partition_ends_are_compared_over_several_levels(spark, monkeypatch):
 
 def test_empty(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    """Texts as ids: the same passages, with the ids as they came."""
+    rng = random.Random(12)
+    shared, copy = words(rng, 70), " ".join(words(rng, 80))
+    rows = [(k, " ".join(words(rng, 20) + shared + words(rng, k)), 0, "") for k in range(6)] + [(10, copy, 0, ""), (11, copy, 0, ""), (12, "short", 0, ""), (None, copy, 0, "")]
+    named = spark.createDataFrame([(i if i is None else f"doc-{i}", t) for i, t, *_ in rows], "doc_id string, text string")
+    got = {}
+    for r in suffixes.repeated_passages(named).collect():
+        assert r.other_doc is None or r.other_doc.startswith("doc-")
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == {i if i is None else f"doc-{i}": h for i, h in brute(rows).items()} and len(got) == 9
