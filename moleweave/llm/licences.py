@@ -1,10 +1,10 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are scored by multinomial logistic regression on the presence of word 1- to 3-grams. Spark ML fits it on
-sentences made from the templates below and, for the unknown class, on neutral, mixed and broken ones; a temperature
-fitted on held-out sentences calibrates the probabilities. A prediction for a line counts if the line also contains most
-of a template of the predicted family. Paragraphs, which may be wrapped over several lines, are compared with the
-templates of all families too, so that each of several notices counts; of families alike at one place the nearest counts.
+Multinomial logistic regression on the presence of word 1- to 3-grams scores the lines of a paragraph and windows over
+it. Spark ML fits it on sentences made from the templates below and, for the unknown class, on neutral, mixed, broken,
+negated and merely mentioning ones; a temperature fitted on held-out sentences calibrates the probabilities. A line or
+window that is not unknown proposes the families that are probable in it, and only those are looked for: a family counts
+if a stretch there contains most of one of its templates and, with the words around it, is not unknown either.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ from moleweave.llm.common import table
 
 #: Sentences made for the fit for each template, and the share of all that calibrates. The fit sees no other rows.
 PER_TEMPLATE, HELD_OUT = 24, 0.25
-#: A line is of a family from this probability on, and if this share of a template's word pairs is in it.
-LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.75
+#: A line or window proposes a family from this probability on, so that each of two licences to choose from is; not if it is unknown with more than that.
+LEAST_PROBABILITY, MOST_UNKNOWN = 0.1, 0.5
+#: A proposed family is confirmed if this share of a template's word pairs is in a stretch.
+LEAST_OVERLAP = 0.75
+#: Words of a window over a paragraph, how far windows lie apart, and words around a stretch that are judged with it.
+UNIT, STEP, AROUND = 24, 12, 5
 UNKNOWN = "unknown"
 WORDS = re.compile(r"[a-z0-9]+")
 
@@ -112,7 +116,7 @@ TEMPLATES = {
     ],
     "all-rights-reserved": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "All rights reserved."],
 }
-#: Names of families in short notices and in choices of two, which are compared whole and not used in the fit.
+#: Names of families in short notices and in choices of two, which are compared whole.
 NAMES = {
     "mit": ["MIT", "MIT License"],
     "apache-2.0": ["Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"],
@@ -136,6 +140,11 @@ CONFUSABLE = (
     "Creative work is common in this international field.", "The terms of the agreement were modified without fee.", "Copyright law is taught in the third year.", "They reserved a table for all.",
     "The source of this river is in the public park.", "Permission was granted to use the hall for any purpose.", "The following conditions are met in the north of the country.",
 )
+#: What is said of a licence that is not given.
+DENIED = (
+    "this is not licensed under {}", "is not licensed under the {} and never was", "it was never released under {}", "this work is not under the {} license", "not available under {}",
+    "he gave a talk about {} last year", "we discussed {} and other texts", "they compared {} with the others", "the history of {} is long", "unlike {} it has no notice", "without {} there is none",
+)
 NEUTRAL = "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 
 
@@ -164,6 +173,23 @@ def made_sentences(seed: int, per_template: int = PER_TEMPLATE) -> list[tuple[st
     return out
 
 
+def made_names(seed: int) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(family, sentence): short notices by name and, of no family, what denies or mentions a name; and choices of two, once for each."""
+    draw, out, choices = random.Random(seed), [], []
+    noise = lambda most: " ".join(draw.choice(NEUTRAL) for _ in range(draw.randint(0, most)))
+    said = [(f, x) for f, names in NAMES.items() for x in names]
+    for family, name in said:
+        out += [(family, f"{noise(8 * (k % 2))} {form.format(name)} {noise(8 * (k % 3))}") for k, form in enumerate(FORMS)]
+        out += [(UNKNOWN, f"{noise(8 * (k % 2))} {form.format(name)} {noise(8 * (k % 3))}") for k, form in enumerate(DENIED)]
+        for other, second in said:
+            if other != family:
+                text = f"{noise(4)} {draw.choice(('', 'licensed under', 'SPDX-License-Identifier:', 'dual licensed under'))} {draw.choice(CHOICES).format(name, second)}"
+                choices += [(family, text), (other, text)]
+    for texts in TEMPLATES.values():
+        out += [(UNKNOWN, f"{noise(6)} {form.format(draw.choice(texts)[:60])} {noise(6)}") for form in DENIED]
+    return out, choices
+
+
 class Model(NamedTuple):
     """Words are numbered from 1; a feature's code is its words' numbers as digits in base len(vocabulary) + 1."""
 
@@ -200,11 +226,14 @@ class Model(NamedTuple):
 
 def fit(spark: SparkSession, seed: int = 7) -> Model:
     """Fit on made sentences and calibrate on the held-out share of them."""
-    made = made_sentences(seed)
+    names, choices = made_names(seed)
+    made = made_sentences(seed) + names
     random.Random(seed).shuffle(made)
-    held, used = made[: int(HELD_OUT * len(made))], made[int(HELD_OUT * len(made)):]
+    # A choice is of two families, so it tells nothing about calibration.
+    held, used = made[: int(HELD_OUT * len(made))], made[int(HELD_OUT * len(made)):] + choices
     classes = [UNKNOWN, *TEMPLATES]
     known = {g for texts in TEMPLATES.values() for t in texts for g in grams(words_of(t))} | {g for t in CONFUSABLE for g in grams(words_of(t))} | set(NEUTRAL)
+    known |= {g for family, text in names + choices for g in grams(words_of(text)) if family == UNKNOWN or len(g.split()) < 3}
     vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for g in known for w in g.split()}))}
     base = len(vocabulary) + 1
     code = lambda g: sum(vocabulary[w] * base**k for k, w in enumerate(reversed(g.split())))
@@ -225,12 +254,6 @@ def fit(spark: SparkSession, seed: int = 7) -> Model:
     return model._replace(weights=model.weights / heat, bias=model.bias / heat)
 
 
-def overlap(words: list[str], family: str) -> float:
-    """The largest share of a template's word pairs that are in the paragraph."""
-    pairs = set(zip(words, words[1:]))
-    return max(len(p & pairs) / len(p) for t in TEMPLATES[family] if (w := words_of(t)) and (p := set(zip(w, w[1:]))))
-
-
 class Template(NamedTuple):
     family: str
     pairs: frozenset[tuple[str, str]]
@@ -293,13 +316,35 @@ class Notices:
         return out
 
 
-def confirmed(words: list[str], notices: Notices, model: Model) -> list[tuple[float, float, str]]:
-    """(probability, share, family) of the families near which stretches of a paragraph are, the nearest at each place."""
-    near = notices.near(words)
+def proposed(lines: list[list[str]], model: Model) -> list[tuple[int, int, frozenset[str]]]:
+    """(begin, end, families) of the lines of a paragraph, and of windows over it, that are not unknown."""
+    words, units, at = sum(map(len, lines)), [], 0
+    for line in lines:
+        units.append((at, at + len(line)))
+        at += len(line)
+    units += [(i, min(i + UNIT, words)) for i in range(0, max(1, words - UNIT + STEP), STEP)]
+    flat = [w for line in lines for w in line]
+    p = model.probabilities([flat[i:j] for i, j in units])
+    some = np.flatnonzero(p[:, 0] <= MOST_UNKNOWN)
+    return [(*units[k], frozenset(model.classes[c] for c in np.flatnonzero(p[k] >= LEAST_PROBABILITY) if c)) for k in some]
+
+
+def confirmed(lines: list[list[str]], notices: Notices, model: Model) -> list[tuple[float, float, str]]:
+    """(probability, share, family) of the families that the classifier proposes in a paragraph and templates confirm.
+
+    Of families at one place the nearest counts; probabilities are of the stretch with the words around it.
+    """
+    places = proposed(lines, model)
+    if not places:
+        return []
+    words = [w for line in lines for w in line]
+    asked = lambda family, begin, end: any(family in families and i < end and begin < j for i, j, families in places)
+    near = [x for x in notices.near(words) if asked(*x[1:])]
     if not near:
         return []
-    p = model.probabilities([words[begin:end] for _, _, begin, end in near])
-    scored = sorted(((share, float(p[k, model.classes.index(family)]), family, begin, end) for k, (share, family, begin, end) in enumerate(near)), reverse=True)
+    p = model.probabilities([words[max(0, begin - AROUND):end + AROUND] for _, _, begin, end in near])
+    own = [p[k, model.classes.index(family)] for k, (_, family, _, _) in enumerate(near)]
+    scored = sorted(((share, float(own[k]), family, begin, end) for k, (share, family, begin, end) in enumerate(near) if own[k] >= LEAST_PROBABILITY and p[k, 0] <= MOST_UNKNOWN), reverse=True)
     taken: list[tuple[float, float, str, int, int]] = []
     for x in scored:
         rival = (t for t in taken if t[2] != x[2] and t[3] < x[4] and x[3] < t[4])
@@ -314,7 +359,7 @@ RESULT = "n_paragraphs long, n_licence_paragraphs long, families string, family
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) -> doc_id, n_paragraphs, n_licence_paragraphs, families, family, probability, similarity.
 
-    Paragraphs are parted by lines without a word. families lists all that are confirmed in a line or paragraph; family,
+    Paragraphs are parted by lines without a word. families lists all that are proposed and confirmed; family,
     probability and similarity are of the most probable confirmed one, null without any. Null and empty texts have no paragraphs;
     repeated rows each get their row; other columns are ignored; an empty table gives an empty result.
     """
@@ -327,18 +372,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch:
                 lines = [words_of(line) for line in (text or "").split("\n")]
                 paragraphs = [list(group) for some, group in groupby(lines, bool) if some]
-                flat = [line for paragraph in paragraphs for line in paragraph]
-                owner = [k for k, paragraph in enumerate(paragraphs) for _ in paragraph]
-                found = []
-                if flat:
-                    p = model.probabilities(flat)
-                    best = p.argmax(1)
-                    for i in np.flatnonzero((best > 0) & (p.max(1) >= LEAST_PROBABILITY)):
-                        family = model.classes[best[i]]
-                        share = overlap(flat[i], family)
-                        if share >= LEAST_OVERLAP:
-                            found.append((round(float(p[i, best[i]]), 6), round(share, 6), family, owner[i]))
-                    found += [(*x, k) for k, paragraph in enumerate(paragraphs) for x in confirmed([w for line in paragraph for w in line], notices, model)]
+                found = [(*x, k) for k, paragraph in enumerate(paragraphs) for x in confirmed(paragraph, notices, model)]
                 top = max(found, default=(None, None, None))
                 rows.append((len(paragraphs), len({k for *_, k in found}), ",".join(sorted({f for _, _, f, _ in found})), top[2], top[0], top[1]))
             yield pd.DataFrame(rows, columns=["n_paragraphs", "n_licence_paragraphs", "families", "family", "probability", "similarity"])

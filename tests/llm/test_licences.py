@@ -117,3 +117,64 @@ def test_stretches_against_every_template_at_every_place():
         for (family, _), share in best.items():
             expected[family] = max(expected.get(family, 0), share)
         assert near == expected
+
+
+def test_the_classifier_decides(spark, model):
+    """A blind classifier gives no family, and one that knows a single family gives that one alone; denials and mentions give none."""
+    rows = [(i, f"some words\n\n{text}\n\nmore", f) for i, (f, text) in enumerate(NOTICES.items())] + [(50, "Licensed under CC BY 4.0.", "cc-by"), (51, "MIT OR Apache-2.0", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    blind = model._replace(weights=model.weights * 0, bias=model.bias * 0 + ([50.0] + [0.0] * (len(model.classes) - 1)))
+    assert {r.families for r in licences.scan(docs, blind).collect()} == {""}
+    keep = model.classes.index("bsd")
+    one = model._replace(bias=model.bias - [0.0 if k in (0, keep) else 60.0 for k in range(len(model.classes))])
+    assert {r.families for r in licences.scan(docs, one).collect()} == {"", "bsd"}
+    denied = ["This is not licensed under the MIT License and never was.", "It was never released under the GPLv3.", "He gave a talk about the Apache License 2.0 last year.", "We discussed the MIT License and other texts."]
+    found = licences.scan(spark.createDataFrame([(k, t, "") for k, t in enumerate(denied)], SCHEMA), model).collect()
+    assert [r.families for r in found] == [""] * len(denied)
+
+
+def plain(text, model):
+    """Families by looking at all lines, all windows, all templates and all stretches."""
+    L = licences
+    lines, paragraphs = [L.words_of(x) for x in (text or "").split("\n")], [[]]
+    for line in lines:
+        if line:
+            paragraphs[-1].append(line)
+        elif paragraphs[-1]:
+            paragraphs.append([])
+    out = set()
+    chance = lambda w: dict(zip(model.classes, model.probabilities([w])[0]))
+    for paragraph in filter(None, paragraphs):
+        words, at, units = sum(paragraph, []), 0, []
+        for line in paragraph:
+            units.append((at, at + len(line)))
+            at += len(line)
+        units += [(i, i + L.UNIT) for i in range(0, len(words), L.STEP) if i == 0 or i < len(words) - L.UNIT + L.STEP]
+        asked = [(i, j, {f for f, p in chance(words[i:j]).items() if p >= L.LEAST_PROBABILITY}) for i, j in units]
+        asked = [x for x in asked if chance(words[x[0]:x[1]])["unknown"] <= L.MOST_UNKNOWN]
+        for t in L.templates():
+            room = t.size if t.least == 1 else t.size + t.size // 3 + 2
+            for i in range(len(words)):
+                stretch = words[i:i + room]
+                if len(t.pairs & set(zip(stretch, stretch[1:]))) >= t.least * len(t.pairs) and any(t.family in f and a < i + room and i < b for a, b, f in asked):
+                    out.add(t.family)
+    return out
+
+
+def test_results_against_a_plain_scan(spark, model):
+    """All that is found is found by a scan of every place too, and what that finds is missed only for a nearer family or the words around."""
+    rng = random.Random(6)
+    notices = [x for t in licences.TEMPLATES.values() for x in t]
+    texts = []
+    for k in range(60):
+        prose = " ".join(rng.choice(licences.NEUTRAL) for _ in range(rng.randint(0, 50)))
+        lines = [prose, rng.choice(notices) if k % 3 else rng.choice(licences.CONFUSABLE), "" if k % 2 else "and so on", rng.choice(notices)[: rng.choice([40, 400])]]
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    found = {r.doc_id: set(filter(None, r.families.split(","))) for r in licences.scan(spark.createDataFrame([(k, t, "") for k, t in enumerate(texts)], SCHEMA), model).collect()}
+    missed = 0
+    for k, t in enumerate(texts):
+        expected = plain(t, model)
+        assert found[k] <= expected, (t, found[k], expected)
+        missed += bool(expected) and not found[k]
+    assert missed <= 2 and sum(map(bool, found.values())) > 35
