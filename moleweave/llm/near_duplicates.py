@@ -195,21 +195,31 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     The prefix of the larger set meets the first part of that of the smaller, which is shorter the nearer the sizes have to
     be; where they meet, what is left of both has to be enough. Shingles within one component are left out, and those of
-    several go from component to component, so no pairs are made within a component, however large it is.
+    several go from component to component, and only where the bounds of both allow a pair, so no pairs are made within a
+    component, however large it is.
     """
     first = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    at = rows.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "token")).withColumn("first", F.col("pos") < first)
+    at = rows.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
+    at = at.select("node", "n", "comp", "token", (F.col("n") - F.col("pos")).alias("left"), (F.col("pos") < first).alias("first"))
     several = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("first").alias("first"))
     at = settled(at.join(several.where("lo <> hi and first").select("token"), "token", "left_semi"))
-    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "pos")])
-    ends = lambda df, s: df.select("token", F.col("comp").alias(f"comp_{s}")).distinct()
-    ways = ends(at.where("first"), "a").join(ends(at, "b"), "token").where("comp_a <> comp_b")
-    found = side(at.where("first"), "a").join(ways, ["token", "comp_a"]).join(side(at, "b"), ["token", "comp_b"])
-    larger = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
-    near = 100 * F.col("n_a") >= percent * F.col("n_b")
-    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    enough = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
-    return found.where(larger & near & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+    def ends(df: DataFrame, s: str) -> DataFrame:
+        """Of each shingle and component, the least and largest set and the most that is left of one."""
+        return df.groupBy("token", F.col("comp").alias(f"comp_{s}")).agg(F.min("n").alias(f"least_{s}"), F.max("n").alias(f"most_{s}"), F.max("left").alias(f"left_{s}"))
+
+    def fits(least_a: Column, most_a: Column, left_a: Column, least_b: Column, most_b: Column, left_b: Column) -> Column:
+        """Whether a set within the one bounds may have the similarity with a set within the others that is no smaller."""
+        enough = percent * (least_a + F.greatest(least_a, least_b))
+        return (least_a <= most_b) & (100 * most_a >= percent * least_b) & ((100 + percent) * F.least(left_a, left_b) >= enough)
+
+    c = F.col
+    ways = ends(at.where("first"), "a").join(ends(at, "b"), "token").where((c("comp_a") != c("comp_b")) & fits(c("least_a"), c("most_a"), c("left_a"), c("least_b"), c("most_b"), c("left_b")))
+    ways = ways.select("token", "comp_a", "comp_b", "least_b", "most_b", c("left_b").alias("room_b"))
+    side = lambda df, s: df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "comp", "left")])
+    found = side(at.where("first"), "a").join(ways, ["token", "comp_a"]).where(fits(c("n_a"), c("n_a"), c("left_a"), c("least_b"), c("most_b"), c("room_b")))
+    found = found.join(side(at, "b"), ["token", "comp_b"]).where((F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & fits(c("n_a"), c("n_a"), c("left_a"), c("n_b"), c("n_b"), c("left_b")))
+    return found.select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
 
 
 def similar_bits(percent: int) -> Column:
