@@ -1,8 +1,9 @@
 """Main text of web pages: elements that recur on many pages of a host are site template and go.
 
 A first pass hashes the subtree of each block, inside articles too, and Spark counts, for each host, the distinct pages
-that have it. Subtrees on more than a number of a host's pages are deleted in the second pass, with menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments that the markup names.
+that have it; versions of one page count about once. Subtrees on more than a number and a share of a host's pages are
+deleted in the second pass, with menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+that the markup names.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moleweave.llm.common import cut, lookup, table
-
-#: A subtree is template if more distinct pages of its host have it than this number; one of ``PIECES`` only if also more than this share of the host's pages do.
-TREE_PAGES, TREE_SHARE = 4, 0.1
+from moleweave.llm.near_duplicates import mix64
+
+#: A subtree is template if more distinct pages of its host have it than this number and than this share of the host's pages.
+TREE_PAGES, TREE_SHARE = 4, 0.01
+#: The share for ``PIECES``.
+PIECE_SHARE = 0.1
+#: A page is told by the least hashes of its runs of three words under so many hash functions: of nearly equal pages most are equal.
+PAGE_KEYS = 3
+#: Articles are teasers if what stands beside them is more than so many times as long.
+TEASERS = 3
 #: Parts of tables, lists and sections, which recur in articles that are otherwise distinct; they count outside articles alone.
 PIECES = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li optgroup option pre summary tbody td tfoot th thead tr".split())
 #: Stands for the page itself in counts.
@@ -201,14 +210,22 @@ class Page:
         if least[1] is None and least[2] is None:
             return "\n\n".join(text for text, *_ in self.blocks)
         mains = least[1] is not None and (least[2] is None or least[1] <= least[2])
-        return "\n\n".join(text for text, kind, n in self.blocks if kind and n == least[kind] and (kind == 2 or mains))
+        chosen = [text for text, kind, n in self.blocks if kind and n == least[kind] and (kind == 2 or mains)]
+        beside = [text for text, kind, _ in self.blocks if not kind]
+        return "\n\n".join(beside if sum(map(len, beside)) > TEASERS * sum(map(len, chosen)) else chosen)
+
+
+def page_keys(text: str) -> list[int]:
+    words = text.split()
+    runs = np.array([xxhash.xxh64_intdigest(" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+    return [int(mix64(runs, k + 1).min()) - (1 << 63) for k in range(PAGE_KEYS)]
 
 
-@F.pandas_udf(T.StructType([T.StructField("h", T.LongType()), T.StructField("trees", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("trees", T.ArrayType(T.LongType()))]))
 def page_trees(html: pd.Series) -> pd.DataFrame:
-    """The hash of a page's text before templates go, and of its subtrees."""
+    """What tells a page's text before templates go, and the hashes of its subtrees."""
     pages = [Page(x or "") for x in html]
-    return pd.DataFrame({"h": [xxhash.xxh64_intdigest(p.article()) - (1 << 63) for p in pages], "trees": [[PAGE, *sorted(p.trees)] for p in pages]})
+    return pd.DataFrame({"keys": [page_keys(p.article()) for p in pages], "trees": [[PAGE, *sorted(p.trees)] for p in pages]})
 
 
 @F.pandas_udf(T.StringType())
@@ -224,23 +241,26 @@ def host_of(url: Column) -> Column:
 def template_trees(pages: DataFrame) -> DataFrame:
     """(host, trees): hashes of the subtrees that recur on many distinct pages of a host.
 
-    A host has no more of them than its pages have subtrees over ``TREE_PAGES``. Pages count by their text, so that an
-    article under several addresses is no template; each page gives each hash once, and counts are summed before the shuffle.
+    Pages count by keys of their text, so that an article under several addresses, or in several versions, is no template:
+    a subtree is on as many pages as the most that one of the keys tells apart. Each page gives each hash once, and counts
+    are summed before the shuffle. A host has no more templates than a share of its pages' subtrees.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), F.explode(F.array(page_trees("html"))).alias("x")).select("host", "x.h", F.explode("x.trees").alias("tree"))
-    counts = seen.distinct().groupBy("host", "tree").agg(F.count("*").alias("n"))
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.explode(F.array(page_trees("html"))).alias("x")).select("host", "x.keys", F.explode("x.trees").alias("tree"))
+    seen = seen.select("host", "tree", F.posexplode("keys").alias("k", "key")).distinct()
+    counts = seen.groupBy("host", "tree", "k").agg(F.count("*").alias("n")).groupBy("host", "tree").agg(F.max("n").alias("n"))
     counts = cut(counts.where((F.col("n") > TREE_PAGES) | (F.col("tree") == PAGE)))
     hosts = counts.where(F.col("tree") == PAGE).select("host", F.col("n").alias("n_pages"))
     found = lookup(counts.where(F.col("tree") != PAGE), hosts, ["host"], "inner")
-    found = found.where((F.col("tree").bitwiseAND(1) == 0) | (F.col("n") > TREE_SHARE * F.col("n_pages")))
-    return cut(found.groupBy("host").agg(F.collect_list("tree").alias("trees")))
+    share = F.when(F.col("tree").bitwiseAND(1) == 0, TREE_SHARE).otherwise(PIECE_SHARE)
+    return cut(found.where(F.col("n") > share * F.col("n_pages")).groupBy("host").agg(F.collect_list("tree").alias("trees")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars; one row per row.
 
     A null or empty html, or one without text, gives the empty string. A null url is a host of its own. Repeated rows
-    count as one page for templates. Other columns are ignored; an empty table gives an empty result.
+    count as one page for templates; a paragraph that recurs on more pages of a host than the limits say goes wherever it
+    stands. Other columns are ignored; an empty table gives an empty result.
     """
     pages = pages.select("page_id", "url", "html")
     found = lookup(pages.withColumn("host", host_of(F.col("url"))), template_trees(pages), ["host"])

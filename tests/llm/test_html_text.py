@@ -139,14 +139,16 @@ def brute(pages, deleted=True):
     seen = defaultdict(set)
     hosts = defaultdict(set)
     for k, (host, _) in pages.items():
-        hosts[host].add(whole(k, ()))
+        keys = html_text.page_keys(whole(k, ()))
+        hosts[host].add(tuple(keys))
         for n in nodes(trees[k]):
             if n[0] in blocks and len(shape(n)) > 1:
-                seen[host, shape(n), n[0]].add(whole(k, ()))
-    enough = lambda host, tag, n: n > html_text.TREE_PAGES and (tag not in html_text.PIECES or n > html_text.TREE_SHARE * len(hosts[host]))
+                seen[host, shape(n), n[0]].add(tuple(keys))
+    told = lambda found: max(len({keys[k] for keys in found}) for k in range(html_text.PAGE_KEYS))
+    enough = lambda host, tag, found: told(found) > max(html_text.TREE_PAGES, (html_text.PIECE_SHARE if tag in html_text.PIECES else html_text.TREE_SHARE) * told(hosts[host]))
     gone = defaultdict(set)
     for (host, s, tag), found in seen.items():
-        if enough(host, tag, len(found)):
+        if enough(host, tag, found):
             gone[host].add(s)
     return {k: whole(k, gone[host]) for k, (host, _) in pages.items()}
 
@@ -184,3 +186,25 @@ def test_time_is_linear_in_tags():
         began = time.perf_counter()
         Page(html)
         assert time.perf_counter() - began < 20, html[:20]
+
+
+def test_versions_of_a_story_and_rare_sentences_stay(spark):
+    """Six versions of one story count about once, a sentence on a thousandth of the pages is none of the template, and a notice on each page is."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    parts = [prose(60) for _ in range(8)]
+    story = "<article><h1>Story</h1><p>Updated at {0}:00</p>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"
+    notice = "<div class=q7><p>All of our writers are paid</p></div>"
+    rows = [(k, f"https://h.org/{k}", page(story.format(k) if k < 6 else f"<article><p>{prose(80)}</p>{notice}{'<p>Yes, he said.</p>' if k % 150 == 0 else ''}</article>"), 0, "") for k in range(1000)]
+    text = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(text[k].split("\n\n") == ["Story", f"Updated at {k}:00", *parts] for k in range(6))
+    assert all(text[k].endswith("Yes, he said.") for k in range(150, 1000, 150)) and not any("paid" in t for t in text.values())
+
+
+def test_a_story_beside_teasers():
+    teaser = "<article><h2>Other news</h2><p>read it</p></article>"
+    assert Page(f"<div id=content><h1>Title</h1><p>{'long text ' * 30}</p></div>{teaser}{teaser}").article() == "Title\n\n" + ("long text " * 30).strip()
+    assert Page(f"<p>{'x ' * 20}</p><article><p>{'long text ' * 30}</p></article>").article() == ("long text " * 30).strip()
