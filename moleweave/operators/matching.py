@@ -1,13 +1,15 @@
-"""Substructure search over molecule rows; every operator is a projection, so none shuffles."""
+"""Substructure search over molecule rows, projections that do not shuffle, and the exact search for common parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moleweave.functions.alignment import MOST_STEPS, STATE, mol_common_pattern, searched
 from moleweave.functions.graphs import default_valence, is_transition_metal
 from moleweave.functions.molecules import indices
 from moleweave.functions.smarts import matches, query_bonds
+from moleweave.operators.molecules import cut, stage
 
 
 def with_matches(mols: DataFrame, smarts: str, uniquify: bool = True, name: str = "matches") -> DataFrame:
@@ -65,3 +67,34 @@ def dative_bonds(mols: DataFrame, donors: tuple[int, ...] = (7, 8)) -> DataFrame
         return F.when(single & gives(b["a"], b["b"]), turned(b["a"], b["b"])).when(single & gives(b["b"], b["a"]), turned(b["b"], b["a"])).otherwise(b)
 
     return mols.withColumn("bonds", F.transform("bonds", rewritten))
+
+
+def common_parts(pairs: DataFrame, *keys: str, most: int = MOST_STEPS) -> DataFrame:
+    """(keys, atoms, bonds, b_atoms, b_bonds) -> keys, left, right, n_bonds, pattern: the largest connected common part, exactly.
+
+    The keys tell the pairs. Each pair is searched for ``most`` states; what is left of the searches is dealt out as rows of
+    a state each, searched on with the best size that any of them has found, and so on until no state is left. Of parts of
+    one size the one with the least atoms is taken among those found. Pairs without a common atom have empty parts.
+    """
+    both = ("atoms", "bonds", "b_atoms", "b_bonds")
+    pairs = cut(pairs.select(*keys, *both))
+    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, n_bonds int, n_atoms int, left array<int>, right array<int>, states array<{STATE}>"
+    order = F.struct((-F.col("n_bonds")).alias("b"), (-F.col("n_atoms")).alias("a"), "left", "right")
+    run = searched(list(keys), most)
+    asked = pairs.select(*keys, *both, F.lit(-1).alias("n_bonds"), F.lit(-1).alias("n_atoms"), F.lit(None).cast(STATE).alias("state"))
+    best = None
+    while True:
+        found = cut(asked.mapInArrow(run, schema))
+        # A search that finds nothing better gives the size that it began with, without atoms.
+        parts = found.where(F.size("left") > 0).select(*keys, "n_bonds", "n_atoms", "left", "right")
+        best = parts if best is None else best.unionAll(parts)
+        best = cut(best.groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, (-F.col("o.b")).alias("n_bonds"), (-F.col("o.a")).alias("n_atoms"), "o.left", "o.right"))
+        states = found.select(*keys, F.explode("states").alias("state"))
+        if states.isEmpty():
+            break
+        asked = states.join(pairs, [*keys]).join(best.select(*keys, "n_bonds", "n_atoms"), [*keys], "left").fillna(-1, ["n_bonds", "n_atoms"])
+        asked = asked.select(*keys, *both, "n_bonds", "n_atoms", "state").repartition(F.xxhash64(*keys, "state"))
+    none = F.array().cast("array<int>")
+    out = pairs.join(best.drop("n_atoms"), [*keys], "left").withColumns({"left": F.coalesce("left", none), "right": F.coalesce("right", none), "n_bonds": F.coalesce("n_bonds", F.lit(0))})
+    return stage(out, pattern=mol_common_pattern(*both, "left", "right")).drop(*both)

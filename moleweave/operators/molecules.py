@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,16 @@ def molecules(df: DataFrame, smiles: str | Column = "smiles", sanitize: bool = T
     return df.withColumn("__m", F.explode(F.array((mol_parse if sanitize else mol_parse_raw)("__text")))).select(*rest, "__m.*")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a reliable checkpoint in ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once, as attributes that Python functions can take: array functions are not copied into their arguments."""
     fields = F.struct(*[c.alias(n) for n, c in columns.items()])

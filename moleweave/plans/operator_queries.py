@@ -120,6 +120,15 @@ def common_parts(spark, sf_dir):
     return found.select("p_partkey", big(F.col("c.n_bonds")).alias("n_bonds"), big(F.size("atoms") - F.size("c.left")).alias("left_only"), big(F.size("b_atoms") - F.size("c.right")).alias("right_only"), F.col("c.timed_out").alias("timed_out"))
 
 
+def common_patterns(spark, sf_dir):
+    """An alcohol and an amine with rings of two sizes and chains: what they share as a pattern, searched in short rounds."""
+    a, b = (F.col("p_size") % 5 + 1).cast("int"), (F.col("p_partkey") % 4 + 1).cast("int")
+    one = molecules(part(spark, sf_dir), F.concat(F.lit("O"), chain(a), F.lit("C1CCC1"))).select("p_partkey", "atoms", "bonds")
+    two = molecules(part(spark, sf_dir), F.concat(F.lit("N"), chain(b), F.lit("C1CCCC1"))).select("p_partkey", F.col("atoms").alias("b_atoms"), F.col("bonds").alias("b_bonds"))
+    found = matching.common_parts(one.join(two, "p_partkey"), "p_partkey", most=300)
+    return found.select("p_partkey", big(F.col("n_bonds")).alias("n_bonds"), "pattern")
+
+
 def murcko_parsed(spark, sf_dir):
     """Scaffolds as molecules: their texts are read again and measured."""
     text = F.concat(F.lit("CCC1CCC(CC1)"), chain(), F.lit("C1CCCCC1"))
@@ -283,7 +292,7 @@ f AS (SELECT x.n, least(x.k, y.k) AS p, y.i - x.i AS d, greatest(x.k, y.k) AS r,
 QUERIES = {
     f.__name__: f
     for f in (
-        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, murcko_parsed,
+        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, common_patterns, murcko_parsed,
         fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures, refused_texts, stereo_texts,
     )
 }
@@ -304,6 +313,8 @@ ORACLES = {
     "rgroup_unmatched": "SELECT p_partkey FROM part WHERE p_size % 3 = 0",
     "fragment_places": "SELECT p_partkey, CAST(CASE WHEN p_size = 5 THEN 11 ELSE 0 END AS BIGINT) AS n_atoms, CAST(CASE WHEN p_size = 5 THEN 10 ELSE 0 END AS BIGINT) AS n_bonds, CASE WHEN p_size <> 5 THEN 'the fragments do not cover the molecule' END AS error FROM part",
     "common_parts": "SELECT p_partkey, CAST(6 + least(a, b) AS BIGINT) AS n_bonds, CAST(a - least(a, b) AS BIGINT) AS left_only, CAST(b - least(a, b) + 1 AS BIGINT) AS right_only, FALSE AS timed_out FROM (SELECT p_partkey, p_size % 7 + 1 AS a, p_partkey % 5 + 1 AS b FROM part)",
+    # The longest path of the smaller one: a chain and once around the ring.
+    "common_patterns": "SELECT p_partkey, CAST(n - 1 AS BIGINT) AS n_bonds, '[#6]' || repeat('-[#6]', n - 1) AS pattern FROM (SELECT p_partkey, least(p_size % 5 + 5, p_partkey % 4 + 6) AS n FROM part)",
     "murcko_parsed": "SELECT p_partkey, CAST(p_size + 13 AS BIGINT) AS n_bonds, CAST(2 AS BIGINT) AS n_rings, 'C' || (p_size + 12) || 'H' || (2 * p_size + 22) AS formula FROM part",
     "fused_rings": "SELECT p_partkey, CAST(n + 1 AS BIGINT) AS n_rings, CAST(3 * n + 4 AS BIGINT) AS n_bonds, CAST(1 AS BIGINT) AS n_systems FROM (SELECT p_partkey, p_size % 12 + 1 AS n FROM part)",
     "hybridization_counts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS sp3, CAST(3 AS BIGINT) AS sp2, CAST(2 AS BIGINT) AS sp FROM part",
