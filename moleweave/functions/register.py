@@ -1,8 +1,9 @@
 """Names for SQL: after :func:`register`, molecules can be parsed, measured and written in queries.
 
 ``inline(mol_parse(s).atoms)`` gives a row for each atom; ``mol_atoms(s)`` and ``mol_bonds(s)`` are table functions that do
-so with fewer columns. ``mol_hash(s, name)`` has the hashes that are written from the whole molecule. Patterns are columns
-and not functions of two texts: :func:`register_pattern` makes a view of molecules with a pattern's matches.
+so with fewer columns. ``mol_hash(s, name)`` has the hashes that are written from the whole molecule. ``mol_matches(s,
+smarts)`` and ``mol_match(s, smarts)`` take a pattern's text; one pattern over many molecules is faster as a column, of
+which :func:`register_pattern` makes a view.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from moleweave.functions.alignment import mol_common
 from moleweave.functions.chemistry import mol_centres, mol_double_bonds, mol_unpaired
 from moleweave.functions.graphs import mol_distance_sum, mol_distances
 from moleweave.functions.molecules import mol_parse, mol_parse_raw
-from moleweave.functions.smarts import matches
+from moleweave.functions.smarts import matches, mol_match, mol_matches
 from moleweave.functions.smiles import molecule
 from moleweave.functions.writer import mol_attach, mol_join, mol_write, write
 
@@ -68,7 +69,7 @@ def register_pattern(mols: DataFrame, name: str, smarts: str) -> None:
 
 FUNCTIONS = {
     "mol_parse": mol_parse, "mol_parse_raw": mol_parse_raw, "mol_write": mol_write, "mol_join": mol_join, "mol_attach": mol_attach, "mol_wiener": mol_distance_sum,
-    "mol_distances": mol_distances, "mol_unpaired": mol_unpaired, "mol_centres": mol_centres, "mol_double_bonds": mol_double_bonds, "mol_common": mol_common, "mol_hash": mol_hash,
+    "mol_distances": mol_distances, "mol_unpaired": mol_unpaired, "mol_centres": mol_centres, "mol_double_bonds": mol_double_bonds, "mol_common": mol_common, "mol_hash": mol_hash, "mol_match": mol_match, "mol_matches": mol_matches,
 }
 TABLES = {"mol_atoms": MolAtoms, "mol_bonds": MolBonds}
 

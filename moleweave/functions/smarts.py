@@ -1,34 +1,117 @@
 """Substructure patterns: a SMARTS text becomes a Column over a molecule's nested atoms, bonds and rings.
 
 The pattern is read once on the driver. Matching extends arrays of partial matches by one query atom at a time with
-Spark's array functions, so it needs neither a shuffle nor Python workers.
+Spark's array functions, so it needs neither a shuffle nor Python workers. Patterns that come as rows of a table are read
+where they are used: the same tests are then asked of the rows of a parsed molecule, see :class:`Rows`.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moleweave.functions.elements import NUMBER
 from moleweave.functions.molecules import bind, ints
+from moleweave.functions.smiles import molecule
 
 PLAIN = re.compile(r"Br|Cl|[BCNOPSFI]|[bcnops]|\*|[aA]")
 PRIMITIVE = re.compile(r"([A-Z][a-z]|[BCFIKNOPSUVWY]|se|as|te|[bcnops])|#(\d+)|r\{(\d*)-(\d*)\}|([HhDXvRrx])(\d*)|(\++|-+)(\d*)|@+|[*aA]|(\d+)")
 BONDS = {"-": "SINGLE", "=": "DOUBLE", "#": "TRIPLE", ":": "AROMATIC", "/": "SINGLE", "\\": "SINGLE"}
-Test = Callable[[Column, "Mol"], Column]
+#: Tests of an atom or bond: columns of a column's fields, or truths of a row's.
+Test = Callable
 
 
 class Mol(NamedTuple):
+    """A molecule as columns, and what tests ask of it."""
+
     atoms: Column
     bonds: Column
     rings: Column
 
+    def true(self) -> Column:
+        return F.lit(True)
+
+    def negated(self, found: Column) -> Column:
+        return ~found
+
+    def degree(self, a: Column) -> Column:
+        return F.size(a["near"])
+
+    def ring_bonds(self, a: Column) -> Column:
+        return F.size(F.filter(a["near"], lambda x: F.get(self.bonds, x["k"])["in_ring"]))
+
+    def n_rings(self, a: Column) -> Column:
+        return F.size(self.sizes(a))
+
+    def smallest(self, a: Column) -> Column:
+        """The size of the smallest ring of the atom; -1 outside rings."""
+        return F.coalesce(F.array_min(self.sizes(a)), F.lit(-1))
+
+    def sizes(self, a: Column) -> Column:
+        return F.transform(F.filter(self.rings, lambda r: F.array_contains(r, a["idx"])), lambda r: F.size(r))
+
+    def valence(self, a: Column) -> Column:
+        return a["explicit_valence"] + F.when(a["bracket"], 0).otherwise(a["n_h"])
+
+    def isotope(self, a: Column) -> Column:
+        return F.coalesce(a["isotope"], F.lit(0))
+
+    def kind_in(self, b: Column, *kinds: str) -> Column:
+        return b["kind"].isin(*kinds)
+
+    def begins(self, p: Pattern, a: Column) -> Column:
+        """Whether a match of the pattern begins at the atom."""
+        return F.size(expand(p, self, F.array(a["idx"]))) > 0
+
+
+class Rows:
+    """A parsed molecule, asked the same."""
+
+    def __init__(self, m: dict) -> None:
+        self.atoms, self.bonds = m["atoms"], m["bonds"]
+        self.sizes: dict[int, list[int]] = {}
+        for ring in m["rings"]:
+            for v in ring:
+                self.sizes.setdefault(v, []).append(len(ring))
+
+    def true(self) -> bool:
+        return True
+
+    def negated(self, found: bool) -> bool:
+        return not found
+
+    def degree(self, a: dict) -> int:
+        return len(a["near"])
+
+    def ring_bonds(self, a: dict) -> int:
+        return sum(self.bonds[x["k"]]["in_ring"] for x in a["near"])
+
+    def n_rings(self, a: dict) -> int:
+        return len(self.sizes.get(a["idx"], ()))
+
+    def smallest(self, a: dict) -> int:
+        return min(self.sizes.get(a["idx"], ()), default=-1)
+
+    def valence(self, a: dict) -> int:
+        return a["explicit_valence"] + (0 if a["bracket"] else a["n_h"])
+
+    def isotope(self, a: dict) -> int:
+        return a["isotope"] or 0
+
+    def kind_in(self, b: dict, *kinds: str) -> bool:
+        return b["kind"] in kinds
+
+    def begins(self, p: Pattern, a: dict) -> bool:
+        return next(found(p, self, [a]), None) is not None
+
 
 class Pattern(NamedTuple):
     atoms: list[Test]
@@ -42,19 +125,15 @@ def mol(prefix: str = "") -> Mol:
     return Mol(*(F.col(prefix + c) for c in ("atoms", "bonds", "rings")))
 
 
-def ring_sizes(v: Column, m: Mol) -> Column:
-    return F.transform(F.filter(m.rings, lambda r: F.array_contains(r, v)), lambda r: F.size(r))
-
-
 def element(symbol: str) -> tuple[Test, int | None]:
     if symbol == "*":
-        return lambda a, m: F.lit(True), None
+        return lambda a, m: m.true(), None
     if symbol in ("a", "A"):
-        return (lambda a, m: a["aromatic"] == F.lit(symbol == "a")), None
+        return (lambda a, m: a["aromatic"] == (symbol == "a")), None
     if symbol.capitalize() not in NUMBER:
         raise ValueError(f"element {symbol}")
     z = NUMBER[symbol.capitalize()]
-    return (lambda a, m: (a["z"] == z) & (a["aromatic"] == F.lit(symbol.islower()))), z
+    return (lambda a, m: (a["z"] == z) & (a["aromatic"] == symbol.islower())), z
 
 
 def counted(kind: str, digits: str) -> Test:
@@ -64,20 +143,18 @@ def counted(kind: str, digits: str) -> Test:
     if kind in "Hh":
         return lambda a, m: a["n_h"] == one
     if kind == "D":
-        return lambda a, m: F.size(a["near"]) == one
+        return lambda a, m: m.degree(a) == one
     if kind == "X":
-        return lambda a, m: F.size(a["near"]) + a["n_h"] == one
+        return lambda a, m: m.degree(a) + a["n_h"] == one
     if kind == "v":
-        return lambda a, m: a["explicit_valence"] + F.when(a["bracket"], 0).otherwise(a["n_h"]) == one
+        return lambda a, m: m.valence(a) == one
     if kind == "x":
-        ring_bonds = lambda a, m: F.size(F.filter(a["near"], lambda x: F.get(m.bonds, x["k"])["in_ring"]))
-        return (lambda a, m: ring_bonds(a, m) > 0) if n is None else lambda a, m: ring_bonds(a, m) == n
-    sizes = lambda a, m: ring_sizes(a["idx"], m)
+        return (lambda a, m: m.ring_bonds(a) > 0) if n is None else lambda a, m: m.ring_bonds(a) == n
     if n is None:
-        return lambda a, m: F.size(sizes(a, m)) > 0
+        return lambda a, m: m.n_rings(a) > 0
     if kind == "R" or n == 0:
-        return lambda a, m: F.size(sizes(a, m)) == n
-    return lambda a, m: F.coalesce(F.array_min(sizes(a, m)) == n, F.lit(False))
+        return lambda a, m: m.n_rings(a) == n
+    return lambda a, m: m.smallest(a) == n
 
 
 def both(tests: list[Test], join: Callable) -> Test:
@@ -85,7 +162,7 @@ def both(tests: list[Test], join: Callable) -> Test:
 
 
 def negated(test: Test) -> Test:
-    return lambda a, m: ~test(a, m)
+    return lambda a, m: m.negated(test(a, m))
 
 
 def split_top(text: str, sign: str) -> list[str]:
@@ -121,7 +198,7 @@ def bracket(text: str) -> tuple[Test, int | None, int | None]:
                     if not depth:
                         break
                 inner = pattern(part[at + 2:end - 1])
-                test, z = (lambda a, m, inner=inner: F.size(expand(inner, m, F.array(a["idx"]))) > 0), None
+                test, z = (lambda a, m, inner=inner: m.begins(inner, a)), None
                 at = end
             else:
                 m = PRIMITIVE.match(part, at)
@@ -138,16 +215,16 @@ def bracket(text: str) -> tuple[Test, int | None, int | None]:
                     test = lambda a, mol_, z=z: a["z"] == z
                 elif low is not None:
                     low, high = int(low or 0), int(high or 10**6)
-                    test = lambda a, mol_, low=low, high=high: F.coalesce(F.array_min(ring_sizes(a["idx"], mol_)).between(low, high), F.lit(False))
+                    test = lambda a, mol_, low=low, high=high: (mol_.smallest(a) >= max(low, 0)) & (mol_.smallest(a) <= high)
                 elif kind:
                     test = counted(kind, digits)
                 elif sign:
                     charge = (1 if sign[0] == "+" else -1) * (int(amount) if amount else len(sign))
                     test = lambda a, mol_, c=charge: a["charge"] == c
                 elif isotope:
-                    test = lambda a, mol_, i=int(isotope): F.coalesce(a["isotope"] == i, F.lit(False))
+                    test = lambda a, mol_, i=int(isotope): mol_.isotope(a) == i
                 else:
-                    test = lambda a, mol_: F.lit(True)  # noqa: E731  chirality is not compared
+                    test = lambda a, mol_: mol_.true()  # noqa: E731  chirality is not compared
             tests.append(negated(test) if no else test)
             if z is not None and not no:
                 fixed.add(z)
@@ -161,11 +238,11 @@ def bracket(text: str) -> tuple[Test, int | None, int | None]:
 def bond_test(text: str) -> Test:
     """A bond between two query atoms; without a sign it is single or aromatic."""
     if not text:
-        return lambda b, m: b["kind"].isin("SINGLE", "AROMATIC", "DATIVE")
+        return lambda b, m: m.kind_in(b, "SINGLE", "AROMATIC", "DATIVE")
 
     def one(sign: str) -> Test:
         no, sign = sign.count("!") % 2 == 1, sign.replace("!", "")
-        test = (lambda b, m: F.lit(True)) if sign == "~" else (lambda b, m: b["in_ring"]) if sign == "@" else lambda b, m: b["kind"] == BONDS[sign]
+        test = (lambda b, m: m.true()) if sign == "~" else (lambda b, m: b["in_ring"]) if sign == "@" else lambda b, m: b["kind"] == BONDS[sign]
         return negated(test) if no else test
 
     each = lambda part: both([one(x) for x in re.findall(r"!*[-=#:~@/\\]", part)], lambda x, y: x & y)
@@ -272,6 +349,56 @@ def matches(smarts: str, m: Mol | None = None, uniquify: bool = True) -> Column:
     return F.when(screen(p, m), found).otherwise(F.array().cast("array<array<int>>"))
 
 
+def found(p: Pattern, m: Rows, starts: list[dict] | None = None) -> Iterator[list[int]]:
+    """The matches of :func:`expand`, in its order, over the rows of one molecule."""
+    back = [[] for _ in p.atoms]
+    for a, b, test in p.bonds:
+        back[max(a, b)].append((min(a, b), test))
+
+    def choices(done: list[int]) -> Iterator[int]:
+        q = len(done)
+        if not back[q]:
+            yield from (a["idx"] for a in (m.atoms if q or starts is None else starts) if a["idx"] not in done and p.atoms[q](a, m))
+            return
+        (parent, test), *closing = back[q]
+        for x in m.atoms[done[parent]]["near"]:
+            v = x["v"]
+            if v not in done and test(m.bonds[x["k"]], m) and p.atoms[q](m.atoms[v], m):
+                if all(any(y["v"] == done[other] and t(m.bonds[y["k"]], m) for y in m.atoms[v]["near"]) for other, t in closing):
+                    yield v
+
+    done: list[int] = []
+    stack = [choices(done)]
+    while stack:
+        v = next(stack[-1], None)
+        if v is None:
+            stack.pop()
+            if done:
+                done.pop()
+        elif len(stack) == len(p.atoms):
+            yield [*done, v]
+        else:
+            done.append(v)
+            stack.append(choices(done))
+
+
+def row_matches(p: Pattern, m: dict, uniquify: bool = True) -> list[list[int]]:
+    """The matches of :func:`matches` in one parsed molecule."""
+    rows, seen, out = Rows(m), set(), []
+    for match in found(p, rows):
+        key = tuple(sorted(match))
+        if not uniquify or len(p.atoms) == 1 or key not in seen:
+            seen.add(key)
+            out.append(match)
+    return out
+
+
+def needs(p: Pattern) -> list[str]:
+    """What a molecule has if the pattern matches: elements and pairs of bonded elements, where the pattern names them."""
+    pairs = {tuple(sorted((p.numbers[a], p.numbers[b]))) for a, b, _ in p.bonds if p.numbers[a] and p.numbers[b]}
+    return sorted({str(z) for z in p.numbers if z} | {f"{a}-{b}" for a, b in pairs})
+
+
 def query_bonds(smarts: str) -> Column:
     """The pairs of query atoms that the pattern bonds, in the order of the text."""
     return F.array(*[ints(a, b) for a, b, _ in pattern(smarts).bonds])
@@ -279,3 +406,59 @@ def query_bonds(smarts: str) -> Column:
 
 #: Single bonds outside rings whose ends have other neighbours and no triple bond.
 ROTATABLE = "[!$(*#*)&!D1]-&!@[!$(*#*)&!D1]"
+
+#: Patterns and molecules that a task keeps read.
+KEPT = 4096
+
+
+@lru_cache(maxsize=KEPT)
+def read_pattern(text: str | None) -> tuple[Pattern | None, str | None]:
+    """A pattern, or why the text is none."""
+    try:
+        return pattern(text or ""), None
+    except (ValueError, IndexError, KeyError, TypeError) as problem:
+        return None, str(problem) or "pattern"
+
+
+@lru_cache(maxsize=KEPT)
+def read_molecule(text: str | None) -> dict:
+    return molecule(text)
+
+
+MATCHES = T.ArrayType(T.ArrayType(T.IntegerType()))
+
+
+def texts_matches(smiles: pa.Array, smarts: pa.Array) -> Iterator[list[list[int]] | None]:
+    for text, asked in zip(smiles.to_pylist(), smarts.to_pylist(), strict=True):
+        p, m = read_pattern(asked)[0], read_molecule(text)
+        yield row_matches(p, m) if p and m["parse_ok"] else None
+
+
+@F.arrow_udf(MATCHES)
+def mol_matches(smiles: pa.Array, smarts: pa.Array) -> pa.Array:
+    """The matches of a pattern's text in a molecule's text; null if either cannot be read."""
+    return pa.array(list(texts_matches(smiles, smarts)), pa.list_(pa.list_(pa.int32())))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def mol_match(smiles: pa.Array, smarts: pa.Array) -> pa.Array:
+    """The first match of a pattern's text in a molecule's text; null if there is none or either cannot be read."""
+    return pa.array([m[0] if m else None for m in texts_matches(smiles, smarts)], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("needs", T.ArrayType(T.StringType()))]))
+def pattern_needs(smarts: pa.Array) -> pa.Array:
+    """Why a text is no pattern, null if it is one, and what a molecule has if it matches."""
+    found = [read_pattern(x) for x in smarts.to_pylist()]
+    return pa.array([{"error": error, "needs": needs(p) if p else []} for p, error in found], pa.struct([("error", pa.string()), ("needs", pa.list_(pa.string()))]))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("matches", MATCHES)])))
+def mol_matches_each(atoms: pa.Array, bonds: pa.Array, rings: pa.Array, patterns: pa.Array) -> pa.Array:
+    """The matches of each pattern of a list that matches, by its place in the list."""
+    out = []
+    for a, b, r, texts in zip(*(x.to_pylist() for x in (atoms, bonds, rings, patterns)), strict=True):
+        m = {"atoms": a or [], "bonds": b or [], "rings": r or []}
+        hits = ((k, row_matches(p, m)) for k, p in enumerate(read_pattern(t)[0] for t in texts) if p)
+        out.append([{"at": k, "matches": x} for k, x in hits if x])
+    return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("matches", pa.list_(pa.list_(pa.int32())))])))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moleweave.functions.alignment import MOST_STEPS, STATE, mol_common_pattern, searched
 from moleweave.functions.graphs import default_valence, is_transition_metal
 from moleweave.functions.molecules import indices
-from moleweave.functions.smarts import matches, query_bonds
+from moleweave.functions.smarts import matches, mol_matches_each, pattern_needs, query_bonds
 from moleweave.operators.molecules import cut, stage
 
 
@@ -69,6 +69,43 @@ def dative_bonds(mols: DataFrame, donors: tuple[int, ...] = (7, 8)) -> DataFrame
     return mols.withColumn("bonds", F.transform("bonds", rewritten))
 
 
+#: Patterns of one feature that a molecule is given at once, and tasks that a feature of many molecules is dealt to.
+PATTERNS, SALTS = 64, 16
+
+
+def read_patterns(patterns: DataFrame, smarts: str = "smarts") -> DataFrame:
+    """``patterns`` with pattern_error, null for a text that is a pattern, and needs, what a molecule has if it matches."""
+    read = stage(patterns, __p=pattern_needs(smarts))
+    return read.withColumn("pattern_error", F.col("__p.error")).withColumn("needs", F.col("__p.needs")).drop("__p")
+
+
+def match_table(mols: DataFrame, patterns: DataFrame, key: str, pattern_key: str, smarts: str = "smarts") -> DataFrame:
+    """(key, pattern_key, matches): the matches of every pattern of a table in every molecule, where there are any.
+
+    Each pattern is filed under the feature it needs (an element, or two bonded ones) that the fewest molecules have, and
+    molecules meet it there if they have all that it needs; only these are searched. Patterns without a named element meet
+    all molecules. Texts that are no patterns match nothing; :func:`read_patterns` says why. Keys are unique and not null.
+    """
+    pair = lambda b: F.array_sort(F.array(F.get(F.col("atoms"), b["a"])["z"], F.get(F.col("atoms"), b["b"])["z"]))
+    features = F.concat(F.transform("atoms", lambda a: a["z"].cast("string")), F.transform("bonds", lambda b: F.array_join(pair(b), "-")), F.array(F.lit("")))
+    rows = stage(mols.select(key, "atoms", "bonds", "rings"), __has=F.array_distinct(features))
+    asked = read_patterns(patterns.select(pattern_key, F.col(smarts).alias("__text")), "__text").where("pattern_error is null").select(F.col(pattern_key).alias("__id"), "__text", "needs")
+    often = rows.select(F.explode("__has").alias("__feature")).groupBy("__feature").agg(F.count("*").alias("__n"))
+    filed = asked.select("__id", "__text", "needs", F.explode(F.concat("needs", F.array(F.lit("")))).alias("__feature")).join(often, "__feature", "left")
+    rarest = F.min(F.struct(F.coalesce("__n", F.lit(0)), "__feature"))
+    filed = filed.groupBy("__id").agg(rarest["__feature"].alias("__feature"), F.first("__text").alias("text"), F.first("needs").alias("needs"))
+    sizes = filed.groupBy("__feature").agg(F.ceil(F.count("*") / PATTERNS).alias("__groups"))
+    filed = filed.join(sizes, "__feature").groupBy("__feature", F.pmod(F.xxhash64("__id"), "__groups").alias("__group")).agg(F.collect_list(F.struct(F.col("__id").alias("id"), "text", "needs")).alias("__list"))
+    filed = cut(filed.drop("__group").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    here = rows.withColumn("__feature", F.explode("__has")).withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    met = here.join(filed, ["__feature", "__salt"])
+    fits = F.filter("__list", lambda p: F.size(F.array_except(p["needs"], F.col("__has"))) == 0)
+    met = stage(met.select(key, "atoms", "bonds", "rings", fits.alias("__fits")).where(F.size("__fits") > 0), __texts=F.transform("__fits", lambda p: p["text"]))
+    hits = met.select(key, "__fits", F.explode(F.array(mol_matches_each("atoms", "bonds", "rings", "__texts"))).alias("__hits"))
+    hits = hits.select(key, "__fits", F.explode("__hits").alias("__hit"))
+    return hits.select(key, F.get("__fits", F.col("__hit.at"))["id"].alias(pattern_key), F.col("__hit.matches").alias("matches"))
+
+
 def common_parts(pairs: DataFrame, *keys: str, most: int = MOST_STEPS) -> DataFrame:
     """(keys, atoms, bonds, b_atoms, b_bonds) -> keys, left, right, n_bonds, pattern: the largest connected common part, exactly.
 

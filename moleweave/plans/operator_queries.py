@@ -129,6 +129,15 @@ def common_patterns(spark, sf_dir):
     return found.select("p_partkey", big(F.col("n_bonds")).alias("n_bonds"), "pattern")
 
 
+def pattern_table(spark, sf_dir):
+    """A table of patterns, one for each nation: chains of carbon, every other with oxygen at its end, over alcohols."""
+    k = F.floor(F.col("n_nationkey") / 2).cast("int") + 1
+    smarts = F.concat(F.repeat(F.lit("C"), k), F.when(F.col("n_nationkey") % 2 == 1, "O").otherwise(""))
+    patterns = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), smarts.alias("smarts"))
+    mols = molecules(part(spark, sf_dir), F.concat(chain(), F.lit("O")))
+    return matching.match_table(mols, patterns, "p_partkey", "n_nationkey").select("p_partkey", "n_nationkey", big(F.size("matches")).alias("n_matches"))
+
+
 def murcko_parsed(spark, sf_dir):
     """Scaffolds as molecules: their texts are read again and measured."""
     text = F.concat(F.lit("CCC1CCC(CC1)"), chain(), F.lit("C1CCCCC1"))
@@ -292,7 +301,7 @@ f AS (SELECT x.n, least(x.k, y.k) AS p, y.i - x.i AS d, greatest(x.k, y.k) AS r,
 QUERIES = {
     f.__name__: f
     for f in (
-        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, common_patterns, murcko_parsed,
+        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, common_patterns, pattern_table, murcko_parsed,
         fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures, refused_texts, stereo_texts,
     )
 }
@@ -315,6 +324,7 @@ ORACLES = {
     "common_parts": "SELECT p_partkey, CAST(6 + least(a, b) AS BIGINT) AS n_bonds, CAST(a - least(a, b) AS BIGINT) AS left_only, CAST(b - least(a, b) + 1 AS BIGINT) AS right_only, FALSE AS timed_out FROM (SELECT p_partkey, p_size % 7 + 1 AS a, p_partkey % 5 + 1 AS b FROM part)",
     # The longest path of the smaller one: a chain and once around the ring.
     "common_patterns": "SELECT p_partkey, CAST(n - 1 AS BIGINT) AS n_bonds, '[#6]' || repeat('-[#6]', n - 1) AS pattern FROM (SELECT p_partkey, least(p_size % 5 + 5, p_partkey % 4 + 6) AS n FROM part)",
+    "pattern_table": "SELECT p_partkey, CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 1 THEN 1 ELSE p_size - n_nationkey // 2 END AS BIGINT) AS n_matches FROM part JOIN nation ON p_size >= n_nationkey // 2 + 1",
     "murcko_parsed": "SELECT p_partkey, CAST(p_size + 13 AS BIGINT) AS n_bonds, CAST(2 AS BIGINT) AS n_rings, 'C' || (p_size + 12) || 'H' || (2 * p_size + 22) AS formula FROM part",
     "fused_rings": "SELECT p_partkey, CAST(n + 1 AS BIGINT) AS n_rings, CAST(3 * n + 4 AS BIGINT) AS n_bonds, CAST(1 AS BIGINT) AS n_systems FROM (SELECT p_partkey, p_size % 12 + 1 AS n FROM part)",
     "hybridization_counts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS sp3, CAST(3 AS BIGINT) AS sp2, CAST(2 AS BIGINT) AS sp FROM part",
