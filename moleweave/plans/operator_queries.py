@@ -138,6 +138,21 @@ def pattern_table(spark, sf_dir):
     return matching.match_table(mols, patterns, "p_partkey", "n_nationkey").select("p_partkey", "n_nationkey", big(F.size("matches")).alias("n_matches"))
 
 
+def mapped_reactions(spark, sf_dir):
+    """Oxidations, ester cleavages, additions of bromine, and mapped reactions with a mistake, in turn."""
+    c = chain()
+    texts = (
+        F.concat(c, F.lit("[CH2:1][OH:2]>>"), c, F.lit("[CH:1]=[O:2]")), F.concat(c, F.lit("[C:1](=[O:2])[O:3]C>>"), c, F.lit("[C:1](=[O:2])O.[OH:3]C")),
+        F.concat(c, F.lit("[CH:1]=[CH2:2].[Br:3][Br:4]>>"), c, F.lit("[CH:1]([Br:3])[CH2:2][Br:4]")), F.concat(c, F.lit("[CH2:1][OH:2]>>"), c, F.lit("[CH:1]=[O:5]")),
+    )
+    text = texts[3]
+    for k in range(3):
+        text = F.when(F.col("p_partkey") % 4 == k, texts[k]).otherwise(text)
+    rxns = reactions.reactions(part(spark, sf_dir).select("p_partkey", text.alias("rxn")))
+    changes = reactions.bond_changes(rxns, "p_partkey").select("p_partkey", F.concat("change", F.lit(" "), "map_a", F.lit("-"), "map_b", F.lit(" "), F.coalesce("before", F.lit("none")), F.lit(">"), F.coalesce("after", F.lit("none"))).alias("found"))
+    return changes.unionAll(reactions.map_problems(rxns, "p_partkey").select("p_partkey", F.col("error").alias("found")))
+
+
 def murcko_parsed(spark, sf_dir):
     """Scaffolds as molecules: their texts are read again and measured."""
     text = F.concat(F.lit("CCC1CCC(CC1)"), chain(), F.lit("C1CCCCC1"))
@@ -301,7 +316,7 @@ f AS (SELECT x.n, least(x.k, y.k) AS p, y.i - x.i AS d, greatest(x.k, y.k) AS r,
 QUERIES = {
     f.__name__: f
     for f in (
-        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, common_patterns, pattern_table, murcko_parsed,
+        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, common_patterns, pattern_table, mapped_reactions, murcko_parsed,
         fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures, refused_texts, stereo_texts,
     )
 }
@@ -325,6 +340,8 @@ ORACLES = {
     # The longest path of the smaller one: a chain and once around the ring.
     "common_patterns": "SELECT p_partkey, CAST(n - 1 AS BIGINT) AS n_bonds, '[#6]' || repeat('-[#6]', n - 1) AS pattern FROM (SELECT p_partkey, least(p_size % 5 + 5, p_partkey % 4 + 6) AS n FROM part)",
     "pattern_table": "SELECT p_partkey, CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 1 THEN 1 ELSE p_size - n_nationkey // 2 END AS BIGINT) AS n_matches FROM part JOIN nation ON p_size >= n_nationkey // 2 + 1",
+    "mapped_reactions": """SELECT p_partkey, unnest([['changed 1-2 SINGLE>DOUBLE'], ['broken 1-3 SINGLE>none'], ['changed 1-2 DOUBLE>SINGLE', 'formed 1-3 none>SINGLE', 'formed 2-4 none>SINGLE', 'broken 3-4 SINGLE>none'],
+  ['before: map 2 is on no other side', 'after: map 5 is on no other side']][p_partkey % 4 + 1]) AS found FROM part""",
     "murcko_parsed": "SELECT p_partkey, CAST(p_size + 13 AS BIGINT) AS n_bonds, CAST(2 AS BIGINT) AS n_rings, 'C' || (p_size + 12) || 'H' || (2 * p_size + 22) AS formula FROM part",
     "fused_rings": "SELECT p_partkey, CAST(n + 1 AS BIGINT) AS n_rings, CAST(3 * n + 4 AS BIGINT) AS n_bonds, CAST(1 AS BIGINT) AS n_systems FROM (SELECT p_partkey, p_size % 12 + 1 AS n FROM part)",
     "hybridization_counts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS sp3, CAST(3 AS BIGINT) AS sp2, CAST(2 AS BIGINT) AS sp FROM part",

@@ -208,3 +208,20 @@ def test_more_products_than_one_task_should_make(spark):
     rows = [("Core", "C([*:1])([*:2])[*:3]")] + [(f"R{k}", f"{'C' * n}[*:{k}]") for k in (1, 2, 3) for n in range(1, 13)]
     made = rgroups.enumerate_products(spark.createDataFrame(rows, "label string, fragment string"), ["R1", "R2", "R3"])
     assert made.count() == 12 * 13 * 14 // 6
+
+
+def test_mapped_reactions(spark):
+    """Formed, broken and changed bonds by map numbers; unreadable templates and maps that do not fit are rows with an error."""
+    from moleweave.operators.reactions import bond_changes, map_problems, reactions
+
+    texts = ["[C:1](=[O:2])[OH:3].[N:4]>>[C:1](=[O:2])[N:4]", "[CH3:1][OH:2]>>[CH2:1]=[O:2]", "[C:1][C:1]>>[C:1]", "[C:1](>>[C:1]", "CC>>CC", "[C:1]-[C:2]-[C:3]>>[C:1]=[C:2].[C:3]", "no reaction", None, "[c:1]1[c:2]cccc1>>[C:1]1[C:2]CCCC1"]
+    rxns = reactions(spark.createDataFrame(list(enumerate(texts)), "id long, rxn string"))
+    changes = sorted(tuple(r) for r in bond_changes(rxns, "id").select("id", "map_a", "map_b", "before", "after", "change").collect())
+    assert changes == [(1, 1, 2, "SINGLE", "DOUBLE", "changed"), (5, 1, 2, "SINGLE", "DOUBLE", "changed"), (5, 2, 3, "SINGLE", None, "broken"), (8, 1, 2, "AROMATIC", "SINGLE", "changed")]
+    errors = {}
+    for r in map_problems(rxns, "id").collect():
+        errors.setdefault(r.id, set()).add(r.error)
+    assert errors[0] == {"before: map 3 is on no other side"} and errors[2] == {"before: map 1 is there 2 times"}
+    assert set(errors) == {0, 2, 3} and any("cannot be read" in e for e in errors[3]) and "after: map 1 is on no other side" in errors[3]
+    turned = reactions(spark.createDataFrame([(0, "[CH2:1]=[O:2]>>[CH3:1][OH:2]")], "id long, rxn string"))
+    assert bond_changes(turned, "id").first().change == "changed" and bond_changes(rxns.where("false"), "id").count() == 0
