@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moleweave.functions.molecules import mol_parse, mol_parse_raw
@@ -33,13 +34,23 @@ def molecules(df: DataFrame, smiles: str | Column = "smiles", sanitize: bool = T
     return df.withColumn("__m", F.explode(F.array((mol_parse if sanitize else mol_parse_raw)("__text")))).select(*rest, "__m.*")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint in ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a reliable checkpoint."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

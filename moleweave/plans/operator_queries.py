@@ -14,8 +14,9 @@ from moleweave.functions.alignment import mol_common
 from moleweave.functions.chemistry import ELECTRONEGATIVITY, HYDROGEN_ION, ROUNDS, mol_centres, mol_double_bonds
 from moleweave.functions.graphs import formula, hybridizations, ring_systems
 from moleweave.operators import annotations, consensus, editing, hashes, matching, reactions, rgroups
-from moleweave.operators.molecules import atom_labels, bond_between, bonds, molecules, stage
+from moleweave.operators.molecules import atom_labels, bond_between, bonds, fresh_path, molecules, stage
 from moleweave.plans.molecule_queries import alkanes, big, chain, cycloalkanes, part
+from moleweave.sources.smiles_files import write_table
 
 
 def bond_lookup_any(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +112,35 @@ def fragment_places(spark, sf_dir):
     return rows.groupBy("p_partkey").agg(big(F.sum(F.coalesce(F.size("atom_idxs"), F.lit(0)))).alias("n_atoms"), big(F.sum(F.coalesce(F.size("bond_idxs"), F.lit(0)))).alias("n_bonds"), F.max("error").alias("error"))
 
 
+def fragment_errors(spark, sf_dir):
+    """A halogen and a ring as fragments: they cover some molecules, are not in others, and leave out an atom of the rest."""
+    halogen = F.when(F.col("p_size") % 3 == 1, "Br").otherwise("Cl")
+    mols = molecules(part(spark, sf_dir), F.concat(halogen, F.when(F.col("p_size") % 3 == 2, "C").otherwise(""), F.lit("C1CCCCC1")))
+    rows = hashes.fragment_cover(mols, "*Cl.C1CCCCC1", "p_partkey")
+    return rows.groupBy("p_partkey").agg(big(F.sum(F.coalesce(F.size("atom_idxs"), F.lit(0)))).alias("n_atoms"), F.max("error").alias("error"))
+
+
+def anonymous_graphs(spark, sf_dir):
+    """The skeletons of rings with a halogen."""
+    mols = molecules(part(spark, sf_dir).where("p_size >= 3"), F.concat(F.lit("Cl"), F.lit("C1"), F.repeat(F.lit("C"), F.col("p_size") - 2), F.lit("C1")))
+    return hashes.hash_rows(mols, "p_partkey", names=("anonymous_graph",)).select("p_partkey", "value")
+
+
+def table_sink(spark, sf_dir):
+    """Molecules written as a table and read again, by the columns that filters reach."""
+    path = fresh_path(spark, "molecules")
+    write_table(molecules(part(spark, sf_dir), F.concat(chain(), F.when(F.col("p_size") % 2 == 0, "Br").otherwise("N"))), path)
+    return spark.read.parquet(path).where("array_contains(elements, 35)").select("p_partkey", big(F.col("n_atoms")).alias("n_atoms"))
+
+
+def evaluated_once(spark, sf_dir):
+    """A classifier fitted on four fifths and scored once on the rest; its figures are read from where they were written."""
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") % 10).cast("double").alias("x"), (F.col("p_partkey") % 7).cast("double").alias("z"))
+    df = df.withColumn("y", (F.col("x") > 4).cast("int"))
+    model = consensus.fit_classifiers(df.where("p_partkey % 5 <> 0"), ["x", "z"], "y")["boosted"]
+    return consensus.evaluate_once(model, df.where("p_partkey % 5 = 0"), "y", fresh_path(spark, "figures"))
+
+
 def common_parts(spark, sf_dir):
     """Rings with chains of two lengths, one of which ends in oxygen."""
     a, b = (F.col("p_size") % 7 + 1).cast("int"), (F.col("p_partkey") % 5 + 1).cast("int")
@@ -316,7 +346,7 @@ f AS (SELECT x.n, least(x.k, y.k) AS p, y.i - x.i AS d, greatest(x.k, y.k) AS r,
 QUERIES = {
     f.__name__: f
     for f in (
-        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, common_parts, common_patterns, pattern_table, mapped_reactions, murcko_parsed,
+        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, fragment_errors, anonymous_graphs, table_sink, evaluated_once, common_parts, common_patterns, pattern_table, mapped_reactions, murcko_parsed,
         fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures, refused_texts, stereo_texts,
     )
 }
@@ -336,6 +366,10 @@ ORACLES = {
     "rgroup_sites": f"SELECT p_partkey, repeat('C', p_size) || '[*:1]' AS r1, {HALOGEN} || '[*:2]' AS r2 FROM part WHERE p_size % 3 <> 0",
     "rgroup_unmatched": "SELECT p_partkey FROM part WHERE p_size % 3 = 0",
     "fragment_places": "SELECT p_partkey, CAST(CASE WHEN p_size = 5 THEN 11 ELSE 0 END AS BIGINT) AS n_atoms, CAST(CASE WHEN p_size = 5 THEN 10 ELSE 0 END AS BIGINT) AS n_bonds, CASE WHEN p_size <> 5 THEN 'the fragments do not cover the molecule' END AS error FROM part",
+    "fragment_errors": "SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS n_atoms, CASE p_size % 3 WHEN 1 THEN 'a fragment is not in the molecule' WHEN 2 THEN 'the fragments do not cover the molecule' END AS error FROM part",
+    "anonymous_graphs": "SELECT p_partkey, '**1' || repeat('*', p_size - 2) || '*1' AS value FROM part WHERE p_size >= 3",
+    "table_sink": "SELECT p_partkey, CAST(p_size + 1 AS BIGINT) AS n_atoms FROM part WHERE p_size % 2 = 0",
+    "evaluated_once": "SELECT count(*) AS n, count(*) AS covered, CAST(count(*) FILTER (WHERE p_size % 10 > 4) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE p_size % 10 <= 4) AS BIGINT) AS tn, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS sensitivity, 1.0::DOUBLE AS mcc FROM part WHERE p_partkey % 5 = 0",
     "common_parts": "SELECT p_partkey, CAST(6 + least(a, b) AS BIGINT) AS n_bonds, CAST(a - least(a, b) AS BIGINT) AS left_only, CAST(b - least(a, b) + 1 AS BIGINT) AS right_only, FALSE AS timed_out FROM (SELECT p_partkey, p_size % 7 + 1 AS a, p_partkey % 5 + 1 AS b FROM part)",
     # The longest path of the smaller one: a chain and once around the ring.
     "common_patterns": "SELECT p_partkey, CAST(n - 1 AS BIGINT) AS n_bonds, '[#6]' || repeat('-[#6]', n - 1) AS pattern FROM (SELECT p_partkey, least(p_size % 5 + 5, p_partkey % 4 + 6) AS n FROM part)",
