@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from moleweave.functions.alignment import mol_common
 from moleweave.functions.chemistry import ELECTRONEGATIVITY, HYDROGEN_ION, ROUNDS, mol_centres, mol_double_bonds
+from moleweave.functions.drawing import reaction_svg
 from moleweave.functions.graphs import formula, hybridizations, ring_systems
 from moleweave.operators import annotations, consensus, editing, hashes, matching, reactions, rgroups
 from moleweave.operators.molecules import atom_labels, bond_between, bonds, fresh_path, molecules, stage
@@ -183,6 +184,23 @@ def mapped_reactions(spark, sf_dir):
     return changes.unionAll(reactions.map_problems(rxns, "p_partkey").select("p_partkey", F.col("error").alias("found")))
 
 
+def picture_counts(spark, sf_dir):
+    """What is in the grids of each brand's chains, page by page: pictures, bonds, legends, and the rows and columns that they take."""
+    mols = molecules(part(spark, sf_dir, "p_brand"), F.concat(F.lit("O"), chain()))
+    found = annotations.grids(mols, "p_brand", "p_partkey", columns=3, most=8)
+    count = lambda text: big(F.regexp_count("picture", F.lit(text)))
+    return found.select("p_brand", big(F.col("page")).alias("page"), count("<g ").alias("n_pictures"), count("<line ").alias("n_bonds"), count('font-size="12">[0-9]').alias("n_legends"))
+
+
+def reaction_pictures(spark, sf_dir):
+    """Bonds, plus signs and the arrow in the pictures of esterifications."""
+    text = F.concat(chain(), F.lit("C(=O)O.CO>>"), chain(), F.lit("C(=O)OC.O"))
+    rxns = reactions.reactions(part(spark, sf_dir).withColumn("rxn", text))
+    drawn = stage(rxns, picture=reaction_svg("reactants", "products"))
+    count = lambda text: big(F.regexp_count("picture", F.lit(text)))
+    return drawn.select("p_partkey", count("<line ").alias("n_lines"), count(">[+]<").alias("n_plus"), count("marker-end").alias("n_arrows"), count("<g ").alias("n_molecules"))
+
+
 def murcko_parsed(spark, sf_dir):
     """Scaffolds as molecules: their texts are read again and measured."""
     text = F.concat(F.lit("CCC1CCC(CC1)"), chain(), F.lit("C1CCCCC1"))
@@ -346,7 +364,7 @@ f AS (SELECT x.n, least(x.k, y.k) AS p, y.i - x.i AS d, greatest(x.k, y.k) AS r,
 QUERIES = {
     f.__name__: f
     for f in (
-        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, fragment_errors, anonymous_graphs, table_sink, evaluated_once, common_parts, common_patterns, pattern_table, mapped_reactions, murcko_parsed,
+        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, fragment_errors, anonymous_graphs, table_sink, evaluated_once, common_parts, common_patterns, pattern_table, mapped_reactions, picture_counts, reaction_pictures, murcko_parsed,
         fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures, refused_texts, stereo_texts,
     )
 }
@@ -376,6 +394,8 @@ ORACLES = {
     "pattern_table": "SELECT p_partkey, CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 1 THEN 1 ELSE p_size - n_nationkey // 2 END AS BIGINT) AS n_matches FROM part JOIN nation ON p_size >= n_nationkey // 2 + 1",
     "mapped_reactions": """SELECT p_partkey, unnest([['changed 1-2 SINGLE>DOUBLE'], ['broken 1-3 SINGLE>none'], ['changed 1-2 DOUBLE>SINGLE', 'formed 1-3 none>SINGLE', 'formed 2-4 none>SINGLE', 'broken 3-4 SINGLE>none'],
   ['before: map 2 is on no other side', 'after: map 5 is on no other side']][p_partkey % 4 + 1]) AS found FROM part""",
+    "picture_counts": "SELECT p_brand, page, count(*) AS n_pictures, CAST(sum(p_size) AS BIGINT) AS n_bonds, count(*) AS n_legends FROM (SELECT p_brand, p_size, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 8 AS page FROM part) GROUP BY 1, 2",
+    "reaction_pictures": "SELECT p_partkey, CAST(2 * p_size + 6 + 1 AS BIGINT) AS n_lines, CAST(2 AS BIGINT) AS n_plus, CAST(1 AS BIGINT) AS n_arrows, CAST(4 AS BIGINT) AS n_molecules FROM part",
     "murcko_parsed": "SELECT p_partkey, CAST(p_size + 13 AS BIGINT) AS n_bonds, CAST(2 AS BIGINT) AS n_rings, 'C' || (p_size + 12) || 'H' || (2 * p_size + 22) AS formula FROM part",
     "fused_rings": "SELECT p_partkey, CAST(n + 1 AS BIGINT) AS n_rings, CAST(3 * n + 4 AS BIGINT) AS n_bonds, CAST(1 AS BIGINT) AS n_systems FROM (SELECT p_partkey, p_size % 12 + 1 AS n FROM part)",
     "hybridization_counts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS sp3, CAST(3 AS BIGINT) AS sp2, CAST(2 AS BIGINT) AS sp FROM part",
