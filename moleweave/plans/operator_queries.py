@@ -201,6 +201,14 @@ def reaction_pictures(spark, sf_dir):
     return drawn.select("p_partkey", count("<line ").alias("n_lines"), count(">[+]<").alias("n_plus"), count("marker-end").alias("n_arrows"), count("<g ").alias("n_molecules"))
 
 
+def centres_between(spark, sf_dir):
+    """A centre between two branches that differ by the senses of their own centres, or do not, and the labels of all three."""
+    hand = lambda bit: F.when(F.floor(F.col("p_partkey") / bit) % 2 == 0, "@").otherwise("@@")
+    text = F.concat(chain(), F.lit("[C"), hand(1), F.lit("H](O)[C"), hand(2), F.lit("](F)(Cl)[C"), hand(4), F.lit("H](O)"), chain())
+    found = stage(molecules(part(spark, sf_dir), text), c=mol_centres("atoms", "bonds"))
+    return found.select("p_partkey", F.array_join(F.transform("c", lambda x: x["label"]), "").alias("labels"))
+
+
 def murcko_parsed(spark, sf_dir):
     """Scaffolds as molecules: their texts are read again and measured."""
     text = F.concat(F.lit("CCC1CCC(CC1)"), chain(), F.lit("C1CCCCC1"))
@@ -364,7 +372,7 @@ f AS (SELECT x.n, least(x.k, y.k) AS p, y.i - x.i AS d, greatest(x.k, y.k) AS r,
 QUERIES = {
     f.__name__: f
     for f in (
-        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, fragment_errors, anonymous_graphs, table_sink, evaluated_once, common_parts, common_patterns, pattern_table, mapped_reactions, picture_counts, reaction_pictures, murcko_parsed,
+        bond_lookup_any, atom_label_text, first_phosphorus, real_atoms, match_all_count, match_bond_ids, fragment_texts, deleted_dummies, standard_texts, attached_chains, rgroup_sites, rgroup_unmatched, fragment_places, fragment_errors, anonymous_graphs, table_sink, evaluated_once, common_parts, common_patterns, pattern_table, mapped_reactions, picture_counts, reaction_pictures, centres_between, murcko_parsed,
         fused_rings, hybridization_counts, stereo_centres, stereo_bonds, charge_notes, perceived_steps, refreshed_valences, condensed_texts, text_hashes, reaction_features, reaction_similarity, classifier_figures, refused_texts, stereo_texts,
     )
 }
@@ -396,6 +404,8 @@ ORACLES = {
   ['before: map 2 is on no other side', 'after: map 5 is on no other side']][p_partkey % 4 + 1]) AS found FROM part""",
     "picture_counts": "SELECT p_brand, page, count(*) AS n_pictures, CAST(sum(p_size) AS BIGINT) AS n_bonds, count(*) AS n_legends FROM (SELECT p_brand, p_size, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 8 AS page FROM part) GROUP BY 1, 2",
     "reaction_pictures": "SELECT p_partkey, CAST(2 * p_size + 6 + 1 AS BIGINT) AS n_lines, CAST(2 AS BIGINT) AS n_plus, CAST(1 AS BIGINT) AS n_arrows, CAST(4 AS BIGINT) AS n_molecules FROM part",
+    # An outer centre has OH, the middle one, the chain and hydrogen, in this order; between R and S the middle one is r or s.
+    "centres_between": "SELECT p_partkey, ['SsR', 'R?R', 'SrR', 'R?R', 'S?S', 'RrS', 'S?S', 'RsS'][p_partkey % 8 + 1] AS labels FROM part",
     "murcko_parsed": "SELECT p_partkey, CAST(p_size + 13 AS BIGINT) AS n_bonds, CAST(2 AS BIGINT) AS n_rings, 'C' || (p_size + 12) || 'H' || (2 * p_size + 22) AS formula FROM part",
     "fused_rings": "SELECT p_partkey, CAST(n + 1 AS BIGINT) AS n_rings, CAST(3 * n + 4 AS BIGINT) AS n_bonds, CAST(1 AS BIGINT) AS n_systems FROM (SELECT p_partkey, p_size % 12 + 1 AS n FROM part)",
     "hybridization_counts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS sp3, CAST(3 AS BIGINT) AS sp2, CAST(2 AS BIGINT) AS sp FROM part",

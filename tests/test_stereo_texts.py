@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from moleweave.functions.chemistry import centres
 from moleweave.functions.smiles import molecule
 from moleweave.functions.stereo import Handed, Marks, marks_of, sign
 from moleweave.functions.writer import SIGNS, atom_text, plain_text, write
@@ -122,3 +123,38 @@ def test_columns_keep_marks_and_skeletons_have_none(spark):
         assert not any(c in r[0] for r in TEXT_HASHES[name](mols, "h").select("h").collect() for c in "@/\\")
     scaffold = with_hash(molecules(spark.createDataFrame([("C[C@H]1O[C@@H](c2ccccc2)CC1",)], "smiles string")), "murcko_scaffold").select(F.col("murcko_scaffold")).first()[0]
     assert scaffold in (text_of("O1CCC[C@@H]1c1ccccc1"), text_of("O1CCC[C@H]1c1ccccc1"))
+
+
+#: Molecules with a centre between branches that differ by marks alone.
+BETWEEN = [
+    "C[C@H](O)[C@](F)(Cl)[C@@H](C)O", "OC(=O)[C@H](O)[C@H](O)[C@H](O)C(=O)O", "C[C@H](F)C[C@](O)(Br)C[C@@H](C)F", r"F/C=C/[C@](O)(Cl)/C=C\F", "C[C@H](O)[C@H](F)[C@@](N)(Cl)[C@H](F)[C@H](C)O",
+    "C[C@H](O)[C@@H](F)[C@@](N)(Cl)[C@@H](F)[C@@H](C)O", "C[C@H](O)[C@H](F)[C@@](N)(Cl)[C@@H](F)[C@@H](C)O",
+]
+
+
+def labels_of(text):
+    m = molecule(text)
+    return [c["label"] for c in centres(m["atoms"], m["bonds"])]
+
+
+def mirrored(text):
+    return text.replace("@@", "\0").replace("@", "@@").replace("\0", "@")
+
+
+@pytest.mark.parametrize("text", BETWEEN)
+def test_labels_of_centres_between_marks(text):
+    """Labels do not depend on the text; a mirror turns R and S and leaves r and s, E and Z; turning the centre's own mark turns its label."""
+    rng = random.Random(3)
+    own = labels_of(text)
+    assert "?" not in own and {tuple(sorted(labels_of(rewritten(text, rng)))) for _ in range(25)} == {tuple(sorted(own))}
+    swap = {"R": "S", "S": "R", "r": "r", "s": "s"}
+    assert sorted(labels_of(mirrored(text))) == sorted(swap[x] for x in own)
+
+
+def test_labels_by_single_rules():
+    """Known ones: a centre between R and S is r or s by which of them goes first; like pairs go before unlike ones; Z before E."""
+    assert labels_of("C[C@H](O)[C@](F)(Cl)[C@@H](C)O")[1] in "rs" and labels_of("C[C@H](O)[C@](F)(Cl)[C@H](C)O")[1] == "?"
+    one, two = labels_of("C[C@H](O)[C@](F)(Cl)[C@@H](C)O"), labels_of("C[C@H](O)[C@@](F)(Cl)[C@@H](C)O")
+    assert {one[1], two[1]} == {"r", "s"} and {one[0], one[2]} == {"R", "S"}
+    assert labels_of(r"F/C=C/[C@](O)(Cl)/C=C\F")[0] in "RS" and labels_of(r"F/C=C/[C@](O)(Cl)/C=C/F") == ["?"]
+    assert labels_of("C[C@H](O)[C@H](F)[C@@](N)(Cl)[C@H](F)[C@H](C)O")[2] in "RS" and labels_of("OC(=O)[C@H](O)[C@H](O)[C@@H](O)C(=O)O") == ["R", "?", "R"] and labels_of("C[C@H]1CCC[C@@H](C)[C@@H]1Cl")[2] == "?"
