@@ -21,8 +21,8 @@ from moleweave.llm.common import ascii_lower, bind, cut, keep, lookup, once, tab
 
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Shingles are counted by so many places; one that falls on a place with at most so many of the compared sets' is rare.
-SKETCH, RARE = 1 << 18, 16
+#: Shingles are counted by so many places.
+SKETCH = 1 << 18
 #: Heads that a bucket gets after its first one.
 ROUNDS = 4
 #: Pairs or labels, of two 16-byte names each, that are broadcast; more of them are joined by shuffles.
@@ -160,9 +160,9 @@ def frequencies(nodes: DataFrame, texts: DataFrame, size: int) -> np.ndarray:
 
 
 def outlines(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, n, common, prefix, bits_0, ...) of the nodes (node, n).
+    """(node, n, prefix, bits_0, ...) of the nodes (node, n).
 
-    common counts the shingles that are not rare; prefix has the rarest ones, in an order that all nodes share, of which two
+    prefix has the rarest shingles, in an order that all nodes share, of which two
     sets of the similarity have one in common. bits tell for each place of a bitmap whether an odd number of the node's
     shingles falls on it: two bitmaps differ in no more places than their sets differ in shingles.
     """
@@ -178,16 +178,15 @@ def outlines(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             np.bitwise_xor.at(odd, (owner, place), 1)
             words = np.packbits(odd, axis=1).view(np.int64)
             often = counts[own % SKETCH]
-            common = np.bincount(owner, often > RARE, len(lists)).astype(np.int64)
             ordered = own[np.lexsort((own, often, owner))]
             starts, n = ends[:-1] - ends[0], np.diff(ends)
             most = n + (-percent * n) // 100 + 1
             prefix = [ordered[a:a + k] for a, k in zip(starts, most)]
-            columns = [batch.column("node"), batch.column("n"), pa.array(common), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(words[:, k]) for k in range(LONGS))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "common", "prefix", *(f"bits_{k}" for k in range(LONGS))])
+            columns = [batch.column("node"), batch.column("n"), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(words[:, k]) for k in range(LONGS))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "prefix", *(f"bits_{k}" for k in range(LONGS))])
 
     sets = texts.join(nodes, "node").select("node", "n", shingle_set(F.col("text"), size).alias("set"))
-    return settled(sets.mapInArrow(run, "node binary, n long, common long, prefix array<long>, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
+    return settled(sets.mapInArrow(run, "node binary, n long, prefix array<long>, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
 
 
 def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -269,15 +268,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return held(settled(every.join(onward, F.col("comp") == F.col("ca"), "left").select("node", F.coalesce("to", "comp").alias("comp"))))
 
     def divided(rows: DataFrame) -> DataFrame:
-        """The rows of buckets that hold several components, with their components."""
+        """(bucket, comp, n, node): the smallest member of each component of the buckets that hold several; it has the least of its own."""
         now = rows.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        return now.join(several, "bucket", "left_semi")
+        least = now.groupBy("bucket", "comp").agg(F.min(F.struct("n", "node")).alias("least")).select("bucket", "comp", "least.n", "least.node")
+        several = least.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        return least.join(several, "bucket", "left_semi")
 
     mixed = settled(divided(members.select("bucket", "node", "n")))
-    bits = outlines(mixed.select("node", "n").distinct(), texts, size, percent)
-    mixed = settled(mixed.join(bits.select("node", "common"), "node"))
-    bits, prefixes = bits.drop("common", "prefix"), bits.select("node", "n", "prefix")
+    open_nodes = asked.select("node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(mixed.select("comp").distinct(), "comp", "left_semi")
+    bits = outlines(open_nodes.select("node").join(classes.select("node", "n"), "node"), texts, size, percent)
+    bits, prefixes = bits.drop("prefix"), bits.select("node", "n", "prefix")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and bitmaps allow the similarity."""
@@ -286,14 +286,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return pairs.where(fits(F.col("n_a"), F.col("n_b")) & similar_bits(percent)).select("a", "b")
 
     # The member with the least of its own is nearest to what the others have in common, so most of them link to it. Each
-    # round has as head a member of a component that has had none in the bucket; a round that links nothing ends them early.
+    # round has as head a component that has had none in the bucket; a round that links nothing ends them early.
     used: DataFrame | None = None
     for _ in range(ROUNDS):
         open_ = mixed
         if used is not None:
             led = used.join(found, F.col("head") == F.col("node"), "left").select("bucket", F.coalesce("comp", "head").alias("comp")).distinct()
             open_ = mixed.join(led, ["bucket", "comp"], "left_anti")
-        best = F.max(F.struct(F.col("common") / F.col("n"), F.col("n"), F.col("node").alias("head"), F.col("comp").alias("head_comp"))).alias("best")
+        best = F.min(F.struct("n", F.col("node").alias("head"), F.col("comp").alias("head_comp"))).alias("best")
         heads = settled(open_.groupBy("bucket").agg(best).select("bucket", "best.head", "best.head_comp"))
         near = mixed.join(heads, "bucket").where(F.col("comp") != F.col("head_comp")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         near = settled(plausible(near.join(tried, ["a", "b"], "left_anti")))
@@ -308,7 +308,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         used = heads.select("bucket", "head") if used is None else settled(used.unionAll(heads.select("bucket", "head")))
     # What heads have not linked is compared across components where the rarest shingles meet.
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = prefix_pairs(prefixes.join(mixed.select("node", "comp").distinct(), "node"), percent)
+    labelled = prefixes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = prefix_pairs(labelled.join(mixed.select("comp").distinct(), "comp", "left_semi"), percent)
     rest = plausible(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"))
     rest = settled(rest)
     if not rest.isEmpty():
