@@ -5,7 +5,8 @@ coordinate's number, around the end, and looked up in the second; a document's c
 shingles. Documents with equal sets are one class and are signed, linked and counted as one. Classes that share a band
 are candidates. Each class is first checked against the class with which it shares most bands as a bucket's first
 member, then, where a bucket still holds several components, against a few more heads of it, and what that leaves is
-joined across components by the rarest shingles of the sets. Every link is confirmed on the full sets.
+joined across components by the rarest shingles of the sets; what meets a large component that way is joined by the
+rarest of the differences from that component's head. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SKETCH = 1 << 18
 ROUNDS = 4
 #: Pairs or labels, of two 16-byte names each, that are broadcast; more of them are joined by shuffles.
 SMALL = 20_000
+#: A component of more members is compared with others by differences from its head.
+CROWD = 16
 #: Longs of a set's bitmap.
 LONGS = 16
 #: Shingles signed at once, so that the work stays in the processor's cache.
@@ -150,9 +153,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return settled(once(joined, sets, sizes).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
 
 
-def frequencies(nodes: DataFrame, texts: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of the nodes' sets fall on each of SKETCH places: enough to tell rare from frequent ones."""
-    used = texts.join(nodes, "node", "left_semi").select(F.explode(shingle_set(F.col("text"), size)).alias("shingle"))
+def frequencies(used: DataFrame) -> np.ndarray:
+    """How many rows (shingle) fall on each of SKETCH places: enough to tell rare from frequent ones."""
     rows = used.groupBy(F.pmod("shingle", F.lit(SKETCH)).alias("place")).agg(F.count("*").alias("n")).toPandas()
     out = np.zeros(SKETCH, np.int64)
     out[rows["place"].to_numpy(np.int64)] = rows["n"]
@@ -166,7 +168,7 @@ def outlines(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     sets of the similarity have one in common. bits tell for each place of a bitmap whether an odd number of the node's
     shingles falls on it: two bitmaps differ in no more places than their sets differ in shingles.
     """
-    counts = frequencies(nodes.select("node"), texts, size)
+    counts = frequencies(texts.join(nodes.select("node"), "node", "left_semi").select(F.explode(shingle_set(F.col("text"), size)).alias("shingle")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +191,14 @@ def outlines(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return settled(sets.mapInArrow(run, "node binary, n long, prefix array<long>, " + ", ".join(f"bits_{k} long" for k in range(LONGS))))
 
 
-def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of rows (node, n, comp, prefix) of different components that may have the similarity.
+def fits(percent: int, least_a: Column, most_a: Column, left_a: Column, least_b: Column, most_b: Column, left_b: Column) -> Column:
+    """Whether a set within the one bounds may have the similarity with a set within the others that is no smaller."""
+    enough = percent * (least_a + F.greatest(least_a, least_b))
+    return (least_a <= most_b) & (100 * most_a >= percent * least_b) & ((100 + percent) * F.least(left_a, left_b) >= enough)
+
+
+def meetings(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (node, n, comp, prefix): the shingles of several components, and where two components may have a pair.
 
     The prefix of the larger set meets the first part of that of the smaller, which is shorter the nearer the sizes have to
     be; where they meet, what is left of both has to be enough. Shingles within one component are left out, and those of
@@ -207,20 +215,107 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
         """Of each shingle and component, the least and largest set and the most that is left of one."""
         return df.groupBy("token", F.col("comp").alias(f"comp_{s}")).agg(F.min("n").alias(f"least_{s}"), F.max("n").alias(f"most_{s}"), F.max("left").alias(f"left_{s}"))
 
-    def fits(least_a: Column, most_a: Column, left_a: Column, least_b: Column, most_b: Column, left_b: Column) -> Column:
-        """Whether a set within the one bounds may have the similarity with a set within the others that is no smaller."""
-        enough = percent * (least_a + F.greatest(least_a, least_b))
-        return (least_a <= most_b) & (100 * most_a >= percent * least_b) & ((100 + percent) * F.least(left_a, left_b) >= enough)
+    c = F.col
+    ways = ends(at.where("first"), "a").join(ends(at, "b"), "token").where((c("comp_a") != c("comp_b")) & fits(percent, c("least_a"), c("most_a"), c("left_a"), c("least_b"), c("most_b"), c("left_b")))
+    return at, ways.select("token", "comp_a", "comp_b", "least_b", "most_b", c("left_b").alias("room_b"))
 
+
+def expanded(at: DataFrame, ways: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of members of the components that ways lead between which may have the similarity."""
     c = F.col
-    ways = ends(at.where("first"), "a").join(ends(at, "b"), "token").where((c("comp_a") != c("comp_b")) & fits(c("least_a"), c("most_a"), c("left_a"), c("least_b"), c("most_b"), c("left_b")))
-    ways = ways.select("token", "comp_a", "comp_b", "least_b", "most_b", c("left_b").alias("room_b"))
     side = lambda df, s: df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "comp", "left")])
-    found = side(at.where("first"), "a").join(ways, ["token", "comp_a"]).where(fits(c("n_a"), c("n_a"), c("left_a"), c("least_b"), c("most_b"), c("room_b")))
-    found = found.join(side(at, "b"), ["token", "comp_b"]).where((F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & fits(c("n_a"), c("n_a"), c("left_a"), c("n_b"), c("n_b"), c("left_b")))
+    found = side(at.where("first"), "a").join(ways, ["token", "comp_a"]).where(fits(percent, c("n_a"), c("n_a"), c("left_a"), c("least_b"), c("most_b"), c("room_b")))
+    found = found.join(side(at, "b"), ["token", "comp_b"]).where((F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & fits(percent, c("n_a"), c("n_a"), c("left_a"), c("n_b"), c("n_b"), c("left_b")))
     return found.select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
 
 
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of rows (node, n, comp, prefix) of different components that may have the similarity."""
+    return expanded(*meetings(rows, percent), percent)
+
+
+def crowded(rows: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, comp) where a way leads between a component and one of more than CROWD members, and the ways between the rest.
+
+    The larger component is the host. Ways between two that have the same largest host are left out as well: members of
+    both are compared by their differences from its head.
+    """
+    c = F.col
+    many = held(settled(rows.groupBy("comp").agg(F.count("*").alias("m")).where(c("m") > CROWD)))
+    one, two = (many.select(c("comp").alias(f"comp_{x}"), F.struct("m", "comp").alias(f"size_{x}")) for x in "ab")
+    met = settled(ways.select("comp_a", "comp_b").distinct().join(one, "comp_a", "left").join(two, "comp_b", "left").where("size_a is not null or size_b is not null"))
+    larger = c("size_b").isNull() | (c("size_a") > c("size_b"))
+    guests = met.select(F.when(larger, c("size_a")).otherwise(c("size_b")).alias("size"), F.when(larger, c("comp_b")).otherwise(c("comp_a")).alias("comp")).distinct()
+    guests = settled(guests)
+    roots = guests.join(many.select("comp"), "comp", "left_anti").groupBy("comp").agg(F.max("size.comp").alias("root"))
+    roots = held(settled(roots.unionAll(many.select("comp", F.lit(None).cast(rows.schema["comp"].dataType)))))
+    for x in "ab":
+        ways = ways.join(roots.select(c("comp").alias(f"comp_{x}"), c("root").alias(f"root_{x}"), F.lit(True).alias(f"rooted_{x}")), f"comp_{x}", "left")
+    host = lambda x: c(f"rooted_{x}").isNotNull() & c(f"root_{x}").isNull()
+    apart = ~host("a") & ~host("b") & ~F.coalesce(c("root_a") == c("root_b"), F.lit(False))
+    return guests.select(c("size.comp").alias("host"), "comp"), ways.where(apart).drop("root_a", "root_b", "rooted_a", "rooted_b")
+
+
+def differences(rows: DataFrame, guests: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(host, head, n_head, node, n, guest, away) of the members of hosts and of the components (host, comp) that meet them.
+
+    head is the smallest member of the host; away has the shingles of one of the sets of node and head alone, the rarest first.
+    """
+    own = guests.select("host", F.col("host").alias("comp")).distinct()
+    asked = held(settled(guests.withColumn("guest", F.lit(True)).unionAll(own.withColumn("guest", F.lit(False)))))
+    asked = settled(rows.join(asked, "comp").select("host", "node", "n", "guest"))
+    heads = asked.where("not guest").groupBy("host").agg(F.min(F.struct("n", "node")).alias("least")).select("host", F.col("least.node").alias("head"), F.col("least.n").alias("n_head"))
+    heads = heads.join(texts.withColumnRenamed("node", "head"), "head").select("host", "head", "n_head", shingle_set(F.col("text"), size).alias("own"))
+    both = lookup(texts.join(asked, "node"), settled(heads), ["host"], "inner")
+    sets = F.struct(shingle_set(F.col("text"), size).alias("x"), F.col("own").alias("y"))
+    apart = once(both, sets, lambda s: F.struct(F.concat(F.array_except(s["x"], s["y"]), F.array_except(s["y"], s["x"])).alias("away")))
+    apart = keep(apart.select("host", "head", "n_head", "node", "n", "guest", "away"), "away")
+    counts = frequencies(apart.select(F.explode("away").alias("shingle")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("away")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            owner, own = np.repeat(np.arange(len(lists)), np.diff(ends)), values[ends[0]:ends[-1]]
+            ordered = pa.array(own[np.lexsort((own, counts[own % SKETCH], owner))], pa.int64())
+            away = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), ordered)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), away], batch.schema.names)
+
+    return keep(apart.mapInArrow(run, apart.schema), "away")
+
+
+def near_heads(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the heads and the guests that have the similarity with them, as all their differences tell."""
+    near = F.col("guest") & ((100 + percent) * F.size("away") <= (100 - percent) * (F.col("n") + F.col("n_head")))
+    return apart.where(near).select(F.col("head").alias("a"), F.col("node").alias("b"))
+
+
+def head_pairs(apart: DataFrame, labels: DataFrame, percent: int, leading: bool = False) -> DataFrame:
+    """(a, b): the pairs of guests, and of guests and members, of different components that may have the similarity.
+
+    ``labels`` has (node, comp) with the links of :func:`near_heads`. A guest a that is still apart is not similar to the
+    head. Its differences from a similar set b are those from the head that the two do not share, so they share some; where
+    the rarest of these meet, what is left of both has to be enough. Of b's only about the rarer half come in question.
+    ``leading`` asks for each shingle only the one of the host's component that differs least from the head.
+    """
+    c = F.col
+    label = lambda x, y: labels.select(c("node").alias(x), c("comp").alias(y))
+    now = apart.join(label("node", "comp"), "node", "left").join(label("head", "home"), "head", "left")
+    now = now.withColumns({"comp": F.coalesce("comp", "node"), "home": F.coalesce("home", "head"), "d": F.size("away")})
+    side = lambda df, s: df.select("host", "n_head", "home", *[c(x).alias(f"{x}_{s}") for x in ("node", "n", "comp", "d")], F.posexplode("away").alias(f"pos_{s}", "token"))
+    a = side(now.where(c("guest") & (c("comp") != c("home"))), "a").where(percent * (2 * c("pos_a") - c("d_a") + 1) <= (100 - percent) * c("n_a"))
+    a = settled(a.drop("n_head", "home"))
+    b = side(now, "b").where((100 + percent) * (2 * c("pos_b") - c("d_b")) < (100 - percent) * (c("n_b") - c("n_head")))
+    b = b.join(a.select("host", "token").distinct(), ["host", "token"], "left_semi")
+    if leading:
+        least = F.min(F.struct("d_b", "n_b", "node_b", "comp_b", "pos_b")).alias("least")
+        b = b.where(c("comp_b") == c("home")).groupBy("host", "token").agg(least).select("host", "token", "least.*")
+    shared = F.least(c("d_a") - c("pos_a"), c("d_b") - c("pos_b"))
+    enough = (100 + percent) * (c("d_a") + c("d_b") - 2 * shared) <= (100 - percent) * (c("n_a") + c("n_b"))
+    pairs = a.join(b, ["host", "token"]).where((c("comp_a") != c("comp_b")) & enough)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def similar_bits(percent: int) -> Column:
     """Whether the bitmaps of a and b are as near as those of sets of the similarity are. A quarter is counted first."""
     differ = lambda k: sum((F.bit_count(F.col(f"bits_{i}_a").bitwiseXOR(F.col(f"bits_{i}_b"))) for i in range(1, k)), F.bit_count(F.col("bits_0_a").bitwiseXOR(F.col("bits_0_b"))))
@@ -246,8 +341,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = classes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = settled(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"))
     members = settled(lookup(buckets, shared, ["bucket"], "inner", limit=0, salts=2).select("bucket", "node", "n", "head"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = members.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n")))
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    stars = members.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
     stars = stars.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"))
 
     asked = members.select("node").distinct().join(classes.select("node", "row.doc_id", "row.h"), "node")
@@ -283,7 +378,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         """The pairs (a, b) whose sizes and bitmaps allow the similarity."""
         for x in ("a", "b"):
             pairs = pairs.join(bits.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in bits.columns if c != "node"]), x)
-        return pairs.where(fits(F.col("n_a"), F.col("n_b")) & similar_bits(percent)).select("a", "b")
+        return pairs.where(alike(F.col("n_a"), F.col("n_b")) & similar_bits(percent)).select("a", "b")
 
     # The member with the least of its own is nearest to what the others have in common, so most of them link to it. Each
     # round has as head a component that has had none in the bucket; a round that links nothing ends them early.
@@ -306,12 +401,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         found = joined(links)
         mixed = settled(divided(mixed))
         used = heads.select("bucket", "head") if used is None else settled(used.unionAll(heads.select("bucket", "head")))
-    # What heads have not linked is compared across components where the rarest shingles meet.
+    # What heads have not linked is compared across components where the rarest shingles meet, with large ones by their heads.
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labelled = prefixes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = prefix_pairs(labelled.join(mixed.select("comp").distinct(), "comp", "left_semi"), percent)
-    rest = plausible(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"))
-    rest = settled(rest)
+    labelled = keep(labelled.join(mixed.select("comp").distinct(), "comp", "left_semi"), "prefixes")
+    at, ways = meetings(labelled, percent)
+    guests, ways = crowded(labelled, settled(ways))
+    rest = expanded(at, ways, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not guests.isEmpty():
+        apart = differences(labelled.select("node", "n", "comp"), guests, texts, size)
+        links = settled(near_heads(apart, percent))
+        found = found if links.isEmpty() else joined(links)
+        # Members of the host's component that differ little from its head are tried first: one link for a guest is enough.
+        for _ in range(ROUNDS):
+            near = settled(head_pairs(apart, found, percent, leading=True))
+            near = settled(plausible(near.join(tried, ["a", "b"], "left_anti")))
+            if near.isEmpty():
+                break
+            tried = settled(tried.unionAll(near))
+            links = verified(near, texts, size, percent)
+            if links.isEmpty():
+                break
+            found = joined(links)
+        rest = rest.unionAll(head_pairs(apart, found, percent)).distinct()
+    rest = settled(plausible(settled(rest).join(tried, ["a", "b"], "left_anti")))
     if not rest.isEmpty():
         found = joined(verified(rest, texts, size, percent))
 

@@ -66,6 +66,52 @@ def test_group_around_a_text_with_members_too_far_from_each_other(spark):
     assert found(spark, rows, 4) == brute(rows, 4)
 
 
+def test_what_meets_a_large_component_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with up to eight words changed: those too far from all heads are compared by differences."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(150)]
+    rows, made = [], []
+    for k in range(600):
+        copy = list(words)
+        for _ in range(rng.randint(0, 8)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(3000)}"
+        rows.append((k, " ".join(copy), 0, ""))
+    for name in ("prefix_pairs", "expanded", "head_pairs"):
+        def counted(*args, run=getattr(nd, name, None), **options):
+            pairs = nd.settled(run(*args, **options))
+            made.append(pairs.count())
+            return pairs
+
+        monkeypatch.setattr(nd, name, counted, raising=False)
+    assert found(spark, rows, 4) == brute(rows, 4)
+    assert 0 < sum(made) < 2 * len(rows), made
+
+
+def test_differences_from_a_head_lose_no_pair(spark):
+    """Every similar pair of guests, and of guests and members, that the head itself does not link is found."""
+    rng = random.Random(5)
+    base, texts, rows = [f"w{i}" for i in range(150)], [], []
+    for k in range(160):
+        copy = base[rng.choice((0, 0, 9)):]
+        for _ in range(rng.randint(0, 3) if k < 40 else rng.randint(2, 7)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(8)}"
+        texts.append((k, " ".join(copy)))
+        rows.append((k, len({tuple(copy[i:i + 4]) for i in range(len(copy) - 3)}), 0 if k < 40 else k))
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(len(t.split()) - 3)} for _, t in texts]
+    similar = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    rows = spark.createDataFrame(rows, "node long, n long, comp long")
+    guests = spark.createDataFrame([(0, k) for k in range(40, 160)], "host long, comp long")
+    apart = nd.differences(rows, guests, spark.createDataFrame(texts, "node long, text string"), 4)
+    head = apart.first().head
+    near = {r.b for r in nd.near_heads(apart, 80).collect()}
+    assert near == {k for k in range(40, 160) if similar(k, head)}
+    labels = nd.settled(rows.select("node", F.when((F.col("comp") == 0) | F.col("node").isin(list(near)), 0).otherwise(F.col("comp")).alias("comp")))
+    comp = {r.node: r.comp for r in labels.collect()}
+    pairs = {(r.a, r.b) for r in nd.head_pairs(apart, labels, 80).collect()}
+    wanted = {(i, j) for j in range(160) for i in range(j) if comp[i] != comp[j] and similar(i, j)}
+    assert wanted <= pairs and len(wanted) > 30 and all(comp[i] != comp[j] for i, j in pairs)
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(4)
     shared = rng.integers(0, 2**63, 800).astype(np.uint64)
