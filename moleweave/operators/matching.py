@@ -130,8 +130,9 @@ def common_parts(pairs: DataFrame, *keys: str, most: int = MOST_STEPS) -> DataFr
         states = found.select(*keys, F.explode("states").alias("state"))
         if states.isEmpty():
             break
-        asked = states.join(pairs, [*keys]).join(best.select(*keys, "n_bonds", "n_atoms"), [*keys], "left").fillna(-1, ["n_bonds", "n_atoms"])
+        # Molecules and states are many times what the size of their texts' table lets Spark expect, so they are not to be broadcast.
+        asked = states.hint("merge").join(pairs, [*keys]).join(best.select(*keys, "n_bonds", "n_atoms").hint("merge"), [*keys], "left").fillna(-1, ["n_bonds", "n_atoms"])
         asked = asked.select(*keys, *both, "n_bonds", "n_atoms", "state").repartition(F.xxhash64(*keys, "state"))
     none = F.array().cast("array<int>")
-    out = pairs.join(best.drop("n_atoms"), [*keys], "left").withColumns({"left": F.coalesce("left", none), "right": F.coalesce("right", none), "n_bonds": F.coalesce("n_bonds", F.lit(0))})
+    out = pairs.join(best.drop("n_atoms").hint("merge"), [*keys], "left").withColumns({"left": F.coalesce("left", none), "right": F.coalesce("right", none), "n_bonds": F.coalesce("n_bonds", F.lit(0))})
     return stage(out, pattern=mol_common_pattern(*both, "left", "right")).drop(*both)

@@ -4,6 +4,8 @@ import itertools
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from moleweave.functions.alignment import NONE, START, Search, common_part, common_pattern, packed, unpacked
 from moleweave.functions.smiles import molecule
 from moleweave.operators.matching import common_parts, with_matches
@@ -78,6 +80,15 @@ def test_rounds_in_spark_give_what_one_search_gives(spark):
     assert common_parts(pairs.where("false"), "id").count() == 0
 
 
+def test_molecules_are_not_broadcast_by_the_size_of_their_texts(spark, tmp_path):
+    spark.createDataFrame([(k, "CCO" * 9) for k in range(3)], "id long, text string").write.parquet(f"{tmp_path}/texts")
+    one = molecules(spark.read.parquet(f"{tmp_path}/texts"), "text")
+    pairs = one.select("id", "atoms", "bonds", F.col("atoms").alias("b_atoms"), F.col("bonds").alias("b_bonds"))
+    found = common_parts(pairs, "id", most=15)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.n_bonds for r in found.collect()] == [26] * 3
+
+
 def test_patterns_match_both_molecules(spark):
     pairs = [("CC(O)c1ccccc1", "Cc1ccc(O)cc1"), ("FC1=CC=C2C(=C1)C=NN2", "CCC1=C2NN=CC2=CC(Cl)=C1"), ("CC(=O)OCC", "CCC(=O)OC"), ("C1CC1CO", "OCCC1CC1")]
     for x, y in pairs:

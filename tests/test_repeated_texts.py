@@ -10,6 +10,7 @@ from moleweave.plans import registry
 
 #: Queries, and the function that does their work on each row of a table.
 CASES = [
+    ("common_patterns", "operators.matching", "common_parts"),
     ("common_parts", "plans.molecule_queries", "molecules"),
     ("reaction_similarity", "operators.reactions", "difference_fingerprint"),
 ]
