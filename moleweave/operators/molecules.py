@@ -104,7 +104,8 @@ def ring_atoms(mols: DataFrame, *keys: str) -> DataFrame:
 def bond_between(pairs: DataFrame, bond_rows: DataFrame, *keys: str) -> DataFrame:
     """``pairs`` (keys, x, y) with bond_idx of the bond between the two atoms, whichever way it was written; null if none."""
     side = lambda df, a, b: df.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b))
-    found = side(bond_rows, "a", "b").select(*keys, "lo", "hi", F.col("idx").alias("bond_idx"))
+    # There are many more bonds than the size of their molecules' table lets Spark expect, so they are not to be broadcast.
+    found = side(bond_rows, "a", "b").select(*keys, "lo", "hi", F.col("idx").alias("bond_idx")).hint("merge")
     return side(pairs, "x", "y").join(found, [*keys, "lo", "hi"], "left").drop("lo", "hi")
 
 

@@ -10,6 +10,7 @@ from moleweave.plans import registry
 
 #: Queries, and the function that does their work on each row of a table.
 CASES = [
+    ("bond_lookup_any", "plans.operator_queries", "bond_between"),
     ("common_patterns", "operators.matching", "common_parts"),
     ("common_parts", "plans.molecule_queries", "molecules"),
     ("reaction_similarity", "operators.reactions", "difference_fingerprint"),
@@ -66,3 +67,13 @@ def test_features_are_not_broadcast_by_the_size_of_their_reactions(spark, tmp_pa
     found = reactions.tanimoto(change, spark.createDataFrame([(0, 1), (1, 2)], "a long, b long"), "id")
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.a, r.b): r.sim for r in found.collect()} == {(0, 1): 1, (1, 2): 1}
+
+
+def test_bonds_are_not_broadcast_by_the_size_of_their_molecules(spark, tmp_path):
+    from moleweave.operators.molecules import bond_between, bonds, molecules
+
+    spark.createDataFrame([(k, "CCO") for k in range(3)], "id long, smiles string").write.parquet(f"{tmp_path}/texts")
+    mols = molecules(spark.read.parquet(f"{tmp_path}/texts"))
+    found = bond_between(mols.select("id", F.lit(2).alias("x"), F.lit(1).alias("y")), bonds(mols, "id"), "id")
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.bond_idx for r in found.collect()] == [1] * 3
