@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moleweave.functions.slices import ROWS, rows_of
 from moleweave.functions.writer import pattern_text
 
 #: States looked at for one pair; beyond it the best part so far is given, with timed_out.
@@ -140,7 +141,7 @@ def unpacked(s: dict) -> State:
 def searched(keys: list[str], most: int):
     """Arrow batches of keys, both molecules, the best size so far and a state, or null for the start -> keys, what is found, states left."""
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             rows, found = batch.to_pylist(), []
             for r in rows:
                 search = Search({"atoms": r["atoms"] or [], "bonds": r["bonds"] or []}, {"atoms": r["b_atoms"] or [], "bonds": r["b_bonds"] or []})
@@ -156,13 +157,13 @@ def searched(keys: list[str], most: int):
 @F.arrow_udf(T.StringType())
 def mol_common_pattern(a_atoms: pa.Array, a_bonds: pa.Array, b_atoms: pa.Array, b_bonds: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
     """The pattern text of a common part; empty if there is none."""
-    rows = zip(*(x.to_pylist() for x in (a_atoms, a_bonds, b_atoms, b_bonds, left, right)), strict=True)
+    rows = rows_of(a_atoms, a_bonds, b_atoms, b_bonds, left, right)
     return pa.array([common_pattern({"atoms": aa or [], "bonds": ab or []}, {"atoms": ba or [], "bonds": bb or []}, p or [], q or []) for aa, ab, ba, bb, p, q in rows], pa.string())
 
 
 @F.arrow_udf(RESULT)
 def mol_common(a_atoms: pa.Array, a_bonds: pa.Array, b_atoms: pa.Array, b_bonds: pa.Array) -> pa.Array:
     out = []
-    for aa, ab, ba, bb in zip(*(x.to_pylist() for x in (a_atoms, a_bonds, b_atoms, b_bonds)), strict=True):
+    for aa, ab, ba, bb in rows_of(a_atoms, a_bonds, b_atoms, b_bonds):
         out.append(common_part({"atoms": aa or [], "bonds": ab or []}, {"atoms": ba or [], "bonds": bb or []}))
     return pa.array(out, ARROW_RESULT)

@@ -10,6 +10,7 @@ from moleweave.plans import registry
 
 #: Queries, and the function that does their work on each row of a table.
 CASES = [
+    ("centres_between", "plans.operator_queries", "molecules"),
     ("bond_lookup_any", "plans.operator_queries", "bond_between"),
     ("common_patterns", "operators.matching", "common_parts"),
     ("common_parts", "plans.molecule_queries", "molecules"),
@@ -77,3 +78,24 @@ def test_bonds_are_not_broadcast_by_the_size_of_their_molecules(spark, tmp_path)
     found = bond_between(mols.select("id", F.lit(2).alias("x"), F.lit(1).alias("y")), bonds(mols, "id"), "id")
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r.bond_idx for r in found.collect()] == [1] * 3
+
+
+def test_few_molecules_of_a_batch_are_python_objects_at_once():
+    """A batch of 1000 molecules of 40 atoms, nested columns that begin and end anywhere, and none."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from moleweave.functions.chemistry import mol_centres
+    from moleweave.functions.molecules import mol_parse
+    from moleweave.functions.slices import rows_of
+
+    tracemalloc.start()
+    mols = mol_parse.func(pa.array(["C" * 40] * 1000))
+    found = mol_centres.func(mols.field("atoms"), mols.field("bonds"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(mols) == len(found) == 1000 and peak < 60e6
+    some = pa.array([[k] * (k % 5) if k % 7 else None for k in range(1000)]).slice(3, 900)
+    assert list(rows_of(some, some)) == [(x, x) for x in some.to_pylist()]
+    assert len(mol_parse.func(pa.array([], pa.string()))) == 0
