@@ -10,6 +10,7 @@ from moleweave.plans import registry
 
 #: Queries, and the function that does their work on each row of a table.
 CASES = [
+    ("perceived_steps", "plans.operator_queries", "molecules"),
     ("mcs_complement", "plans.molecule_queries", "molecules"),
     ("stereo_centres", "plans.operator_queries", "molecules"),
     ("centres_between", "plans.operator_queries", "molecules"),
