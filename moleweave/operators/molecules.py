@@ -63,6 +63,8 @@ def stage(df: DataFrame, **columns: Column) -> DataFrame:
 
 #: Results of at most so many bytes, as JSON, are broadcast by :func:`each_text`; others are repeated under so many salts.
 RESULT_BYTES, SALTS = 4 << 20, 16
+#: Distinct texts that :func:`each_text` deals to a task at least, if there are fewer than make use of all partitions.
+TEXTS = 4
 
 
 def each_text(df: DataFrame, texts: list[str], run: Callable[[DataFrame], DataFrame], limit: int = RESULT_BYTES) -> DataFrame:
@@ -72,8 +74,9 @@ def each_text(df: DataFrame, texts: list[str], run: Callable[[DataFrame], DataFr
     Rows of ``df`` with the same texts get the same; nulls are equal. Both tables are materialised. Up to ``limit`` counted
     bytes the results are broadcast, beyond it both sides are salted, so that a frequent text is no hot key.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = cut(run(cut(df.select(*texts).distinct()).repartition(n)))
+    asked = cut(df.select(*texts).distinct())
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.count() // TEXTS + 1)
+    done = cut(run(asked.repartition(n)))
     size = done.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
     done = done.withColumnsRenamed({c: f"__of_{c}" for c in texts})
     same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in texts]
